@@ -132,6 +132,49 @@ def majority_at_n(df: DataFrame, prompt: list[str], pos: str, vote: str, value:
     ).select(*prompt, "n", F.col(f"_w.{vote}").alias("majority"), F.col("_w._v").alias("majority_value"))
 
 
+def _resampler(draws: int, seed: int):
+    """Resample prompts with the same number of responses together: they share their draws."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        def lead(picked):
+            # slot of the first response holding the most common vote
+            n = picked.shape[-1]
+            if n <= 64:
+                own = np.zeros(picked.shape, dtype=np.int16)
+                for j in range(n):
+                    own += picked == picked[..., j : j + 1]
+                return own.argmax(-1)
+            out = np.empty(picked.shape[:-1], dtype=np.int64)
+            for at in np.ndindex(out.shape):
+                _, inv, cnt = np.unique(picked[at], return_inverse=True, return_counts=True)
+                out[at] = cnt[inv].argmax()
+            return out
+
+        for pdf in batches:
+            out = []
+            for total, same in pdf.groupby(pdf["values"].map(len)):
+                sizes = [2**i for i in range(1, 64) if 2**i < total] + [total]
+                votes, values = np.stack(same["votes"].to_numpy()), np.stack(same["values"].to_numpy())
+                names = same["source"].to_numpy()
+                for n in sizes:
+                    idx = np.random.RandomState(seed).choice(total, size=(draws, n), replace=True)
+                    step = max(1, 1_000_000 // (draws * n))
+                    for a in range(0, len(same), step):
+                        x, v = values[a : a + step][:, idx], votes[a : a + step][:, idx]
+                        maj = np.take_along_axis(x, lead(v)[..., None], -1)[..., 0]
+                        cols = x.max(-1).mean(-1), x.min(-1).mean(-1), maj.mean(-1)
+                        out.append(pd.DataFrame({
+                            "source": names[a : a + step], "n": n, "best": cols[0], "worst": cols[1], "majority": cols[2]
+                        }))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
 def bootstrap(df: DataFrame, source: str, prompt: str, pos: str, vote: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Seeded resampling of best, worst and majority, averaged over prompts by n.
 
@@ -143,43 +186,14 @@ def bootstrap(df: DataFrame, source: str, prompt: str, pos: str, vote: str, valu
         row_index(df.groupBy(source, prompt).agg(F.count("*").alias("_N")).filter("_N > 1"), [F.col(source), F.col(prompt)], name="_g"),
         [source, prompt],
     )
-    schema = "source string, n long, best double, worst double, majority double"
-    cols = [source, prompt, pos, vote, value]
-
-    def resample(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(pos)
-        x = pdf[value].to_numpy(dtype=float)
-        codes, _ = pd.factorize(pdf[vote])
-        total = len(x)
-        sizes = []
-        n = 2
-        while n < total:
-            sizes.append(n)
-            n *= 2
-        sizes.append(total)
-        out = []
-        for n in sizes:
-            idx = np.random.RandomState(seed).choice(total, size=(draws, n), replace=True)
-            picked = codes[idx]
-            lead = np.empty(draws, dtype=int)
-            for r in range(draws) if n * (codes.max() + 1) > 512 else ():
-                c = np.bincount(picked[r])
-                lead[r] = next(i for i, p in enumerate(picked[r]) if c[p] == c.max())
-            if n * (codes.max() + 1) <= 512:
-                hot = picked[:, :, None] == np.arange(codes.max() + 1)
-                counts = hot.sum(1)
-                own = np.take_along_axis(counts, picked, 1)
-                lead = (own == own.max(1, keepdims=True)).argmax(1)
-            maj = x[idx[np.arange(draws), lead]]
-            vals = x[idx]
-            out.append((pdf[source].iloc[0], n, vals.max(1).mean(), vals.min(1).mean(), maj.mean()))
-        return pd.DataFrame(out, columns=["source", "n", "best", "worst", "majority"])
-
-    small = sized.filter(F.col("_N") <= BOOTSTRAP_ROWS).select(*cols)
-    per_small = small.groupBy(source, prompt).applyInPandas(resample, schema)
+    small = sized.filter(F.col("_N") <= BOOTSTRAP_ROWS)
+    arrays = small.groupBy(source, prompt).agg(
+        F.sort_array(F.collect_list(F.struct(pos, F.xxhash64(vote).alias("v"), F.col(value).cast("double").alias("x")))).alias("_s")
+    ).select(F.col(source).alias("source"), F.col("_s.v").alias("votes"), F.col("_s.x").alias("values"))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    per_small = arrays.repartition(tasks, F.xxhash64("votes", "values")).mapInPandas(
+        _resampler(draws, seed), "source string, n long, best double, worst double, majority double"
+    )
 
     big = sized.filter(F.col("_N") > BOOTSTRAP_ROWS)
     plan = big.select(source, prompt, "_N").distinct()

@@ -2,6 +2,9 @@
 
 from tarnlake.plans.registry import REGISTRY, Query, query  # noqa: F401
 from tarnlake.plans import (  # noqa: F401
+    advantages,
     evaluation,
     pass_rates,
+    preference,
+    token_metrics,
 )
