@@ -1,18 +1,20 @@
-"""Batch operations on row positions: slices, repeats, padding, chunks, reorderings."""
+"""Batch operations on row positions: samples, splits, repeats, padding, chunks, reorderings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.operators.ranks import row_index
+from tarnlake.operators.ranks import gather, row_index, shuffled_order, with_table_stats
+
+TOP_N_ROWS = 10_000
 
 
 def progress_eta(df: DataFrame, run: str, order: list[Column], secs: str, last: int) -> DataFrame:
     """Mean of the last few durations times the steps left.
 
-    The look-back is one self join on position buckets, so a run of any length is not held by one
-    task: each bucket carries a copy of the ``last - 1`` rows before it.
+    Positions are cut into blocks and each block also gets the ``last - 1`` rows before it, so a run
+    of any length is not held by one task.
     """
     placed = row_index(df, order, [run], "_pos")
     total = df.groupBy(run).agg(F.count("*").alias("_n"))
@@ -24,3 +26,180 @@ def progress_eta(df: DataFrame, run: str, order: list[Column], secs: str, last:
     seen = copies.withColumn("mean_secs", F.avg(secs).over(w)).filter(F.col("_b") == own)
     out = seen.join(total, run).withColumn("left_steps", F.col("_n") - F.col("_pos") - 1)
     return out.withColumn("eta", F.col("mean_secs") * F.col("left_steps")).drop("_pos", "_n", "_b")
+
+
+def first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """First n rows by order: a top-n for small n, a distributed rank for large n."""
+    if n <= TOP_N_ROWS:
+        return df.orderBy(*order).limit(n)
+    return row_index(df, order, name="_rn").filter(F.col("_rn") < n).drop("_rn")
+
+
+def sample_n(df: DataFrame, key: str, seed: str, n: int | None) -> DataFrame:
+    """Exactly min(n, rows) rows in a reproducible shuffle; all rows when n is None."""
+    if n is None:
+        return df
+    return first_n(df, [shuffled_order(F.col(key), seed), F.col(key)], n)
+
+
+def allocate(df: DataFrame, subset: str, key: str, seed: str, target: int, sizes: DataFrame, strict: bool = True) -> DataFrame:
+    """Sample floor(target * |subset| / total) rows per subset; sizes come from before filtering.
+
+    A target of -1 keeps all rows.  With ``strict`` a subset with too few rows is an error.
+    """
+    if target == -1:
+        return df
+    quotas = with_table_stats(sizes, _total=F.sum("n")).select(
+        subset, F.floor(F.lit(target) * F.col("n") / F.col("_total")).alias("_quota")
+    )
+    ranked = row_index(df, [shuffled_order(F.col(key), seed), F.col(key)], [subset], "_rn")
+    if strict:
+        have = df.groupBy(subset).agg(F.count("*").alias("_have"))
+        short = F.raise_error(F.concat(F.lit("too few rows in subset "), F.col(subset).cast("string"))).cast("boolean")
+        quotas = quotas.join(have, subset, "left").filter(
+            F.when(F.coalesce("_have", F.lit(0)) < F.col("_quota"), short).otherwise(True)
+        ).drop("_have")
+    return ranked.join(quotas, subset).filter(F.col("_rn") < F.col("_quota")).drop("_rn", "_quota")
+
+
+def random_split(df: DataFrame, key: str, seed: str, train: float, test: float) -> DataFrame:
+    """Exact seeded split sizes; rows past both shares are dropped."""
+    if train + test > 1.0 + 1e-9:
+        raise ValueError("split shares must not exceed 1")
+    ranked = row_index(df, [shuffled_order(F.col(key), seed), F.col(key)], name="_rn")
+    j = with_table_stats_of(ranked, df)
+    a = F.floor(F.col("_n") * train + 1e-9)
+    b = a + F.floor(F.col("_n") * test + 1e-9)
+    split = F.when(F.col("_rn") < a, "train").when(F.col("_rn") < b, "test")
+    return j.withColumn("split", split).filter(F.col("split").isNotNull()).drop("_rn", "_n")
+
+
+def with_table_stats_of(df: DataFrame, counted: DataFrame) -> DataFrame:
+    """Add the row count of ``counted`` as _n (a one-row side)."""
+    return df.crossJoin(F.broadcast(counted.agg(F.count("*").alias("_n"))))
+
+
+def positional_split(df: DataFrame, order: list[Column], share: float) -> DataFrame:
+    """First share of the rows by position is train, the rest test."""
+    j = with_table_stats_of(row_index(df, order, name="_rn"), df)
+    return j.withColumn(
+        "split", F.when(F.col("_rn") < F.floor(F.col("_n") * share + 1e-9), "train").otherwise("test")
+    ).drop("_rn", "_n")
+
+
+def mini_batches(df: DataFrame, key: str, seed: str, size: int, epochs: int) -> DataFrame:
+    """(epoch, batch) of every row, reshuffled per epoch."""
+    parts = []
+    for e in range(epochs):
+        ranked = row_index(df, [shuffled_order(F.col(key), f"{seed}-{e}"), F.col(key)], name="_rn")
+        parts.append(ranked.select("*", F.lit(e).alias("epoch"), F.floor(F.col("_rn") / size).cast("long").alias("batch")).drop("_rn"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def repeat_rows(df: DataFrame, row_no: str, n: int, interleave: bool) -> DataFrame:
+    """n copies of each row with their new position: A A B B, or A B A B."""
+    copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if interleave:
+        return copies.withColumn("new_pos", F.col(row_no) * n + F.col("copy"))
+    return with_table_stats_of(copies, df).withColumn("new_pos", F.col("copy") * F.col("_n") + F.col(row_no)).drop("_n")
+
+
+def repeat_each(df: DataFrame, times: Column) -> DataFrame:
+    """Row i is repeated times_i times; zero drops it."""
+    return df.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(0), (times - 1).cast("int")))))
+
+
+def pad_to_divisor(df: DataFrame, row_no: str, divisor: int) -> DataFrame:
+    """Repeat rows from the start, round and round, until the row count divides."""
+    n = df.agg(F.count("*").alias("_n"))
+    counted = df.crossJoin(F.broadcast(n))
+    gap = F.pmod(-F.col("_n"), F.lit(divisor))
+    rounds = F.floor((gap - F.col(row_no) - 1) / F.col("_n"))
+    extra = counted.filter(F.col(row_no) < gap).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), rounds)))
+    extra = extra.withColumn(row_no, F.col("_n") + F.col("_r") * F.col("_n") + F.col(row_no)).drop("_r")
+    return (
+        counted.withColumn("is_pad", F.lit(False)).unionByName(extra.withColumn("is_pad", F.lit(True))).drop("_n")
+    )
+
+
+def unpad(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col("is_pad")).drop("is_pad")
+
+
+def chunk(df: DataFrame, order: list[Column], k: int, strict: bool = True) -> DataFrame:
+    """k chunks along the row order; the first chunks take the remainder unless it is an error."""
+    j = with_table_stats_of(row_index(df, order, name="_rn"), df)
+    q, big = F.floor(F.col("_n") / k), F.col("_n") % k
+    edge = big * (q + 1)
+    no = F.when(F.col("_rn") < edge, F.floor(F.col("_rn") / (q + 1))).otherwise(
+        big + F.floor((F.col("_rn") - edge) / F.greatest(q, F.lit(1)))
+    )
+    if strict:
+        no = F.when(big != 0, F.raise_error(F.lit("rows do not divide into equal chunks")).cast("long")).otherwise(no)
+    return j.withColumn("chunk", no.cast("long")).drop("_rn", "_n")
+
+
+def reorder(df: DataFrame, row_no: str, permutation: DataFrame) -> DataFrame:
+    """Rows in the order of a (new_pos, source_pos) table."""
+    return df.join(permutation.withColumnRenamed("source_pos", row_no), row_no)
+
+
+def inverse(permutation: DataFrame) -> DataFrame:
+    return permutation.select(F.col("source_pos").alias("new_pos"), F.col("new_pos").alias("source_pos"))
+
+
+def unfold_column(df: DataFrame, col: str, n: int, width: Column) -> DataFrame:
+    """A width-w array becomes n rows of w/n values; other columns are repeated."""
+    step = (width / n).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(col, i * step + 1, step))
+    rest = [c for c in df.columns if c != col]
+    return df.select(*rest, F.posexplode(pieces).alias("piece", col))
+
+
+def fold_rows(df: DataFrame, row_no: str, k: int, cols: list[str]) -> DataFrame:
+    """[b] -> [b/k, k]: k consecutive rows become arrays (k is a constant)."""
+    folded = df.withColumns({"fold": F.floor(F.col(row_no) / k).cast("long"), "_in": F.col(row_no) % k})
+    return gather(folded, ["fold"], "_in", {c: F.col(c) for c in cols}, k).drop("part")
+
+
+def unfold_rows(df: DataFrame, fold: str, k: int, cols: list[str]) -> DataFrame:
+    z = df.select(fold, F.posexplode(F.arrays_zip(*cols)).alias("_i", "_z"))
+    return z.select((F.col(fold) * k + F.col("_i")).alias("row_no"), *[F.col(f"_z.{c}").alias(c) for c in cols])
+
+
+def rows_to_columns(rows: str, fields: list[str]) -> dict[str, Column]:
+    """Array of structs -> one array per field."""
+    return {f: F.transform(rows, lambda r, f=f: r[f]) for f in fields}
+
+
+def columns_to_rows(fields: dict[str, Column]) -> Column:
+    """Parallel arrays -> array of structs; check ``column_lengths_differ`` first."""
+    return F.arrays_zip(*[c.alias(n) for n, c in fields.items()])
+
+
+def column_lengths_differ(fields: dict[str, Column]) -> Column:
+    cols = list(fields.values())
+    bad = F.lit(False)
+    for c in cols[1:]:
+        bad = bad | (F.size(cols[0]) != F.size(c))
+    return bad
+
+
+def union_columns(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of two batches side by side; shared columns must agree and rows must match one to one."""
+    shared = [c for c in a.columns if c in b.columns and c not in keys]
+    right = b.select(*keys, F.lit(True).alias("_in_b"), *[F.col(c).alias(f"_b_{c}") for c in b.columns if c not in keys])
+    j = a.withColumn("_in_a", F.lit(True)).join(right, keys, "full")
+    clash = F.lit(False)
+    for c in shared:
+        clash = clash | ~F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    fail = F.raise_error
+    ok = (
+        F.when(F.col("_in_a").isNull() | F.col("_in_b").isNull(), fail(F.lit("batches differ in rows")).cast("boolean"))
+        .when(clash, fail(F.lit("batches disagree on a shared column")).cast("boolean")).otherwise(True)
+    )
+    new = [c for c in b.columns if c not in a.columns]
+    return j.filter(ok).select(*a.columns, *[F.col(f"_b_{c}").alias(c) for c in new])

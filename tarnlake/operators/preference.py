@@ -41,14 +41,14 @@ def peer_means(df: DataFrame, group: list[str], acc: str, q: str) -> DataFrame:
     """
     levels = df.groupBy(*group, acc).agg(F.count("*").alias("_c"), F.sum(q).alias("_q"))
     cum = running_totals(levels, group, [F.col(acc)], {"_cc": F.col("_c"), "_qq": F.col("_q")})
-    tot = levels.groupBy(*group).agg(F.sum("_c").alias("_C"), F.sum("_q").alias("_Q"))
+    tot = levels.groupBy(*group).agg(F.sum("_c").alias("_all_n"), F.sum("_q").alias("_all_q"))
     below_n, below_q = F.col("_cc") - F.col("_c"), F.col("_qq") - F.col("_q")
-    above_n, above_q = F.col("_C") - F.col("_cc"), F.col("_Q") - F.col("_qq")
+    above_n, above_q = F.col("_all_n") - F.col("_cc"), F.col("_all_q") - F.col("_qq")
     n = F.when(F.col(acc) > 0, below_n).otherwise(above_n)
     s = F.when(F.col(acc) > 0, below_q).otherwise(above_q)
     means = cum.join(tot, group).select(
         *group, acc, F.when(n > 0, s / n).otherwise(0.0).alias("peer_mean"),
-        (F.col("_cc") / F.col("_C")).alias("acc_share_at_or_below"), F.col("_C").alias("group_size"),
+        (F.col("_cc") / F.col("_all_n")).alias("acc_share_at_or_below"), F.col("_all_n").alias("group_size"),
     )
     return df.join(means, [*group, acc])
 
@@ -57,8 +57,8 @@ def share_at_or_below(df: DataFrame, group: list[str], value: str, name: str) ->
     """Share of the group with a value at or below the row's own."""
     levels = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
     cum = running_totals(levels, group, [F.col(value)], {"_cc": F.col("_c")})
-    tot = levels.groupBy(*group).agg(F.sum("_c").alias("_C"))
-    shares = cum.join(tot, group).select(*group, value, (F.col("_cc") / F.col("_C")).alias(name))
+    tot = levels.groupBy(*group).agg(F.sum("_c").alias("_all_n"))
+    shares = cum.join(tot, group).select(*group, value, (F.col("_cc") / F.col("_all_n")).alias(name))
     return df.join(shares, [*group, value])
 
 

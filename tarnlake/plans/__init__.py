@@ -3,6 +3,7 @@
 from tarnlake.plans.registry import REGISTRY, Query, query  # noqa: F401
 from tarnlake.plans import (  # noqa: F401
     advantages,
+    batches,
     evaluation,
     pass_rates,
     preference,

@@ -127,8 +127,8 @@ def f10(spark, d):
 , tk AS (SELECT t.*, o_custkey AS prompt, CAST(o_orderstatus = 'F' AS DOUBLE) AS acc FROM tokens t JOIN orders ON seq_id = o_orderkey),
 ps AS (SELECT prompt, seq_id, sum(reward * mask) / sum(mask) AS mean, max(acc) AS a, sum(mask) AS valid FROM tk GROUP BY 1, 2 HAVING sum(mask) > 0),
 g AS (SELECT prompt, count(*) AS n, sum(mean) AS sr, sum(a) AS sa FROM ps GROUP BY prompt HAVING count(*) > 1),
-x AS (SELECT tk.seq_id, t, mask, mask * (0.37 * (CASE WHEN mask = 1 THEN reward * n / (n - 1) - sr / (n - 1) ELSE 0 END)
-        + 0.53 * (CASE WHEN t = valid - 1 THEN a * n / (n - 1) - sa / (n - 1) ELSE 0 END)) AS v
+x AS (SELECT tk.seq_id, t, mask, mask * (0.333331 * (CASE WHEN mask = 1 THEN reward * n / (n - 1) - sr / (n - 1) ELSE 0 END)
+        + 0.777773 * (CASE WHEN t = valid - 1 THEN a * n / (n - 1) - sa / (n - 1) ELSE 0 END)) AS v
       FROM tk JOIN ps ON tk.seq_id = ps.seq_id JOIN g ON ps.prompt = g.prompt),
 ret AS (SELECT seq_id, t, mask, sum(v) OVER (PARTITION BY seq_id ORDER BY t DESC) AS returns FROM x),
 mu AS (SELECT sum(returns * mask) / (sum(mask) + 1e-8) AS mean, sum(mask) AS n FROM ret),
@@ -140,7 +140,7 @@ def f11(spark, d):
         (F.col("o_orderstatus") == "F").cast("double").alias("acc"),
     )
     tk = tokens(spark, d).join(o, "seq_id")
-    out = A.multi_source_rloo(tk, "prompt", "seq_id", "t", "reward", "mask", "acc", 0.37, 0.53)
+    out = A.multi_source_rloo(tk, "prompt", "seq_id", "t", "reward", "mask", "acc", 0.333331, 0.777773)
     return r6(out.select("seq_id", "t", "returns", "advantage"), "returns", "advantage")
 
 
