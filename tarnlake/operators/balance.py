@@ -69,7 +69,7 @@ def exact_parts(df: DataFrame, batch: str, key: str, length: str, parts: Column,
         k = int(pdf["_k"].iloc[0])
         return pdf.drop(columns="_k").assign(part=differencing([int(x) for x in pdf[length]], k, equal))
 
-    src = df.select(batch, key, length).withColumn("_k", parts)
+    src = df.select(batch, key, length, parts.alias("_k"))
     schema = f"{batch} long, {key} long, {length} long, part long"
     return src.groupBy(batch).applyInPandas(split, schema)
 

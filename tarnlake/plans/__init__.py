@@ -7,5 +7,6 @@ from tarnlake.plans import (  # noqa: F401
     evaluation,
     pass_rates,
     preference,
+    prompts,
     token_metrics,
 )
