@@ -242,8 +242,7 @@ def html_to_markdown():
     """Pandas UDF: first-class HTML tables to markdown; a spanning cell keeps its text in its first column."""
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def convert(html: pd.Series) -> pd.Series:
+    def convert(html):
         from html.parser import HTMLParser
 
         class Cells(HTMLParser):
@@ -291,4 +290,5 @@ def html_to_markdown():
 
         return html.map(one)
 
-    return convert
+    convert.__annotations__ = {"html": pd.Series, "return": pd.Series}
+    return F.pandas_udf(convert, "string")

@@ -22,8 +22,8 @@ def custom_tokens(count_fn):
     """Token count with a user function over a batch: Series of str -> Series of int."""
     import pandas as pd
 
-    @F.pandas_udf("long")
-    def counted(texts: pd.Series) -> pd.Series:
+    def counted(texts):
         return count_fn(texts.fillna("")).astype("int64")
 
-    return counted
+    counted.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(counted, "long")

@@ -172,7 +172,7 @@ def unfold_rows(df: DataFrame, fold: str, k: int, cols: list[str]) -> DataFrame:
 
 def rows_to_columns(rows: str, fields: list[str]) -> dict[str, Column]:
     """Array of structs -> one array per field."""
-    return {f: F.transform(rows, lambda r, f=f: r.getField(f)) for f in fields}
+    return {f: F.col(f"{rows}.{f}") for f in fields}
 
 
 def columns_to_rows(fields: dict[str, Column]) -> Column:

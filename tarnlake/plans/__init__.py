@@ -8,5 +8,7 @@ from tarnlake.plans import (  # noqa: F401
     pass_rates,
     preference,
     prompts,
+    retrieval,
+    sequences,
     token_metrics,
 )
