@@ -27,3 +27,8 @@ def custom_tokens(count_fn):
 
     counted.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(counted, "long")
+
+
+def let(value: Column, fn) -> Column:
+    """Name an intermediate value, so that an expression that uses it twice computes it once."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))

@@ -38,8 +38,19 @@ DISPATCH = [
     ("equal", "DigitalLearningGmbH/MATH-lighteval", None, "boxed_equivalence"),
     ("equal", "math_dapo", None, "answer_line"),
     ("prefix", "aime", None, "answer_line"),
-    ("prefix", "numina_", None, "math_boxed_numeric"),
-    ("prefix", "searchR1_", None, "open_answer"),
+    ("equal", "numina_aops_forum", None, "math_boxed_numeric"),
+    ("equal", "numina_synthetic_math", None, "math_boxed_numeric"),
+    ("equal", "numina_amc_aime", None, "math_boxed_numeric"),
+    ("equal", "numina_synthetic_amc", None, "math_boxed_numeric"),
+    ("equal", "numina_cn_k12", None, "math_boxed_numeric"),
+    ("equal", "numina_olympiads", None, "math_boxed_numeric"),
+    ("equal", "searchR1_nq", None, "open_answer"),
+    ("equal", "searchR1_triviaqa", None, "open_answer"),
+    ("equal", "searchR1_popqa", None, "open_answer"),
+    ("equal", "searchR1_hotpotqa", None, "open_answer"),
+    ("equal", "searchR1_2wikimultihopqa", None, "open_answer"),
+    ("equal", "searchR1_musique", None, "open_answer"),
+    ("equal", "searchR1_bamboogle", None, "open_answer"),
     ("equal", "hiyouga/geometry3k", None, "format_and_accuracy"),
     ("equal", "codecontests", None, "code_outputs"),
     ("equal", "apps", None, "code_outputs"),
@@ -83,7 +94,7 @@ SCORERS: dict[str, Scorer] = {
     "ten_way": lambda r, t: A.grade_equal(A.ten_way_choice(r), t),
     "table": A.table_answer,
     "grid_table": A.grid_share,
-    "grid": lambda r, t: A.grid_match(A.answer_grid(r), F.from_json(t, A.GRID))["exact"],
+    "grid": lambda r, t: A.grid_match(A.answer_grid(r), F.from_json(t, A.GRID)).getField("exact"),
     "ordering": lambda r, t: A.order_match(r, F.from_json(t, "array<string>")),
     "next_node": A.next_node,
     "open_answer": lambda r, t: A.open_answer(r, F.coalesce(F.from_json(t, "array<string>"), F.array(t))),
@@ -129,13 +140,15 @@ def load_scorer(path: str, function: str, **bound) -> Scorer:
     return F.pandas_udf(scored, "double")
 
 
-def as_result(out) -> dict[str, Column]:
-    """score, acc and pred from a number, a boolean, a list (first element) or a dict."""
+def as_result(out) -> Column:
+    """struct<score, acc, pred> from a number, a boolean, a list (first element), a struct or a dict of columns."""
     if isinstance(out, dict):
-        score = out["score"]
-        return {"score": score.cast("double"), "acc": out.get("acc", score).cast("double"),
-                "pred": out.get("pred", F.lit(None)).cast("string")}
-    return {"score": out.cast("double"), "acc": out.cast("double"), "pred": F.lit(None).cast("string")}
+        return A.result(out["score"], out.get("acc", out["score"]), out.get("pred", F.lit(None)))
+    return A.result(out, out, F.lit(None))
+
+
+# fixed values: scorers that return struct<score, acc, pred> themselves
+STRUCT_SCORERS = {"math_default", "math_boxed_numeric", "answer_line", "strict_box"}
 
 
 def score_responses(df: DataFrame, response: str, truth: str, scorer: str, names: list[str]) -> DataFrame:
@@ -145,9 +158,12 @@ def score_responses(df: DataFrame, response: str, truth: str, scorer: str, names
     """
     parts = []
     for n in names:
-        res = as_result(SCORERS[n](F.col(response), F.col(truth)))
-        part = df.filter(F.col(scorer) == n)
-        parts.append(part.withColumns({k: F.coalesce(v, F.lit(0.0)) if k != "pred" else v for k, v in res.items()}))
+        raw = SCORERS[n](F.col(response), F.col(truth))
+        res = raw if n in STRUCT_SCORERS else as_result(raw)
+        part = df.filter(F.col(scorer) == n).withColumn("_res", res)
+        parts.append(part.withColumns({
+            "score": F.coalesce("_res.score", F.lit(0.0)), "acc": F.coalesce("_res.acc", F.lit(0.0)), "pred": F.col("_res.pred"),
+        }).drop("_res"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

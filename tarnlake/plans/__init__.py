@@ -9,6 +9,7 @@ from tarnlake.plans import (  # noqa: F401
     preference,
     prompts,
     retrieval,
+    scoring,
     sequences,
     token_metrics,
 )
