@@ -11,5 +11,6 @@ from tarnlake.plans import (  # noqa: F401
     retrieval,
     scoring,
     sequences,
+    sources,
     token_metrics,
 )

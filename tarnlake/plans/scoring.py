@@ -170,12 +170,12 @@ def j10(spark, d):
 
 
 @query("j11_list_edit_distance", """
-SELECT doc_id, CAST(CASE WHEN n = 0 THEN 1 ELSE 2 END AS INTEGER) AS distance FROM (SELECT doc_id, len(string_split(text, ' ')) - 1 AS n FROM documents)""")
+SELECT doc_id, CAST(CASE WHEN n = 0 THEN 1 ELSE 2 END AS INTEGER) AS distance FROM (SELECT doc_id, len(string_split(text, chr(10))) - 1 AS n FROM documents)""")
 def j11(spark, d):
     words = F.col("words")
-    # first word replaced and one word added; a one-word text only gets the addition
+    # first line replaced and one line added; a one-line text only gets the addition
     changed = F.concat(F.when(F.size(words) > 1, F.array(lit("@@"))).otherwise(F.slice(words, 1, 1)), F.slice(words, lit(2), F.size(words)), F.array(lit("##")))
-    docs = documents(spark, d).select("doc_id", F.split("text", " ").alias("words")).withColumn("changed", changed)
+    docs = documents(spark, d).select("doc_id", F.split("text", "\n").alias("words")).withColumn("changed", changed)
     return docs.select("doc_id", A.list_edit_distance(F.col("words"), F.col("changed")).alias("distance"))
 
 
