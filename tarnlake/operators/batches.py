@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.operators.ranks import gather, row_index, shuffled_order, with_table_stats
+from tarnlake.operators.ranks import at_or_before, gather, nth_keys, row_index, shuffled_order, with_table_stats
 
 TOP_N_ROWS = 10_000
 
@@ -29,10 +29,12 @@ def progress_eta(df: DataFrame, run: str, order: list[Column], secs: str, last:
 
 
 def first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """First n rows by order: a top-n for small n, a distributed rank for large n."""
+    """First n rows by order: a top-n for small n, else a filter on the key of the n-th row."""
     if n <= TOP_N_ROWS:
         return df.orderBy(*order).limit(n)
-    return row_index(df, order, name="_rn").filter(F.col("_rn") < n).drop("_rn")
+    if n >= df.count():
+        return df
+    return df.filter(at_or_before(order, nth_keys(df, order, [n])[0]))
 
 
 def sample_n(df: DataFrame, key: str, seed: str, n: int | None) -> DataFrame:
@@ -66,12 +68,27 @@ def random_split(df: DataFrame, key: str, seed: str, train: float, test: float)
     """Exact seeded split sizes; rows past both shares are dropped."""
     if train + test > 1.0 + 1e-9:
         raise ValueError("split shares must not exceed 1")
-    ranked = row_index(df, [shuffled_order(F.col(key), seed), F.col(key)], name="_rn")
-    j = with_table_stats_of(ranked, df)
-    a = F.floor(F.col("_n") * train + 1e-9)
-    b = a + F.floor(F.col("_n") * test + 1e-9)
-    split = F.when(F.col("_rn") < a, "train").when(F.col("_rn") < b, "test")
-    return j.withColumn("split", split).filter(F.col("split").isNotNull()).drop("_rn", "_n")
+    n = df.count()
+    a, b = int(n * train + 1e-9), int(n * test + 1e-9)
+    out = cut_at(df, [shuffled_order(F.col(key), seed), F.col(key)], [a, a + b], n)
+    split = F.when(F.col("_cut") == 0, "train").when(F.col("_cut") == 1, "test")
+    return out.withColumn("split", split).filter(F.col("split").isNotNull()).drop("_cut")
+
+
+def cut_at(df: DataFrame, order: list[Column], ends: list[int], n: int) -> DataFrame:
+    """Number of the piece (_cut) a row falls in, for pieces that end after the given row counts.
+
+    Only the keys of the end rows are looked up; no row is ranked or moved.
+    """
+    inner = sorted({e for e in ends if 0 < e < n})
+    keys = dict(zip(inner, nth_keys(df, order, inner)))
+    piece = F.lit(0)
+    for e in ends:
+        if e <= 0:
+            piece = piece + 1
+        elif e < n:
+            piece = piece + F.when(at_or_before(order, keys[e]), 0).otherwise(1)
+    return df.withColumn("_cut", piece)
 
 
 def with_table_stats_of(df: DataFrame, counted: DataFrame) -> DataFrame:
@@ -81,10 +98,9 @@ def with_table_stats_of(df: DataFrame, counted: DataFrame) -> DataFrame:
 
 def positional_split(df: DataFrame, order: list[Column], share: float) -> DataFrame:
     """First share of the rows by position is train, the rest test."""
-    j = with_table_stats_of(row_index(df, order, name="_rn"), df)
-    return j.withColumn(
-        "split", F.when(F.col("_rn") < F.floor(F.col("_n") * share + 1e-9), "train").otherwise("test")
-    ).drop("_rn", "_n")
+    n = df.count()
+    out = cut_at(df, order, [int(n * share + 1e-9)], n)
+    return out.withColumn("split", F.when(F.col("_cut") == 0, "train").otherwise("test")).drop("_cut")
 
 
 def mini_batches(df: DataFrame, key: str, seed: str, size: int, epochs: int) -> DataFrame:
@@ -131,15 +147,14 @@ def unpad(df: DataFrame) -> DataFrame:
 
 def chunk(df: DataFrame, order: list[Column], k: int, strict: bool = True) -> DataFrame:
     """k chunks along the row order; the first chunks take the remainder unless it is an error."""
-    j = with_table_stats_of(row_index(df, order, name="_rn"), df)
-    q, big = F.floor(F.col("_n") / k), F.col("_n") % k
-    edge = big * (q + 1)
-    no = F.when(F.col("_rn") < edge, F.floor(F.col("_rn") / (q + 1))).otherwise(
-        big + F.floor((F.col("_rn") - edge) / F.greatest(q, F.lit(1)))
-    )
-    if strict:
-        no = F.when(big != 0, F.raise_error(F.lit("rows do not divide into equal chunks")).cast("long")).otherwise(no)
-    return j.withColumn("chunk", no.cast("long")).drop("_rn", "_n")
+    n = df.count()
+    if strict and n % k:
+        raise ValueError("rows do not divide into equal chunks")
+    ends, at = [], 0
+    for i in range(k - 1):
+        at += n // k + (i < n % k)
+        ends.append(at)
+    return cut_at(df, order, ends, n).withColumn("chunk", F.col("_cut").cast("long")).drop("_cut")
 
 
 def reorder(df: DataFrame, row_no: str, permutation: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.operators.ranks import gather, row_index, running_totals, top_rows
+from tarnlake.operators.ranks import checked_limit, gather, row_index, running_totals, top_rows
 
 BOOTSTRAP_ROWS = 4096
 
@@ -99,8 +99,9 @@ def best_worst_at_n(df: DataFrame, source: str, prompt: str, value: str) -> Data
     With F the share of responses at or below a value, the best of n draws is at most that value
     with probability F^n.  Only distinct values and their counts are ranked.
     """
+    limit = checked_limit(df, [source, prompt])
     hist = df.groupBy(source, prompt, value).agg(F.count("*").alias("_c"))
-    cum = running_totals(hist, [source, prompt], [F.col(value)], {"_upto": F.col("_c")})
+    cum = running_totals(hist, [source, prompt], [F.col(value)], {"_upto": F.col("_c")}, limit)
     sizes = hist.groupBy(source, prompt).agg(F.sum("_c").alias("_N")).filter(F.col("_N") > 1)
     joined = cum.join(sizes, [source, prompt]).withColumn("n", F.explode(powers_of_two(F.col("_N"), below=True)))
     hi = F.col("_upto") / F.col("_N")
@@ -223,6 +224,40 @@ def bootstrap(df: DataFrame, source: str, prompt: str, pos: str, vote: str, valu
     )
 
 
+def bootstrap_reduce(
+    df: DataFrame, keys: list[str], pos: str, value: str, size: int, reducers: dict, draws: int = 1000, seed: int = 42,
+) -> DataFrame:
+    """Mean and deviation of user reduce functions over resamples of ``size`` values per group.
+
+    A reducer takes an array of shape (draws, size) and returns one number per draw.  Draws are made
+    by hashing, joined by position and packed ``size`` at a time, so a group of any length is spread.
+    """
+    n = df.groupBy(*keys).agg(F.count("*").alias("_N"))
+    slots = (
+        n.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+        .withColumn("_at", F.pmod(F.xxhash64(*keys, "_draw", "_slot", F.lit(seed)), F.col("_N")))
+    )
+    drawn = slots.join(df.select(*keys, F.col(pos).alias("_at"), F.col(value).cast("double").alias("_x")), [*keys, "_at"])
+    packed = drawn.groupBy(*keys, "_draw").agg(F.transform(F.sort_array(F.collect_list(F.struct("_slot", "_x"))), lambda s: s["_x"]).alias("_xs"))
+    names = list(reducers)
+    schema = packed.select(*keys).schema.simpleString()[len("struct<"):-1] + "".join(f",{m}:double" for m in names)
+
+    def run(batches):
+        import numpy as np
+
+        for pdf in batches:
+            out = pdf[keys].copy()
+            if len(pdf):
+                xs = np.stack(pdf["_xs"].to_numpy())
+                for m in names:
+                    out[m] = np.asarray(reducers[m](xs), dtype="float64")
+                yield out
+
+    each = packed.mapInPandas(run, schema)
+    return each.groupBy(*keys).agg(*[f(m).alias(f"{m}_{tag}") for m in names for tag, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
 # fixed values: metric families that may be core
 CORE_FAMILIES = ["mean", "maj", "best", "std"]
 
@@ -270,11 +305,15 @@ def difficulty_histogram(df: DataFrame, source: str, prompt: str, score: str, bi
 
 
 def merge_by_first_message(df: DataFrame, key: str, pos: str, items: str, first_cols: list[str], part_rows: int = 1024):
-    """Rows with the same first message become one: lists joined in row order, first value of the rest."""
-    ranked = row_index(df, [F.col(pos)], [key], "_r")
-    lists = gather(ranked, [key], "_r", {"_l": F.col(items)}, part_rows).withColumn(items, F.flatten("_l")).drop("_l")
-    firsts = df.groupBy(key).agg(*[F.min_by(c, pos).alias(c) for c in first_cols])
-    return lists.join(firsts, key)
+    """Rows with the same first message become one: lists joined in row order, first value of the rest.
+
+    Rows are grouped by a digest of the message, so the message itself is moved once and not per step.
+    """
+    tagged = df.withColumn("_d", F.sha2(F.col(key), 256))
+    ranked = row_index(tagged.select("_d", pos, items), [F.col(pos)], ["_d"], "_r")
+    lists = gather(ranked, ["_d"], "_r", {"_l": F.col(items)}, part_rows).withColumn(items, F.flatten("_l")).drop("_l")
+    firsts = tagged.groupBy("_d").agg(*[F.min_by(c, pos).alias(c) for c in (key, *first_cols)])
+    return lists.join(firsts, "_d").drop("_d")
 
 
 def token_stats(df: DataFrame, n: Column) -> DataFrame:

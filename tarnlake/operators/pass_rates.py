@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.operators.ranks import gather, row_index, running_totals
+from tarnlake.operators.batches import cut_at
+from tarnlake.operators.ranks import gather, running_totals
 
 # fixed values: class names and bounds of the difficulty report
 DIFFICULTY_CLASSES = [
@@ -141,14 +142,9 @@ def difficulty_classes(df: DataFrame, rate: Column, keys: list[str] | None = Non
 
 def rank_slices(df: DataFrame, order: list[Column], ranks: int) -> DataFrame:
     """Contiguous equal slices by position; the last slice takes the remainder."""
-    indexed = row_index(df, order)
-    total = df.agg(F.count("*").alias("_total"))
-    per = F.greatest(F.floor(F.col("_total") / ranks), F.lit(1))
-    return (
-        indexed.crossJoin(F.broadcast(total))
-        .withColumn("rank", F.least(F.floor(F.col("row_no") / per), F.lit(ranks - 1)).cast("long"))
-        .drop("_total")
-    )
+    n = df.count()
+    per = max(n // ranks, 1)
+    return cut_at(df, order, [per * i for i in range(1, ranks)], n).withColumn("rank", F.col("_cut").cast("long")).drop("_cut")
 
 
 def varied_groups(df: DataFrame, keys: list[str], metric: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.policy import log_sigmoid, preference_loss
-from tarnlake.operators.ranks import row_index, running_totals
+from tarnlake.operators.ranks import checked_limit, row_index, running_totals
 
 
 def pair_loss(pairs: DataFrame, beta: float, smoothing: float = 0.0, kind: str = "sigmoid", reference_free: bool = False):
@@ -39,8 +39,9 @@ def peer_means(df: DataFrame, group: list[str], acc: str, q: str) -> DataFrame:
 
     Rows are first summed per accuracy level; running sums over the levels replace the peer join.
     """
+    limit = checked_limit(df, group)
     levels = df.groupBy(*group, acc).agg(F.count("*").alias("_c"), F.sum(q).alias("_q"))
-    cum = running_totals(levels, group, [F.col(acc)], {"_cc": F.col("_c"), "_qq": F.col("_q")})
+    cum = running_totals(levels, group, [F.col(acc)], {"_cc": F.col("_c"), "_qq": F.col("_q")}, limit)
     tot = levels.groupBy(*group).agg(F.sum("_c").alias("_all_n"), F.sum("_q").alias("_all_q"))
     below_n, below_q = F.col("_cc") - F.col("_c"), F.col("_qq") - F.col("_q")
     above_n, above_q = F.col("_all_n") - F.col("_cc"), F.col("_all_q") - F.col("_qq")
@@ -55,8 +56,9 @@ def peer_means(df: DataFrame, group: list[str], acc: str, q: str) -> DataFrame:
 
 def share_at_or_below(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """Share of the group with a value at or below the row's own."""
+    limit = checked_limit(df, group)
     levels = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
-    cum = running_totals(levels, group, [F.col(value)], {"_cc": F.col("_c")})
+    cum = running_totals(levels, group, [F.col(value)], {"_cc": F.col("_c")}, limit)
     tot = levels.groupBy(*group).agg(F.sum("_c").alias("_all_n"))
     shares = cum.join(tot, group).select(*group, value, (F.col("_cc") / F.col("_all_n")).alias(name))
     return df.join(shares, [*group, value])
@@ -90,7 +92,8 @@ def pairwise_accuracy(df: DataFrame, group: list[str], pos: str, score: str, acc
     accuracy into exactly one half-split, where running counts over the lower half are enough:
     rows times log2(levels) instead of all pairs.  Groups with equal accuracies give 0.5.
     """
-    levels = row_index(df.select(*group, acc).distinct(), [F.col(acc)], group, "_lv")
+    limit = checked_limit(df, group)
+    levels = row_index(df.select(*group, acc).distinct(), [F.col(acc)], group, "_lv", limit)
     tops = levels.groupBy(*group).agg(F.max("_lv").alias("_top"))
     j = df.select(*group, pos, score, acc).join(levels, [*group, acc]).join(tops, group)
     bits = F.when(F.col("_top") > 0, F.sequence(F.lit(0), F.floor(F.log2(F.col("_top").cast("double")) + 1e-9).cast("int")))
@@ -100,7 +103,7 @@ def pairwise_accuracy(df: DataFrame, group: list[str], pos: str, score: str, acc
     })
     low = 1 - F.col("_high")
     run = running_totals(
-        split, [*group, "_bit", "_prefix"], [F.col(score), F.col(pos)], {"_n0": low, "_s0": low * F.col(acc)}
+        split, [*group, "_bit", "_prefix"], [F.col(score), F.col(pos)], {"_n0": low, "_s0": low * F.col(acc)}, limit
     )
     sides = split.groupBy(*group, "_bit", "_prefix").agg(
         F.sum(low).alias("_N0"), F.sum(low * F.col(acc)).alias("_S0"),

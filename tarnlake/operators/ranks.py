@@ -19,6 +19,7 @@ from tarnlake.session import int_conf
 
 HOT_KEY = "spark.tarnlake.hotGroupRows"
 HOT_ROWS = 500_000
+NO_LIMIT = 1 << 62
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 16
 
@@ -73,6 +74,64 @@ def _bucket_of(cuts: list, dtype: T.DataType) -> Column:
     return blocks + F.size(tail)
 
 
+def plain_totals(df: DataFrame, by: list[str], order: list[Column], totals: dict[str, Column]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({n: F.sum(c).over(w) for n, c in totals.items()})
+
+
+def checked_limit(df: DataFrame, by: list[str], hot_rows: int | None = None) -> int | None:
+    """Size check made once for several totals over the same groups (or parts of them).
+
+    NO_LIMIT when no group is hot, so later calls need no check of their own; else the given limit.
+    """
+    limit = hot_rows if hot_rows is not None else int_conf(df.sparkSession, HOT_KEY, HOT_ROWS)
+    any_hot = df.groupBy(*by).count().filter(F.col("count") > limit).limit(1).count()
+    return hot_rows if any_hot else NO_LIMIT
+
+
+def nth_keys(df: DataFrame, order: list[Column], positions: list[int], direct: int = 10_000) -> list:
+    """Ordering struct of the n-th smallest row (1-based) for each position, as Python rows.
+
+    Histogram selection: rows are counted between sampled cut points and only the one bucket that
+    holds the position is looked at again, so no row is sorted or shuffled.  Each bucket has about
+    1/256 of the rows; a bucket larger than ``direct`` is cut again.
+    """
+    keyed = df.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("_key"))
+    dtype = keyed.schema["_key"].dataType
+    if not positions:
+        return []
+    if max(positions) <= direct:
+        top = keyed.orderBy("_key").limit(max(positions)).select("_key")
+        wanted = row_number_small(top).filter(F.col("_rn").isin(positions)).collect()
+        at = {r["_rn"]: r["_key"] for r in wanted}
+        return [at[p] for p in positions]
+    cuts = _cut_points(keyed, 256)
+    bucketed = keyed.withColumn("_bucket", _bucket_of(cuts, dtype))
+    sizes = sorted((r["_bucket"], r["n"]) for r in bucketed.groupBy("_bucket").agg(F.count("*").alias("n")).collect())
+    found = {}
+    start = 0
+    for bucket, n in sizes:
+        inside = [p for p in positions if start < p <= start + n]
+        if inside:
+            part = bucketed.filter(F.col("_bucket") == bucket).select(*[F.col(f"_key.k{i}") for i in range(len(order))])
+            whole = n if len(sizes) == 1 else direct
+            got = nth_keys(part, [F.col(c) for c in part.columns], [p - start for p in inside], max(direct, whole))
+            found.update(zip(inside, got))
+        start += n
+    return [found[p] for p in positions]
+
+
+def row_number_small(df: DataFrame) -> DataFrame:
+    """Row numbers of a top-n result (bounded by its limit)."""
+    return df.withColumn("_rn", F.row_number().over(Window.orderBy("_key")))
+
+
+def at_or_before(order: list[Column], key) -> Column:
+    """Row's ordering struct is at or before the given one."""
+    own = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    return own <= F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(key)])
+
+
 def running_totals(
     df: DataFrame,
     by: list[str],
@@ -86,6 +145,8 @@ def running_totals(
     """
     spark = df.sparkSession
     limit = hot_rows if hot_rows is not None else int_conf(spark, HOT_KEY, HOT_ROWS)
+    if limit >= NO_LIMIT:
+        return plain_totals(df, by, order, totals)
     if by:
         hot = df.groupBy(*by).count().filter(F.col("count") > limit)
         size = hot.agg(F.sum("count").alias("n"), F.count("*").alias("k")).first()
@@ -94,8 +155,7 @@ def running_totals(
         n = df.count()
         hot, hot_total, hot_groups = None, (n if n > limit else 0), 1
     if hot_total == 0:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(c).over(w) for n, c in totals.items()})
+        return plain_totals(df, by, order, totals)
 
     parts = {f"_in_{n}": c for n, c in totals.items()}
     keyed = df.withColumns({"_key": F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]), **parts})

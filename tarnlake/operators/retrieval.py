@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.text import TOKEN_PATTERN
 from tarnlake.operators.ranks import gather, row_index, top_rows
+from tarnlake.session import durable
 
 QUERY_BLOCK = 4096
 BROADCAST_ROWS = 1_000_000
@@ -87,6 +88,8 @@ def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b
         tokens.select("doc_id", "dl", F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
         .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     )
+    # used for the document frequencies and again for the scores: written once, not tokenised twice
+    tf = durable(tf)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     qdf = q.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarnlake.functions.text import token_count
 from tarnlake.operators import evaluation as E
-from tarnlake.operators.ranks import shuffled_order
+from tarnlake.operators.ranks import row_index, shuffled_order
 from tarnlake.plans.registry import query
 from tarnlake.plans.views import documents, responses, steps, table, with_views
 
@@ -17,7 +18,7 @@ def rounded(df, *cols, digits=6):
 
 @query("e7_pass_at_k", with_views("responses", """
 , per AS (SELECT uid, count(*) AS n, count(*) FILTER (score = 1.0) AS c FROM responses GROUP BY uid),
-each AS (SELECT n, c, CAST(k AS BIGINT) AS k FROM per, (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS k) WHERE k <= n)
+each AS (SELECT n, c, CAST(k AS BIGINT) AS k FROM per, (SELECT unnest(list_transform(range(21), lambda i: CAST(pow(2, i) AS BIGINT))) AS k) WHERE k <= n)
 SELECT k, count(*) AS prompts, round(avg(CASE WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0 ELSE
   1.0 - list_reduce(list_transform(range(n - c + 1, n + 1), lambda j: 1.0 - CAST(k AS DOUBLE) / j), lambda a, b: a * b) END) * 100, 6) AS pass_at_k
 FROM each GROUP BY k"""))
@@ -29,7 +30,7 @@ def e7(spark, d):
 @query("e7_pass_at_k_last_row_n", with_views("responses", """
 , per AS (SELECT uid, count(*) AS own, count(*) FILTER (score = 1.0) AS c0 FROM responses GROUP BY uid),
 last AS (SELECT own AS n FROM per ORDER BY uid DESC LIMIT 1),
-each AS (SELECT n, least(c0, n) AS c, CAST(k AS BIGINT) AS k FROM per, last, (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS k) WHERE k <= n)
+each AS (SELECT n, least(c0, n) AS c, CAST(k AS BIGINT) AS k FROM per, last, (SELECT unnest(list_transform(range(21), lambda i: CAST(pow(2, i) AS BIGINT))) AS k) WHERE k <= n)
 SELECT k, count(*) AS prompts, round(avg(CASE WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0 ELSE
   1.0 - list_reduce(list_transform(range(n - c + 1, n + 1), lambda j: 1.0 - CAST(k AS DOUBLE) / j), lambda a, b: a * b) END) * 100, 6) AS pass_at_k
 FROM each GROUP BY k"""))
@@ -73,7 +74,7 @@ def e9(spark, d):
 @query("e10_best_worst_at_n", with_views("responses", """
 , hist AS (SELECT data_source, uid, reward, count(*) AS c FROM responses GROUP BY 1, 2, 3),
 cum AS (SELECT *, sum(c) OVER (PARTITION BY uid ORDER BY reward) AS upto, sum(c) OVER (PARTITION BY uid) AS total FROM hist),
-each AS (SELECT *, n FROM (SELECT *, unnest(list_concat(list_filter([2, 4, 8, 16, 32, 64], lambda k: k < total), [CAST(total AS BIGINT)])) AS n FROM cum WHERE total > 1)),
+each AS (SELECT *, n FROM (SELECT *, unnest(list_concat(list_filter(list_transform(range(21), lambda i: CAST(pow(2, i) AS BIGINT)), lambda k: k > 1 AND k < total), [CAST(total AS BIGINT)])) AS n FROM cum WHERE total > 1)),
 p AS (SELECT data_source, uid, n, reward AS x,
         pow(upto / total, n) - pow((upto - c) / total, n) AS b, pow(1 - (upto - c) / total, n) - pow(1 - upto / total, n) AS w FROM each),
 per AS (SELECT data_source, uid, n, sum(x * b) AS bm, sum(x * x * b) AS b2, sum(x * w) AS wm, sum(x * x * w) AS w2 FROM p GROUP BY 1, 2, 3)
@@ -92,6 +93,15 @@ def e10_seeded(spark, d):
     return E.bootstrap(r, "data_source", "uid", "resp_idx", "pred", "reward")
 
 
+@query("u4_bootstrap_reduce_functions")
+def u4(spark, d):
+    r = responses(spark, d)
+    pos = row_index(r.select("data_source", "uid", "resp_idx", "reward"), [F.col("uid"), F.col("resp_idx")], ["data_source"], "pos")
+    return E.bootstrap_reduce(
+        pos, ["data_source"], "pos", "reward", 16, {"best": lambda x: x.max(1), "median": lambda x: np.median(x, axis=1)}, draws=200
+    )
+
+
 @query("e11_majority_at_n", with_views("responses", """
 , votes AS (SELECT uid, pred, count(*) AS c, min(resp_idx) AS first, arg_min(reward, resp_idx) AS v FROM responses GROUP BY 1, 2)
 SELECT uid, CAST(sum(c) OVER (PARTITION BY uid) AS BIGINT) AS n, pred AS majority, v AS majority_value FROM votes

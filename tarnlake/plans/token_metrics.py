@@ -118,7 +118,7 @@ SELECT CAST(plain_min AS BIGINT) AS plain_min, CAST(plain_max AS BIGINT) AS plai
   CAST(balanced_max AS BIGINT) AS balanced_max, round(mean, 6) AS mean, CAST(plain_max - plain_min AS BIGINT) AS plain_diff FROM a, b""")
 def e28(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 100).alias("len"))
-    sliced = rank_slices(o, [F.col("id")], 8).drop("row_no")
+    sliced = rank_slices(o, [F.col("id")], 8)
     parts = serpentine_parts(sliced, "len", "id", 8)
     return rnd(M.imbalance(parts, F.col("rank"), F.col("part"), "len"))
 

@@ -128,8 +128,8 @@ def test_allocation_shortage(spark):
 
 
 def test_chunks_must_divide(spark):
-    with pytest.raises(Exception, match="equal chunks"):
-        B.chunk(spark.range(10), [F.col("id")], 3).collect()
+    with pytest.raises(ValueError, match="equal chunks"):
+        B.chunk(spark.range(10), [F.col("id")], 3)
 
 
 def test_differencing():
