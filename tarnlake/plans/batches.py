@@ -39,13 +39,13 @@ def g2(spark, d):
 
 
 @query("g3_proportional_allocation", O + f"""
-, q AS (SELECT data_source, floor(5000 * count(*) / sum(count(*)) OVER ()) AS quota FROM o GROUP BY 1),
+, q AS (SELECT data_source, floor((sum(count(*)) OVER () // 3) * count(*) / sum(count(*)) OVER ()) AS quota FROM o GROUP BY 1),
 r AS (SELECT uid, data_source, row_number() OVER (PARTITION BY data_source ORDER BY {SHUF.format('uid', '42')}) AS rn FROM o WHERE len > 100)
 SELECT uid, r.data_source FROM r JOIN q ON r.data_source = q.data_source WHERE rn <= quota""")
 def g3(spark, d):
     o = orders(spark, d)
     sizes = o.groupBy("data_source").agg(F.count("*").alias("n"))
-    return B.allocate(o.filter("len > 100"), "data_source", "uid", "42", 5000, sizes).select("uid", "data_source")
+    return B.allocate(o.filter("len > 100"), "data_source", "uid", "42", o.count() // 3, sizes).select("uid", "data_source")
 
 
 @query("g4_random_split", O + f"""

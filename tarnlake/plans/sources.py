@@ -10,6 +10,7 @@ from tarnlake.operators.ranks import row_index
 from tarnlake.plans.registry import query
 from tarnlake.plans.token_metrics import rnd
 from tarnlake.plans.views import documents, responses, steps, table, with_views
+from tarnlake.session import scratch_path
 from tarnlake.sources import files as A
 from tarnlake.streaming import incremental as S
 
@@ -23,7 +24,7 @@ def a1(spark, d):
 @query("a2_multi_file_concat", """
 SELECT doc_id AS id, source, true AS apply_chat_template FROM documents UNION ALL SELECT item_id, NULL, true FROM benchmark""")
 def a2(spark, d):
-    root = A.scratch_path(spark, "concat")
+    root = scratch_path(spark, "concat")
     documents(spark, d).select(F.col("doc_id").alias("id"), "source").write.parquet(f"{root}/a")
     table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit(True).alias("apply_chat_template")).write.parquet(f"{root}/b")
     return A.read_prompts(spark, f"{root}/a", f"{root}/b").select("id", "source", "apply_chat_template")
@@ -31,14 +32,14 @@ def a2(spark, d):
 
 @query("a3_json_lines", "SELECT o_orderkey AS uid, o_orderpriority AS data_source FROM orders")
 def a3(spark, d):
-    path = A.scratch_path(spark, "lines")
+    path = scratch_path(spark, "lines")
     table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("data_source")).write.json(path)
     return A.read_json(spark, path, "uid long, data_source string")
 
 
 @query("a4_json_documents", "SELECT source AS name, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
 def a4(spark, d):
-    path = A.scratch_path(spark, "tasks")
+    path = scratch_path(spark, "tasks")
     per = documents(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
     # one file per document: the text sink with one row per partition folder
     body = per.select(F.col("source").alias("name"), F.to_json(F.struct("source", "n", "chars")).alias("value"))
@@ -50,7 +51,7 @@ def a4(spark, d):
 @query("a5_sharded_batches", with_views("responses", """
 SELECT CAST(CASE status WHEN 'F' THEN 0 ELSE 1 END AS INTEGER) AS rank, concat('batch_00001_', uid) AS key, resp_idx, pred FROM responses"""))
 def a5(spark, d):
-    root = A.scratch_path(spark, "shards")
+    root = scratch_path(spark, "shards")
     r = responses(spark, d, source=False).select("uid", "resp_idx", "pred", "status")
     for rank, status in enumerate(["F", "O"]):
         r.filter(F.col("status") == status).drop("status").write.json(f"{root}/dp{rank}/batch_00001.json")
@@ -60,7 +61,7 @@ def a5(spark, d):
 @query("a6_sized_parquet_sink", """
 SELECT concat('docs_', CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n % 1000 = 0 THEN concat(n // 1000, 'k') ELSE concat(round(n / 1000.0, 1), 'k') END) AS name, n AS rows FROM (SELECT count(*) AS n FROM documents)""")
 def a6(spark, d):
-    path, _ = A.write_sized(documents(spark, d).select("doc_id"), A.scratch_path(spark, "sized"), "docs")
+    path, _ = A.write_sized(documents(spark, d).select("doc_id"), scratch_path(spark, "sized"), "docs")
     name = F.regexp_extract(F.lit(path), r"/([^/]+)\.parquet$", 1)
     return spark.read.parquet(path).agg(F.count("*").alias("rows")).select(name.alias("name"), "rows")
 
@@ -75,7 +76,7 @@ def a7(spark, d):
         m = P.pass_rate(r, ["data_source", "uid"], F.col(col)).select(
             F.col("data_source").alias("dataset"), F.lit(model).alias("model"), F.col("uid").cast("string").alias("idx"), "pass_rate")
         both = m if both is None else both.unionByName(m)
-    path = A.scratch_path(spark, "rates")
+    path = scratch_path(spark, "rates")
     A.write_rates(both, path)
     out = spark.read.schema("idx string, pass_rate double, dataset string, model string").parquet(path)
     return rnd(out.select("dataset", "model", "idx", "pass_rate"))
@@ -84,7 +85,7 @@ def a7(spark, d):
 @query("a8_rollout_dump", with_views("responses", """
 SELECT uid AS input, pred AS output, score, resp_len, CAST(resp_idx AS INTEGER) AS step FROM responses"""))
 def a8(spark, d):
-    path = A.scratch_path(spark, "dump")
+    path = scratch_path(spark, "dump")
     r = responses(spark, d, source=False)
     A.write_dump(r.select(F.col("uid").alias("input"), F.col("pred").alias("output"), "score", "resp_len", F.col("resp_idx").alias("step")), path)
     return A.read_json(spark, path, "input long, output string, score double, resp_len long, step int").select("input", "output", "score", "resp_len", "step")
@@ -93,7 +94,7 @@ def a8(spark, d):
 @query("a9_metric_document", with_views("responses", """
 SELECT round(avg(score) * 100, 6) AS accuracy, count(*) AS responses FROM responses"""))
 def a9(spark, d):
-    path = A.scratch_path(spark, "metrics")
+    path = scratch_path(spark, "metrics")
     r = responses(spark, d, index=False)
     A.write_metrics(r.agg((F.avg("score") * 100).alias("accuracy"), F.count("*").alias("responses")), path)
     return rnd(A.read_json(spark, path, "accuracy double, responses long"))
@@ -118,7 +119,7 @@ def graded():
 
 @query("s1_incremental_scoring", with_views("responses", "SELECT uid, resp_idx, score FROM responses"))
 def s1(spark, d):
-    root = A.scratch_path(spark, "s1")
+    root = scratch_path(spark, "s1")
     # two deliveries and two runs: the second run must take the new files only
     for status in ("F", "O"):
         arrivals(spark, d, status).write.mode("append").parquet(f"{root}/in")
@@ -129,7 +130,7 @@ def s1(spark, d):
 @query("s2_running_pass_rate", with_views("responses", """
 SELECT uid, count(*) AS n_responses, round(avg(score), 6) AS pass_rate FROM responses GROUP BY uid"""))
 def s2(spark, d):
-    root = A.scratch_path(spark, "s2")
+    root = scratch_path(spark, "s2")
     for status in ("F", "O"):
         arrivals(spark, d, status).withColumn("score", graded()).write.mode("append").parquet(f"{root}/in")
         S.running_pass_rates(S.arriving(spark, f"{root}/in", ARRIVAL + ", score double"), "uid", "score", f"{root}/out", f"{root}/ckpt")
@@ -145,7 +146,7 @@ def s3(spark, d):
 
 @query("s4_idempotent_rescore", with_views("responses", "SELECT uid, resp_idx, score FROM responses"))
 def s4(spark, d):
-    root = A.scratch_path(spark, "s4")
+    root = scratch_path(spark, "s4")
     # the first delivery is repeated in full by the second
     for status in ("F", None):
         arrivals(spark, d, status).write.mode("append").parquet(f"{root}/in")
@@ -157,7 +158,7 @@ def s4(spark, d):
 SELECT run_id, event_id, round(0.2 * exp(sum(ln(1 + least(greatest(value / 50.0 - 1, -0.2), 0.2) * 64 / 10000.0))
   OVER (PARTITION BY run_id ORDER BY ts, event_id)), 6) AS kl_coef FROM steps"""))
 def s6(spark, d):
-    root = A.scratch_path(spark, "s6")
+    root = scratch_path(spark, "s6")
     st = steps(spark, d).select("run_id", "ts", "event_id", "value")
     st = st.withColumn("ts", F.col("ts").cast("timestamp"))
     middle = st.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("m"))
@@ -176,7 +177,7 @@ def s6(spark, d):
 SELECT data_source AS step, CAST(least(floor((m - lo) / (hi - lo) * 10), 9) AS BIGINT) AS bin, count(*) AS n
 FROM per JOIN (SELECT data_source AS ds, min(m) AS lo, max(m) AS hi FROM per GROUP BY 1) ON ds = data_source GROUP BY 1, 2"""))
 def s7(spark, d):
-    root = A.scratch_path(spark, "s7")
+    root = scratch_path(spark, "s7")
     per = responses(spark, d, index=False).groupBy("data_source", "uid").agg(F.avg("reward").alias("score"))
     per.select(F.col("data_source").alias("step"), "score").write.parquet(f"{root}/in")
     S.append_step_scores(S.arriving(spark, f"{root}/in", "step string, score double"), f"{root}/out", f"{root}/ckpt")

@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.session import checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session (never a worker-local one on a cluster)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
 
 def read_prompts(spark: SparkSession, *paths: str) -> DataFrame:
     """Prompt tables from several files side by side; a missing chat-template flag means True."""
