@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions.policy import EPS, clip, masked_mean, masked_var
-from tarnlake.operators.ranks import running_totals, top_rows, with_group_stats, with_table_stats
+from tarnlake.operators.ranks import NO_LIMIT, checked_limit, running_totals, top_rows, with_group_stats, with_table_stats
+from tarnlake.session import durable
 
 STD_EPS = 1e-6  # fixed value: added to the group deviation
 
@@ -128,25 +129,29 @@ def linear_scan(
 
 
 def next_value(df: DataFrame, seq: str, t: str, col: str, name: str) -> DataFrame:
-    """Value of the following token, 0 past the end: a self join on (sequence, position)."""
-    nxt = df.select(seq, (F.col(t) - 1).alias(t), F.col(col).alias(name))
+    """Value of the following token, 0 past the end: a lead, or a self join when a sequence is hot."""
+    if checked_limit(df, [seq]) == NO_LIMIT:
+        return df.withColumn(name, F.lead(col, 1, 0).over(Window.partitionBy(seq).orderBy(t)).cast("double"))
+    nxt = df.select(seq, (F.col(t) - 1).alias(t), F.col(col).cast("double").alias(name))
     return df.join(nxt, [seq, t], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 def discounted_returns(df: DataFrame, seq: str, t: str, reward: str, mask: str, gamma: float) -> DataFrame:
     """R_t = r_t + gamma R_{t+1} mask_{t+1}, then whitened over the mask."""
     masked = next_value(df, seq, t, mask, "_next_mask")
-    out = linear_scan(masked, [seq], t, gamma * F.col("_next_mask"), F.col(reward), "returns")
-    return whiten(out, "returns", F.col(mask)).withColumn("advantage", F.col("advantage") * F.col(mask)).drop("_next_mask")
+    out = linear_scan(masked, [seq], t, gamma * F.col("_next_mask"), F.col(reward), "returns").drop("_next_mask")
+    # whitening reads the returns twice: once for the moments, once for the rows
+    out = whiten(durable(out, "returns"), "returns", F.col(mask))
+    return out.withColumn("advantage", F.col("advantage") * F.col(mask))
 
 
 def gae(df: DataFrame, seq: str, t: str, reward: str, value: str, mask: str, gamma: float, lam: float) -> DataFrame:
     """Generalised advantage estimation; returns = advantage + value, advantage whitened."""
     nxt = next_value(df, seq, t, value, "_next")
     delta = F.col(reward) + gamma * F.col("_next") - F.col(value)
-    out = linear_scan(nxt, [seq], t, F.lit(gamma * lam), delta, "raw")
-    out = out.withColumn("returns", F.col("raw") + F.col(value))
-    return whiten(out, "raw", F.col(mask)).drop("_next", "raw")
+    out = linear_scan(nxt, [seq], t, F.lit(gamma * lam), delta, "raw").drop("_next")
+    out = durable(out.withColumn("returns", F.col("raw") + F.col(value)), "gae")
+    return whiten(out, "raw", F.col(mask)).drop("raw")
 
 
 def multi_source_rloo(
@@ -171,8 +176,8 @@ def multi_source_rloo(
         F.col(t) == F.col("_valid") - 1, F.col("_acc") * scale - F.col("_sum_a") / (F.col("_n") - 1)
     ).otherwise(0.0)
     total = (from_reward * reward_coef + from_acc * acc_coef) * F.col(mask)
-    out = reward_to_go(j, seq, t, total)
-    return whiten(out, "returns", F.col(mask)).drop("_n", "_sum_r", "_sum_a", "_valid", "_acc")
+    out = reward_to_go(j, seq, t, total).drop("_n", "_sum_r", "_sum_a", "_valid", "_acc")
+    return whiten(durable(out, "returns"), "returns", F.col(mask))
 
 
 def soft_mean_baseline(df: DataFrame, reward: str, beta: float) -> DataFrame:

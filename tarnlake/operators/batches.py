@@ -28,20 +28,20 @@ def progress_eta(df: DataFrame, run: str, order: list[Column], secs: str, last:
     return out.withColumn("eta", F.col("mean_secs") * F.col("left_steps")).drop("_pos", "_n", "_b")
 
 
-def first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+def first_n(df: DataFrame, order: list[Column], n: int, hex_first: bool = False) -> DataFrame:
     """First n rows by order: a top-n for small n, else a filter on the key of the n-th row."""
     if n <= TOP_N_ROWS:
         return df.orderBy(*order).limit(n)
     if n >= df.count():
         return df
-    return df.filter(at_or_before(order, nth_keys(df, order, [n])[0]))
+    return df.filter(at_or_before(order, nth_keys(df, order, [n], hex_first=hex_first)[0]))
 
 
 def sample_n(df: DataFrame, key: str, seed: str, n: int | None) -> DataFrame:
     """Exactly min(n, rows) rows in a reproducible shuffle; all rows when n is None."""
     if n is None:
         return df
-    return first_n(df, [shuffled_order(F.col(key), seed), F.col(key)], n)
+    return first_n(df, [shuffled_order(F.col(key), seed), F.col(key)], n, hex_first=True)
 
 
 def allocate(df: DataFrame, subset: str, key: str, seed: str, target: int, sizes: DataFrame, strict: bool = True) -> DataFrame:
@@ -70,18 +70,18 @@ def random_split(df: DataFrame, key: str, seed: str, train: float, test: float)
         raise ValueError("split shares must not exceed 1")
     n = df.count()
     a, b = int(n * train + 1e-9), int(n * test + 1e-9)
-    out = cut_at(df, [shuffled_order(F.col(key), seed), F.col(key)], [a, a + b], n)
+    out = cut_at(df, [shuffled_order(F.col(key), seed), F.col(key)], [a, a + b], n, hex_first=True)
     split = F.when(F.col("_cut") == 0, "train").when(F.col("_cut") == 1, "test")
     return out.withColumn("split", split).filter(F.col("split").isNotNull()).drop("_cut")
 
 
-def cut_at(df: DataFrame, order: list[Column], ends: list[int], n: int) -> DataFrame:
+def cut_at(df: DataFrame, order: list[Column], ends: list[int], n: int, hex_first: bool = False) -> DataFrame:
     """Number of the piece (_cut) a row falls in, for pieces that end after the given row counts.
 
     Only the keys of the end rows are looked up; no row is ranked or moved.
     """
     inner = sorted({e for e in ends if 0 < e < n})
-    keys = dict(zip(inner, nth_keys(df, order, inner)))
+    keys = dict(zip(inner, nth_keys(df, order, inner, hex_first=hex_first)))
     piece = F.lit(0)
     for e in ends:
         if e <= 0:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.policy import log_sigmoid, preference_loss
-from tarnlake.operators.ranks import checked_limit, row_index, running_totals
+from tarnlake.operators.ranks import checked_limit, level_totals, row_index, running_totals
 
 
 def pair_loss(pairs: DataFrame, beta: float, smoothing: float = 0.0, kind: str = "sigmoid", reference_free: bool = False):
@@ -37,31 +37,24 @@ def preference_metrics(pairs: DataFrame, score: str) -> DataFrame:
 def peer_means(df: DataFrame, group: list[str], acc: str, q: str) -> DataFrame:
     """Mean q of peers with lower accuracy (for acc > 0) or higher accuracy (otherwise); 0 if none.
 
-    Rows are first summed per accuracy level; running sums over the levels replace the peer join.
+    Totals up to each accuracy level replace the peer join; a row's own level is taken off again.
     """
-    limit = checked_limit(df, group)
-    levels = df.groupBy(*group, acc).agg(F.count("*").alias("_c"), F.sum(q).alias("_q"))
-    cum = running_totals(levels, group, [F.col(acc)], {"_cc": F.col("_c"), "_qq": F.col("_q")}, limit)
-    tot = levels.groupBy(*group).agg(F.sum("_c").alias("_all_n"), F.sum("_q").alias("_all_q"))
-    below_n, below_q = F.col("_cc") - F.col("_c"), F.col("_qq") - F.col("_q")
-    above_n, above_q = F.col("_all_n") - F.col("_cc"), F.col("_all_q") - F.col("_qq")
+    j = level_totals(df, group, acc, {"_n": F.lit(1).cast("long"), "_q": F.col(q)})
+    own = level_totals(j, [*group, acc], acc, {"_own_n": F.lit(1).cast("long"), "_own_q": F.col(q)})
+    below_n, below_q = F.col("_n_upto") - F.col("_own_n_all"), F.col("_q_upto") - F.col("_own_q_all")
+    above_n, above_q = F.col("_n_all") - F.col("_n_upto"), F.col("_q_all") - F.col("_q_upto")
     n = F.when(F.col(acc) > 0, below_n).otherwise(above_n)
     s = F.when(F.col(acc) > 0, below_q).otherwise(above_q)
-    means = cum.join(tot, group).select(
-        *group, acc, F.when(n > 0, s / n).otherwise(0.0).alias("peer_mean"),
-        (F.col("_cc") / F.col("_all_n")).alias("acc_share_at_or_below"), F.col("_all_n").alias("group_size"),
-    )
-    return df.join(means, [*group, acc])
+    return own.withColumns({
+        "peer_mean": F.when(n > 0, s / n).otherwise(0.0),
+        "acc_share_at_or_below": F.col("_n_upto") / F.col("_n_all"), "group_size": F.col("_n_all"),
+    }).drop(*[f"{c}_{t}" for c in ("_n", "_q", "_own_n", "_own_q") for t in ("upto", "all")])
 
 
 def share_at_or_below(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """Share of the group with a value at or below the row's own."""
-    limit = checked_limit(df, group)
-    levels = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
-    cum = running_totals(levels, group, [F.col(value)], {"_cc": F.col("_c")}, limit)
-    tot = levels.groupBy(*group).agg(F.sum("_c").alias("_all_n"))
-    shares = cum.join(tot, group).select(*group, value, (F.col("_cc") / F.col("_all_n")).alias(name))
-    return df.join(shares, [*group, value])
+    j = level_totals(df, group, value, {"_v": F.lit(1).cast("long")})
+    return j.withColumn(name, F.col("_v_upto") / F.col("_v_all")).drop("_v_upto", "_v_all")
 
 
 def cross_entropy(df: DataFrame, q: Column, acc: Column, beta: float) -> DataFrame:

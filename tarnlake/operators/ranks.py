@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.functions.text import let
 from tarnlake.session import int_conf
 
 HOT_KEY = "spark.tarnlake.hotGroupRows"
@@ -69,9 +70,12 @@ def _bucket_of(cuts: list, dtype: T.DataType) -> Column:
     arr = F.from_json(F.lit(json.dumps(cuts)), T.ArrayType(dtype))
     width = max(1, int(math.sqrt(len(cuts))))
     coarse = F.from_json(F.lit(json.dumps(cuts[width - 1 :: width])), T.ArrayType(dtype))
-    blocks = F.size(F.filter(coarse, lambda c: c <= F.col("_key"))) * width
-    tail = F.filter(F.slice(arr, blocks + 1, width), lambda c: c <= F.col("_key"))
-    return blocks + F.size(tail)
+
+    def search(key):
+        blocks = F.size(F.filter(coarse, lambda c: c <= key)) * width
+        return let(blocks, lambda b: b + F.size(F.filter(F.slice(arr, b + 1, F.lit(width)), lambda c: c <= key)))
+
+    return let(F.col("_key"), search)
 
 
 def plain_totals(df: DataFrame, by: list[str], order: list[Column], totals: dict[str, Column]) -> DataFrame:
@@ -89,15 +93,15 @@ def checked_limit(df: DataFrame, by: list[str], hot_rows: int | None = None) ->
     return hot_rows if any_hot else NO_LIMIT
 
 
-def nth_keys(df: DataFrame, order: list[Column], positions: list[int], direct: int = 10_000) -> list:
+def nth_keys(df: DataFrame, order: list[Column], positions: list[int], direct: int = 10_000, hex_first: bool = False) -> list:
     """Ordering struct of the n-th smallest row (1-based) for each position, as Python rows.
 
-    Histogram selection: rows are counted between sampled cut points and only the one bucket that
-    holds the position is looked at again, so no row is sorted or shuffled.  Each bucket has about
-    1/256 of the rows; a bucket larger than ``direct`` is cut again.
+    Histogram selection: rows are counted by bucket and only a bucket that holds a position is
+    looked at again, so no row is sorted or shuffled.  Buckets lie between sampled cut points, or
+    are hash prefixes when the first ordering column is a hex digest.  A bucket larger than
+    ``direct`` is cut again.
     """
     keyed = df.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("_key"))
-    dtype = keyed.schema["_key"].dataType
     if not positions:
         return []
     if max(positions) <= direct:
@@ -105,8 +109,10 @@ def nth_keys(df: DataFrame, order: list[Column], positions: list[int], direct: i
         wanted = row_number_small(top).filter(F.col("_rn").isin(positions)).collect()
         at = {r["_rn"]: r["_key"] for r in wanted}
         return [at[p] for p in positions]
-    cuts = _cut_points(keyed, 256)
-    bucketed = keyed.withColumn("_bucket", _bucket_of(cuts, dtype))
+    if hex_first:
+        bucketed = keyed.withColumn("_bucket", F.substring("_key.k0", 1, 4))
+    else:
+        bucketed = keyed.withColumn("_bucket", _bucket_of(_cut_points(keyed, 64), keyed.schema["_key"].dataType))
     sizes = sorted((r["_bucket"], r["n"]) for r in bucketed.groupBy("_bucket").agg(F.count("*").alias("n")).collect())
     found = {}
     start = 0
@@ -187,6 +193,26 @@ def running_totals(
     return out.drop("_key", "_hot", "_bucket", *parts, *[f"_base{p}" for p in parts])
 
 
+def level_totals(df: DataFrame, by: list[str], level: str, sums: dict[str, Column], hot_rows: int | None = None) -> DataFrame:
+    """Add to each row ``<name>_upto`` (sum over rows of its group at or below its level) and
+    ``<name>_all`` (sum over its group).
+
+    Small groups take one window; hot ones are first summed per level and joined back.
+    """
+    limit = checked_limit(df, by, hot_rows)
+    if limit == NO_LIMIT:
+        upto = Window.partitionBy(*by).orderBy(level).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = Window.partitionBy(*by)
+        return df.withColumns({
+            **{f"{n}_upto": F.sum(c).over(upto) for n, c in sums.items()}, **{f"{n}_all": F.sum(c).over(whole) for n, c in sums.items()}
+        })
+    levels = df.groupBy(*by, level).agg(*[F.sum(c).alias(f"_l{n}") for n, c in sums.items()])
+    cum = running_totals(levels, by, [F.col(level)], {f"{n}_upto": F.col(f"_l{n}") for n in sums}, limit)
+    total = levels.groupBy(*by).agg(*[F.sum(f"_l{n}").alias(f"{n}_all") for n in sums])
+    side = cum.join(total, by).drop(*[f"_l{n}" for n in sums])
+    return df.join(side, [*by, level])
+
+
 def row_index(
     df: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "row_no",
     hot_rows: int | None = None,

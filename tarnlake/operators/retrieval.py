@@ -36,11 +36,14 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     import numpy as np
 
     spark = corpus.sparkSession
-    numbered = row_index(queries, [F.col("query_id")], name="_n")
-    count = queries.count()
+    first = queries.select("query_id", "vec").limit(QUERY_BLOCK + 1).collect()
+    blocks = [first]
+    if len(first) > QUERY_BLOCK:
+        numbered = durable(row_index(queries.select("query_id", "vec"), [F.col("query_id")], name="_n"), "queries")
+        starts = range(0, numbered.count(), QUERY_BLOCK)
+        blocks = (numbered.filter((F.col("_n") >= a) & (F.col("_n") < a + QUERY_BLOCK)).collect() for a in starts)
     out = None
-    for a in range(0, max(count, 1), QUERY_BLOCK):
-        rows = numbered.filter((F.col("_n") >= a) & (F.col("_n") < a + QUERY_BLOCK)).select("query_id", "vec").collect()
+    for rows in blocks:
         block = spark.sparkContext.broadcast((
             np.array([r["query_id"] for r in rows]), np.array([list(r["vec"]) for r in rows], dtype="float64")
         ))
