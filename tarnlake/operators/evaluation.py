@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.operators.ranks import checked_limit, gather, row_index, running_totals, top_rows
+from tarnlake.operators.ranks import checked_limit, gather, level_totals, row_index, top_rows
 
 BOOTSTRAP_ROWS = 4096
 
@@ -101,9 +101,9 @@ def best_worst_at_n(df: DataFrame, source: str, prompt: str, value: str) -> Data
     """
     limit = checked_limit(df, [source, prompt])
     hist = df.groupBy(source, prompt, value).agg(F.count("*").alias("_c"))
-    cum = running_totals(hist, [source, prompt], [F.col(value)], {"_upto": F.col("_c")}, limit)
-    sizes = hist.groupBy(source, prompt).agg(F.sum("_c").alias("_N")).filter(F.col("_N") > 1)
-    joined = cum.join(sizes, [source, prompt]).withColumn("n", F.explode(powers_of_two(F.col("_N"), below=True)))
+    cum = level_totals(hist, [source, prompt], value, {"_t": F.col("_c")}, limit)
+    cum = cum.withColumnsRenamed({"_t_upto": "_upto", "_t_all": "_N"}).filter(F.col("_N") > 1)
+    joined = cum.withColumn("n", F.explode(powers_of_two(F.col("_N"), below=True)))
     hi = F.col("_upto") / F.col("_N")
     lo = (F.col("_upto") - F.col("_c")) / F.col("_N")
     n = F.col("n").cast("double")
@@ -183,10 +183,8 @@ def bootstrap(df: DataFrame, source: str, prompt: str, pos: str, vote: str, valu
     Arrow group each.  Larger prompts use draws made by hashing (prompt, n, draw, slot), joined to
     the responses by position: the same statistic, spread over many tasks.
     """
-    sized = df.join(
-        row_index(df.groupBy(source, prompt).agg(F.count("*").alias("_N")).filter("_N > 1"), [F.col(source), F.col(prompt)], name="_g"),
-        [source, prompt],
-    )
+    sizes = df.groupBy(source, prompt).agg(F.count("*").alias("_N")).filter(F.col("_N") > 1)
+    sized = df.join(sizes, [source, prompt])
     small = sized.filter(F.col("_N") <= BOOTSTRAP_ROWS)
     arrays = small.groupBy(source, prompt).agg(
         F.sort_array(F.collect_list(F.struct(pos, F.xxhash64(vote).alias("v"), F.col(value).cast("double").alias("x")))).alias("_s")

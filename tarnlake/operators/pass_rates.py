@@ -61,6 +61,8 @@ def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
 def last_per_key(df: DataFrame, keys: list[str], pos: Column) -> DataFrame:
     """Keep the row with the highest position of each key (later entries overwrite earlier ones)."""
     rest = [c for c in df.columns if c not in keys]
+    if len(rest) == 1:
+        return df.groupBy(*keys).agg(F.max_by(rest[0], pos).alias(rest[0]))
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), pos).alias("_r"))
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 

@@ -199,7 +199,7 @@ def level_totals(df: DataFrame, by: list[str], level: str, sums: dict[str, Colum
 
     Small groups take one window; hot ones are first summed per level and joined back.
     """
-    limit = checked_limit(df, by, hot_rows)
+    limit = hot_rows if hot_rows == NO_LIMIT else checked_limit(df, by, hot_rows)
     if limit == NO_LIMIT:
         upto = Window.partitionBy(*by).orderBy(level).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy(*by)

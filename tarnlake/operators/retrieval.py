@@ -86,7 +86,8 @@ def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b
     n_terms = wanted.limit(BROADCAST_ROWS + 1).count()
     wanted = F.broadcast(wanted) if n_terms <= BROADCAST_ROWS else wanted
     tokens = corpus.select("doc_id", terms(F.col("text")).alias("ts")).withColumn("dl", F.size("ts"))
-    stats = tokens.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    lengths = F.regexp_count(F.lower("text"), F.lit(TOKEN_PATTERN))
+    stats = corpus.agg(F.count("*").alias("docs"), F.avg(lengths).alias("avgdl"))
     tf = (
         tokens.select("doc_id", "dl", F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
         .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))

@@ -103,11 +103,18 @@ SCORERS: dict[str, Scorer] = {
 }
 
 
+# scorers that run in Python workers; they get a branch of their own
+PYTHON_SCORERS: set[str] = {"json_answer", "sentence_order"}
+SCORERS["json_answer"] = lambda r, t: A.json_match()(r, t).cast("double")
+SCORERS["sentence_order"] = lambda r, t: B.sentence_order()(t, r)
+
+
 def register_scorer(name: str, fn: Scorer) -> None:
-    """Add a scorer: a function (response, truth) -> Column, dict of Columns, or pandas UDF call."""
+    """Add a scorer: a function (response, truth) -> Column, dict of Columns, or a pandas UDF."""
     if not callable(fn):
         raise TypeError("a scorer must be callable")
     SCORERS[name] = fn
+    (PYTHON_SCORERS.add if hasattr(fn, "evalType") else PYTHON_SCORERS.discard)(name)
 
 
 def load_scorer(path: str, function: str, **bound) -> Scorer:
@@ -152,22 +159,32 @@ STRUCT_SCORERS = {"math_default", "math_boxed_numeric", "answer_line", "strict_b
 
 
 def score_responses(df: DataFrame, response: str, truth: str, scorer: str, names: list[str]) -> DataFrame:
-    """Grade rows whose scorer column names one of ``names``; one union branch per scorer.
+    """Grade rows whose scorer column names one of ``names``.
 
-    Each branch filters first, so an expensive grader never runs on rows of another family.
+    Column scorers share one pass and one first-match expression, which evaluates only the grader of
+    the row.  Python scorers do not stop early inside such an expression, so each gets a filtered
+    branch.
     """
+    def graded(n):
+        raw = SCORERS[n](F.col(response), F.col(truth))
+        return raw if n in STRUCT_SCORERS else as_result(raw)
+
+    jvm = [n for n in names if n not in PYTHON_SCORERS]
     parts = []
+    if jvm:
+        res = F
+        for n in jvm:
+            res = res.when(F.col(scorer) == n, graded(n))
+        parts.append(df.filter(F.col(scorer).isin(jvm)).withColumn("_res", res))
     for n in names:
-        raw = SCORERS[n](F.col(response), F.col(truth))
-        res = raw if n in STRUCT_SCORERS else as_result(raw)
-        part = df.filter(F.col(scorer) == n).withColumn("_res", res)
-        parts.append(part.withColumns({
-            "score": F.coalesce("_res.score", F.lit(0.0)), "acc": F.coalesce("_res.acc", F.lit(0.0)), "pred": F.col("_res.pred"),
-        }).drop("_res"))
+        if n in PYTHON_SCORERS:
+            parts.append(df.filter(F.col(scorer) == n).withColumn("_res", graded(n)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.withColumns({
+        "score": F.coalesce("_res.score", F.lit(0.0)), "acc": F.coalesce("_res.acc", F.lit(0.0)), "pred": F.col("_res.pred"),
+    }).drop("_res")
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,7 @@ from tarnlake.functions.text import token_count
 from tarnlake.operators import prompts as P
 from tarnlake.operators.batches import positional_split
 from tarnlake.operators.ranks import gather, row_index
+from tarnlake.operators.sets import concat_strict
 from tarnlake.plans.registry import query
 from tarnlake.plans.token_metrics import rnd
 from tarnlake.plans.views import answers, documents, responses, table, with_views
@@ -543,6 +544,91 @@ def recipe_docs(spark, d):
     )))
 
 
+SEARCH_SYSTEM = "You can search before you answer."
+
+
+@query("recipe_search_tool", with_views("answers", """
+SELECT uid, 'searchR1_parts' AS data_source, concat('You can search before you answer.', p_name) AS content, ground_truth,
+  concat('{"search":{"create_kwargs":{"ground_truth":"', ground_truth, '","question":"', p_name, '","data_source":"searchR1_parts"}}}') AS tools FROM answers"""))
+def recipe_search(spark, d):
+    source = F.concat(F.lit("searchR1_"), F.lit("parts"))
+    tools = B.tool_args("search", ground_truth=F.col("ground_truth"), question=F.col("p_name"), data_source=source)
+    out = P.build_prompts(answers(spark, d), P.Recipe(
+        data_source=source, ability="search", key="uid",
+        prompt=F.array(B.message("system", F.lit(SEARCH_SYSTEM)), B.message("user", F.col("p_name"))),
+        ground_truth=F.coalesce(F.col("ground_truth"), F.col("p_brand")),
+        extra={"question": F.col("p_name"), "need_tools_kwargs": F.lit(True), "tools_kwargs": F.to_json(tools)},
+    ))
+    return out.select("uid", "data_source", B.joined_contents(F.col("prompt")).alias("content"), "reward_model.ground_truth",
+                      F.col("extra_info")["tools_kwargs"].alias("tools"))
+
+
+@query("recipe_code_io", with_views("answers", f"""
+, x AS (SELECT uid, p_name, p_brand, p_type, CASE WHEN substr(md5(concat(uid, 'dir')), 1, 1) < '8' THEN 'input' ELSE 'output' END AS given_type FROM answers)
+SELECT uid, replace(replace(replace(CASE WHEN given_type = 'output' THEN {q(T_IN)} ELSE {q(T_OUT)} END, '{{{{given_type}}}}', given_type),
+  '{{{{given}}}}', CASE WHEN given_type = 'input' THEN p_name ELSE p_brand END), '{{{{refcode}}}}', p_type) AS content,
+  CASE WHEN given_type = 'input' THEN concat('"output": ', p_brand) ELSE concat('"input": ', p_name) END AS ground_truth FROM x"""))
+def recipe_code_io(spark, d):
+    a = answers(spark, d).withColumn("given_type", B.coin(F.col("uid"), "dir", "input", "output"))
+    given_input = F.col("given_type") == "input"
+    template = F.when(given_input, T_OUT).otherwise(T_IN)
+    content = B.fill(template, {
+        "given_type": F.col("given_type"), "given": F.when(given_input, F.col("p_name")).otherwise(F.col("p_brand")), "refcode": F.col("p_type"),
+    })
+    truth = B.fill('"{{predict_type}}": {{sol}}', {
+        "predict_type": F.when(given_input, "output").otherwise("input"), "sol": F.when(given_input, F.col("p_brand")).otherwise(F.col("p_name")),
+    })
+    return P.flat(P.build_prompts(a, P.Recipe(
+        data_source=F.lit("simulation__codeio"), ability="coding-inference", key="uid", prompt=B.user_prompt(content), ground_truth=truth,
+    ))).select("uid", "content", "ground_truth")
+
+
+@query("recipe_grid_puzzle", with_views("answers", """
+SELECT uid, concat('Rows: ', p_name, ' Fill the grid.') AS content, concat('[["', p_brand, '","', p_type, '"]]') AS ground_truth,
+  concat(p_size % 5 + 1, 'x', p_size % 3 + 1) AS grid_size, 'logic__zebra_puzzle_dataset' AS data_source FROM answers"""))
+def recipe_puzzle(spark, d):
+    size = F.concat((F.col("p_size") % 5 + 1).cast("string"), F.lit("x"), (F.col("p_size") % 3 + 1).cast("string"))
+    out = P.build_prompts(answers(spark, d), P.Recipe(
+        data_source=B.domain_source(F.lit("zebra_puzzle_dataset"), "zebra_puzzle"), ability="logical_reasoning", key="uid",
+        prompt=B.user_prompt(F.concat(F.lit("Rows: "), F.col("p_name"), F.lit(" Fill the grid."))),
+        ground_truth=F.to_json(F.array(F.array("p_brand", "p_type"))), extra={"grid_size": size},
+    ))
+    return out.select("uid", F.col("prompt")[0]["content"].alias("content"), "reward_model.ground_truth",
+                      F.col("extra_info")["grid_size"].alias("grid_size"), "data_source")
+
+
+@query("recipe_hash_answer_math", with_views("answers", """
+SELECT uid, concat(p_name, ' Let''s think step by step and output the final answer after `####`.') AS content, concat(p_size, '000') AS ground_truth FROM answers WHERE p_size % 3 <> 0"""))
+def recipe_hash(spark, d):
+    s = F.col("p_size").cast("string")
+    raw = F.when(F.col("p_size") % 3 == 0, F.lit("no mark")).otherwise(F.concat(F.lit("steps\n#### "), s, F.lit(",000")))
+    a = answers(spark, d).withColumn("solution", B.hash_answer(raw))
+    return P.flat(P.build_prompts(a, P.Recipe(
+        data_source=F.lit("math__hash"), ability="math", key="uid", skip={"no_answer": F.col("solution").isNull()},
+        prompt=B.user_prompt(F.concat("p_name", F.lit(" Let's think step by step and output the final answer after `####`."))),
+        ground_truth=F.col("solution"),
+    ))).select("uid", "content", "ground_truth")
+
+
+@query("recipe_evaluation_set", with_views("answers", """
+SELECT 'problems' AS data_source, uid, p_name AS content, ground_truth FROM answers
+UNION ALL SELECT 'dated', o_orderkey, o_orderpriority, o_orderstatus FROM orders
+  WHERE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') >= '1996-08-00T00:00:00' AND strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') < '1998-01-00T00:00:00'
+UNION ALL SELECT 'turns', conv_id * 100000 + turn, text, role FROM conversations"""))
+def recipe_evaluation(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    dated = table(spark, d, "orders").filter(C.between_dates(day, "1996-08-00T00:00:00", "1998-01-00T00:00:00"))
+    turns = table(spark, d, "conversations").withColumn("key", F.col("conv_id") * 100000 + F.col("turn"))
+    sets = [
+        (answers(spark, d), "problems", "uid", "p_name", "ground_truth"),
+        (dated, "dated", "o_orderkey", "o_orderpriority", "o_orderstatus"), (turns, "turns", "key", "text", "role"),
+    ]
+    parts = [P.flat(P.build_prompts(df, P.Recipe(
+        data_source=F.lit(name), ability="mixed", key=key, prompt=B.user_prompt(F.col(text)), ground_truth=F.col(truth), split="test",
+    ))) for df, name, key, text, truth in sets]
+    return concat_strict(*parts).select("data_source", "uid", "content", "ground_truth")
+
+
 # gates
 
 @query("q1_q4_prompt_gates", f"""

@@ -107,3 +107,67 @@ def test_bootstrap_of_large_prompts(spark, monkeypatch):
         for got in (small, large):
             assert got[n].best_mean == pytest.approx(exact[n].best_mean, abs=0.5)
             assert got[n].worst_mean == pytest.approx(exact[n].worst_mean, abs=0.5)
+
+
+def test_bootstrap_draws_follow_the_seed(spark):
+    import numpy as np
+
+    from tarnlake.operators import evaluation as E
+
+    x, votes = [0.1, 0.7, 0.4, 0.9, 0.2], list("abbca")
+    df = spark.createDataFrame([("s", 1, i, votes[i], x[i]) for i in range(5)], "source string, uid long, pos long, vote string, value double")
+    got = {r.n: r for r in E.bootstrap(df, "source", "uid", "pos", "vote", "value").collect()}
+    for n in (2, 4, 5):
+        np.random.seed(42)
+        best, maj = [], []
+        for _ in range(1000):
+            idx = np.random.choice(5, size=n, replace=True)
+            best.append(max(x[i] for i in idx))
+            picked = [votes[i] for i in idx]
+            top = max(picked, key=picked.count)
+            maj.append(x[idx[picked.index(top)]])
+        assert got[n].best_mean == pytest.approx(np.mean(best)) and got[n].majority_mean == pytest.approx(np.mean(maj))
+
+
+def test_bootstrap_with_user_functions(spark):
+    from tarnlake.operators import evaluation as E
+
+    df = spark.createDataFrame([("g", i, float(i)) for i in range(100)], "k string, pos long, x double")
+    got = E.bootstrap_reduce(df, ["k"], "pos", "x", 8, {"mean": lambda a: a.mean(1)}, draws=500).first()
+    assert got.mean_mean == pytest.approx(49.5, abs=2.0) and got.mean_std == pytest.approx(28.9 / 8**0.5, rel=0.15)
+
+
+@pytest.mark.parametrize("hex_first", [True, False])
+def test_nth_keys(skewed, hex_first):
+    from tarnlake.operators.ranks import nth_keys, shuffled_order
+
+    order = [shuffled_order(F.col("id"), "z"), F.col("id")]
+    ranked = [tuple(r) for r in skewed.select(*order).orderBy(*order).collect()]
+    at = [1, 2, 1999, 3000, 6000]
+    assert [tuple(k) for k in nth_keys(skewed, order, at, direct=50, hex_first=hex_first)] == [ranked[p - 1] for p in at]
+
+
+def test_nth_keys_with_a_hot_first_column(skewed):
+    from tarnlake.operators.ranks import nth_keys
+
+    order = [F.col("key"), F.col("id")]
+    ranked = [tuple(r) for r in skewed.select(*order).orderBy(*order).collect()]
+    assert [tuple(k) for k in nth_keys(skewed, order, [10, 1500, 2500], direct=20)] == [ranked[p - 1] for p in (10, 1500, 2500)]
+
+
+@pytest.mark.parametrize("limit", [None, 20])
+def test_peers_against_brute_force(spark, skewed, limit, monkeypatch):
+    if limit:
+        spark.conf.set("spark.tarnlake.hotGroupRows", str(limit))
+    try:
+        got = {r.id: (r.peer_mean, r.acc_share_at_or_below) for r in P.peer_means(skewed, ["key"], "acc", "x").collect()}
+    finally:
+        spark.conf.unset("spark.tarnlake.hotGroupRows")
+    groups = {}
+    for r in skewed.collect():
+        groups.setdefault(r.key, []).append(r)
+    for rows_ in groups.values():
+        for r in rows_[:20]:
+            peers = [p.x for p in rows_ if (p.acc < r.acc if r.acc > 0 else p.acc > r.acc)]
+            want = sum(peers) / len(peers) if peers else 0.0
+            assert got[r.id] == (pytest.approx(want), pytest.approx(sum(p.acc <= r.acc for p in rows_) / len(rows_)))
