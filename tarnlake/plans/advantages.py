@@ -76,7 +76,7 @@ def f6(spark, d):
 
 @query("f7_greedy_baseline_advantage", with_views("tokens", """
 SELECT seq_id, t, round(sum(reward * mask) OVER w, 6) AS returns,
-       round(sum(reward * mask) OVER w - 0.05 * (seq_id % 3) * mask, 6) AS advantage
+       round(sum(reward * mask) OVER w - 0.05 * (seq_id % 3) * mask, 6) + 0.0 AS advantage
 FROM tokens WINDOW w AS (PARTITION BY seq_id ORDER BY t DESC)"""))
 def f7(spark, d):
     tk = tokens(spark, d).withColumn("greedy", 0.05 * (F.col("seq_id") % 3))
@@ -95,7 +95,7 @@ vals AS (
       lambda a, b: struct_pack(x := b.x + 0.9 * b.nm * a.x, nm := 0)).x AS returns FROM rets),
 mu AS (SELECT sum(returns * mask) / (sum(mask) + 1e-8) AS mean, sum(mask) AS n FROM vals),
 v AS (SELECT sum(mask * (returns - mean) * (returns - mean)) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM vals, mu)
-SELECT seq_id, t, round(returns, 6) AS returns, round((returns - mean) / sqrt(var + 1e-8) * mask, 6) AS advantage FROM vals, mu, v"""))
+SELECT seq_id, t, round(returns, 6) AS returns, round((returns - mean) / sqrt(var + 1e-8) * mask, 6) + 0.0 AS advantage FROM vals, mu, v"""))
 def f8(spark, d):
     out = A.discounted_returns(tokens(spark, d), "seq_id", "t", "reward", "mask", 0.9)
     return r6(out.select("seq_id", "t", "returns", "advantage"), "returns", "advantage")
@@ -133,7 +133,7 @@ x AS (SELECT tk.seq_id, t, mask, mask * (0.333331 * (CASE WHEN mask = 1 THEN rew
 ret AS (SELECT seq_id, t, mask, sum(v) OVER (PARTITION BY seq_id ORDER BY t DESC) AS returns FROM x),
 mu AS (SELECT sum(returns * mask) / (sum(mask) + 1e-8) AS mean, sum(mask) AS n FROM ret),
 vv AS (SELECT sum(mask * (returns - mean) * (returns - mean)) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM ret, mu)
-SELECT seq_id, t, round(returns, 6) AS returns, round((returns - mean) / sqrt(var + 1e-8), 6) AS advantage FROM ret, mu, vv"""))
+SELECT seq_id, t, round(returns, 6) + 0.0 AS returns, round((returns - mean) / sqrt(var + 1e-8), 6) + 0.0 AS advantage FROM ret, mu, vv"""))
 def f11(spark, d):
     o = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("seq_id"), F.col("o_custkey").alias("prompt"),

@@ -83,12 +83,12 @@ def a7(spark, d):
 
 
 @query("a8_rollout_dump", with_views("responses", """
-SELECT uid AS input, pred AS output, score, resp_len, CAST(resp_idx AS INTEGER) AS step FROM responses"""))
+SELECT uid AS input, pred AS output, score, resp_idx, CAST(resp_len AS INTEGER) AS step FROM responses"""))
 def a8(spark, d):
     path = scratch_path(spark, "dump")
     r = responses(spark, d, source=False)
-    A.write_dump(r.select(F.col("uid").alias("input"), F.col("pred").alias("output"), "score", "resp_len", F.col("resp_idx").alias("step")), path)
-    return A.read_json(spark, path, "input long, output string, score double, resp_len long, step int").select("input", "output", "score", "resp_len", "step")
+    A.write_dump(r.select(F.col("uid").alias("input"), F.col("pred").alias("output"), "score", "resp_idx", F.col("resp_len").alias("step")), path)
+    return A.read_json(spark, path, "input long, output string, score double, resp_idx long, step int").select("input", "output", "score", "resp_idx", "step")
 
 
 @query("a9_metric_document", with_views("responses", """

@@ -66,7 +66,7 @@ def write_rates(df: DataFrame, path: str) -> None:
 
 
 def write_dump(df: DataFrame, path: str) -> None:
-    """Rollout dump: JSON lines, one folder per step."""
+    """Rollout dump: JSON lines, one folder per step (a training step, so few per run)."""
     df.write.mode("overwrite").partitionBy("step").json(path)
 
 
