@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import table, word_count
+from tarnlake.llm.common import held_out, table, word_count
 from tarnlake.llm.registry import QUERIES, query  # noqa: F401
 from tarnlake.session import scratch_path
 
 PACK_LENGTHS = [512, 1024, 2048, 4096, 8192]
 SHARDS = 16
+MIX_BUDGET = 0.5  # share of the tokens that the mix takes
+MIX_EXPONENT = 0.7  # of the natural shares, for targets
 
 
 def pack_tokens(text):
@@ -62,8 +64,68 @@ def warc(spark, d):
     )
 
 
+@query("op3_mixing")
+def mixing(spark, d):
+    from tarnlake.llm.common import saved
+    from tarnlake.llm.mixing import fit_mix, mix_documents, with_dimensions
+
+    rows = saved(with_dimensions(table(spark, d, "documents"), pack_tokens(F.col("text"))), "mix_rows")
+    return mix_documents(rows, fit_mix(rows, MIX_BUDGET, MIX_EXPONENT))
+
+
+@query("op4_ngram_jaccard")
+def ngram_jaccard(spark, d):
+    from tarnlake.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, d, "documents"), width=4, p=85, q=100)
+
+
+@query("op5_toxicity")
+def toxicity(spark, d):
+    from tarnlake.llm.toxicity import SCORE, learn_from, score_toxicity
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, learn_from(docs, table(spark, d, "labels")), spans=False)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_document_fingerprints")
+def document_fingerprints(spark, d):
+    from tarnlake.llm.syncmers import fingerprint_pairs
+
+    return fingerprint_pairs(table(spark, d, "documents"), F.col("text"))
+
+
+@query("op7_quality_rules")
+def quality_rules(spark, d):
+    from tarnlake.llm import rules
+    from tarnlake.llm.statistics import BASE
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    judged = rules.judge(docs, rules.learn_from(docs, table(spark, d, "labels")), F.col("text"))
+    return judged.select("doc_id", *BASE, "base_failed", "kept")
+
+
+@query("op9_quality_classifier")
+def quality_classifier(spark, d):
+    from tarnlake.llm.ensemble import learn_from, score_quality
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = score_quality(docs, learn_from(docs, table(spark, d, "labels")), F.col("text"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__quality").alias("score"), (F.col("__quality") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query("op10_license_scan")
 def license_scan(spark, d):
     from tarnlake.llm.licenses import licence_report
 
     return licence_report(table(spark, d, "documents"), F.col("text"))
+
+
+@query("pipeline")
+def pipeline(spark, d):
+    from corpus_pipeline import run
+
+    return run(spark, d)

@@ -46,7 +46,7 @@ def _round(linked: DataFrame, shards: int, quota: float, number: int) -> tuple[D
         F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("_by"),
         F.max(F.when(F.col("shard").isin(open_shards), F.struct("n", F.xxhash64("link", "shard").alias("h"), "shard"))).alias("_best"),
     ).filter(F.col("_best").isNotNull() & (F.size("_by") > 1))
-    groups = groups.select("link", "_by", F.col("_best.shard").alias("target"), F.col("_best.n").alias("_goal"))
+    groups = saved(groups.select("link", "_by", F.col("_best.shard").alias("target"), F.col("_best.n").alias("_goal")), "shard_targets")
     asked = linked.join(groups, "link", "left").withColumn("_gain", F.col("_goal") - F.element_at("_by", F.col("shard")))
     # members elsewhere ask for the group's shard when more neighbours are there, or as many and the hash decides
     wants = F.col("target").isNotNull() & (F.col("target") != F.col("shard")) & (F.col("_gain") >= 0)
@@ -81,6 +81,7 @@ def balanced_shards(docs: DataFrame, shards: int, link: str = "link", rounds: in
     rest = [c for c in docs.columns if c not in ("doc_id", link)]
     base = docs.select("doc_id", F.col(link).alias("link"), *rest, F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
     many = base.filter(F.col("link").isNotNull()).groupBy("link").agg(F.count("*").alias("_m")).filter("_m > 1")
+    many = saved(many, "shard_groups")  # read back, so that the join below gets plain exchanges, which Spark can split
     base = saved(base.join(many, "link", "left").withColumn("_linked", F.col("_m").isNotNull()).drop("_m"), "shard_base")
     total = base.count()
     quota = total // shards
