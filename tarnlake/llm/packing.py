@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.common import saved
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 @dataclass
