@@ -22,13 +22,13 @@ def masked_mean(x: Column, mask: Column) -> Column:
     return F.sum(x * mask) / (F.sum(mask) + EPS)
 
 
-def masked_var(x: Column, mask: Column, unbiased: bool = True) -> Column:
-    """Variance over the mask; the Bessel factor uses the mask total and needs more than one."""
+def masked_var(x: Column, mask: Column, mean: Column, unbiased: bool = True) -> Column:
+    """Variance over the mask (or weights) about a mean found before; the Bessel factor needs a mask total above one.
+
+    Squares are taken of centred values, so values far from zero lose no digits.
+    """
     n = F.sum(mask)
-    mean = F.sum(x * mask) / (n + EPS)
-    # sum m (x - mean)^2, expanded so that one pass over the rows is enough
-    centred = F.sum(x * x * mask) - 2 * mean * F.sum(x * mask) + mean * mean * n
-    biased = F.greatest(centred, F.lit(0.0)) / (n + EPS)
+    biased = F.sum(mask * (x - mean) * (x - mean)) / (n + EPS)
     if not unbiased:
         return biased
     guard = F.when(n <= 1, F.raise_error(F.lit("masked variance needs a mask total above one")).cast("double"))

@@ -42,7 +42,8 @@ def best_only_advantage(df: DataFrame, group: list[str], pos: str, score: str, s
 
 def whiten(df: DataFrame, col: str, mask: Column, name: str = "advantage", shift_mean: bool = True) -> DataFrame:
     """(x - mean) / sqrt(var + eps) over the masked rows of the whole table."""
-    j = with_table_stats(df, _mean=masked_mean(F.col(col), mask), _var=masked_var(F.col(col), mask))
+    j = with_table_stats(df, _mean=masked_mean(F.col(col), mask))
+    j = with_table_stats(j, _var=masked_var(F.col(col), mask, F.col("_mean")))
     out = (F.col(col) - F.col("_mean")) / F.sqrt(F.col("_var") + EPS)
     if not shift_mean:
         out = out + F.col("_mean")

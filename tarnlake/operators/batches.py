@@ -29,12 +29,21 @@ def progress_eta(df: DataFrame, run: str, order: list[Column], secs: str, last:
 
 
 def first_n(df: DataFrame, order: list[Column], n: int, hex_first: bool = False) -> DataFrame:
-    """First n rows by order: a top-n for small n, else a filter on the key of the n-th row."""
+    """Exactly the first n rows by order (all, if there are fewer).
+
+    A small n is Spark's top-n.  For a larger one the key of the n-th row is looked up: rows before it are
+    filtered, and of the rows that tie with it just the missing number is taken.
+    """
     if n <= TOP_N_ROWS:
         return df.orderBy(*order).limit(n)
     if n >= df.count():
         return df
-    return df.filter(at_or_before(order, nth_keys(df, order, [n], hex_first=hex_first)[0]))
+    key = nth_keys(df, order, [n], hex_first=hex_first)[0]
+    upto = at_or_before(order, key)
+    own = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    tied = own == F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(key)])
+    before = df.filter(upto & ~tied)
+    return before.unionByName(df.filter(tied).limit(n - before.count()))
 
 
 def sample_n(df: DataFrame, key: str, seed: str, n: int | None) -> DataFrame:
@@ -177,7 +186,7 @@ def unfold_column(df: DataFrame, col: str, n: int, width: Column) -> DataFrame:
 def fold_rows(df: DataFrame, row_no: str, k: int, cols: list[str]) -> DataFrame:
     """[b] -> [b/k, k]: k consecutive rows become arrays (k is a constant)."""
     folded = df.withColumns({"fold": F.floor(F.col(row_no) / k).cast("long"), "_in": F.col(row_no) % k})
-    return gather(folded, ["fold"], "_in", {c: F.col(c) for c in cols}, k).drop("part")
+    return gather(folded, ["fold"], "_in", {c: F.col(c) for c in cols})
 
 
 def unfold_rows(df: DataFrame, fold: str, k: int, cols: list[str]) -> DataFrame:

@@ -101,24 +101,26 @@ def best_worst_at_n(df: DataFrame, source: str, prompt: str, value: str) -> Data
     """
     limit = checked_limit(df, [source, prompt])
     hist = df.groupBy(source, prompt, value).agg(F.count("*").alias("_c"))
+    pivots = df.groupBy(source, prompt).agg(F.avg(value).alias("_pivot"))
     cum = level_totals(hist, [source, prompt], value, {"_t": F.col("_c")}, limit)
     cum = cum.withColumnsRenamed({"_t_upto": "_upto", "_t_all": "_N"}).filter(F.col("_N") > 1)
-    joined = cum.withColumn("n", F.explode(powers_of_two(F.col("_N"), below=True)))
+    joined = cum.join(pivots, [source, prompt]).withColumn("n", F.explode(powers_of_two(F.col("_N"), below=True)))
     hi = F.col("_upto") / F.col("_N")
     lo = (F.col("_upto") - F.col("_c")) / F.col("_N")
     n = F.col("n").cast("double")
     best = F.pow(hi, n) - F.pow(lo, n)
     worst = F.pow(1 - lo, n) - F.pow(1 - hi, n)
-    x = F.col(value)
-    per = joined.groupBy(source, prompt, "n").agg(
+    # moments about a value of the prompt, so that large values lose no digits
+    x = F.col(value) - F.col("_pivot")
+    per = joined.groupBy(source, prompt, "n", "_pivot").agg(
         F.sum(x * best).alias("_bm"), F.sum(x * x * best).alias("_b2"),
         F.sum(x * worst).alias("_wm"), F.sum(x * x * worst).alias("_w2"),
     )
     dev = lambda m, s: F.sqrt(F.greatest(F.col(s) - F.col(m) * F.col(m), F.lit(0.0)))
     return per.groupBy(source, "n").agg(
         F.count("*").alias("prompts"),
-        F.avg("_bm").alias("best_mean"), F.avg(dev("_bm", "_b2")).alias("best_std"),
-        F.avg("_wm").alias("worst_mean"), F.avg(dev("_wm", "_w2")).alias("worst_std"),
+        F.avg(F.col("_bm") + F.col("_pivot")).alias("best_mean"), F.avg(dev("_bm", "_b2")).alias("best_std"),
+        F.avg(F.col("_wm") + F.col("_pivot")).alias("worst_mean"), F.avg(dev("_wm", "_w2")).alias("worst_std"),
     )
 
 
@@ -188,9 +190,9 @@ def bootstrap(df: DataFrame, source: str, prompt: str, pos: str, vote: str, valu
     small = sized.filter(F.col("_N") <= BOOTSTRAP_ROWS)
     arrays = small.groupBy(source, prompt).agg(
         F.sort_array(F.collect_list(F.struct(pos, F.xxhash64(vote).alias("v"), F.col(value).cast("double").alias("x")))).alias("_s")
-    ).select(F.col(source).alias("source"), F.col("_s.v").alias("votes"), F.col("_s.x").alias("values"))
+    ).select(F.col(source).alias("source"), F.col(prompt).alias("prompt"), F.col("_s.v").alias("votes"), F.col("_s.x").alias("values"))
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    per_small = arrays.repartition(tasks, F.xxhash64("votes", "values")).mapInPandas(
+    per_small = arrays.repartition(tasks, F.xxhash64("prompt")).drop("prompt").mapInPandas(
         _resampler(draws, seed), "source string, n long, best double, worst double, majority double"
     )
 
@@ -302,14 +304,14 @@ def difficulty_histogram(df: DataFrame, source: str, prompt: str, score: str, bi
     return j.groupBy("scope", b.cast("long").alias("bin"), "lo", "hi").agg(F.sum("_c").alias("n"))
 
 
-def merge_by_first_message(df: DataFrame, key: str, pos: str, items: str, first_cols: list[str], part_rows: int = 1024):
+def merge_by_first_message(df: DataFrame, key: str, pos: str, items: str, first_cols: list[str]):
     """Rows with the same first message become one: lists joined in row order, first value of the rest.
 
     Rows are grouped by a digest of the message, so the message itself is moved once and not per step.
     """
     tagged = df.withColumn("_d", F.sha2(F.col(key), 256))
     ranked = row_index(tagged.select("_d", pos, items), [F.col(pos)], ["_d"], "_r")
-    lists = gather(ranked, ["_d"], "_r", {"_l": F.col(items)}, part_rows).withColumn(items, F.flatten("_l")).drop("_l")
+    lists = gather(ranked, ["_d"], "_r", {"_l": F.col(items)}).withColumn(items, F.flatten("_l")).drop("_l")
     firsts = tagged.groupBy("_d").agg(*[F.min_by(c, pos).alias(c) for c in (key, *first_cols)])
     return lists.join(firsts, "_d").drop("_d")
 

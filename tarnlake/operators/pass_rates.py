@@ -42,13 +42,12 @@ def pass_rate(df: DataFrame, keys: list[str], score: Column, threshold: float =
     )
 
 
-def merge_scores(df: DataFrame, keys: list[str], pos: str, cols: list[str], part_rows: int = 1024) -> DataFrame:
+def merge_scores(df: DataFrame, keys: list[str], pos: str, cols: list[str]) -> DataFrame:
     """Scores put back on their prompt as arrays, in response order.
 
-    ``pos`` is the dense response index; a prompt with more responses than ``part_rows`` continues
-    in further parts, so no array grows with the data.
+    ``pos`` is the response index; a sample is one record and stays in one row.
     """
-    return gather(df, keys, pos, {f"{c}s": F.col(c) for c in cols}, part_rows)
+    return gather(df, keys, pos, {f"{c}s": F.col(c) for c in cols})
 
 
 def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
@@ -95,21 +94,10 @@ def annotate_rates(df: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:
 def difficulty_summary(df: DataFrame, rate: Column, keys: list[str] | None = None) -> DataFrame:
     """Count, mean, median (midpoint) and population deviation.
 
-    The median comes from per-value counts, so no task holds more than the distinct rates.
+    The percentile keeps counts by distinct value, the deviation merges centred sums.
     """
-    keys = keys or []
-    hist = df.groupBy(*keys, rate.alias("_r")).agg(F.count("*").alias("_n"))
-    return hist.groupBy(*keys).agg(
-        F.sum("_n").alias("n"),
-        (F.sum(F.col("_r") * F.col("_n")) / F.sum("_n")).alias("mean"),
-        F.percentile("_r", F.lit(0.5), F.col("_n")).alias("median"),
-        F.sqrt(
-            F.greatest(
-                F.sum(F.col("_r") * F.col("_r") * F.col("_n")) / F.sum("_n")
-                - F.pow(F.sum(F.col("_r") * F.col("_n")) / F.sum("_n"), F.lit(2.0)),
-                F.lit(0.0),
-            )
-        ).alias("std"),
+    return df.groupBy(*(keys or [])).agg(
+        F.count("*").alias("n"), F.avg(rate).alias("mean"), F.percentile(rate, F.lit(0.5)).alias("median"), F.stddev_pop(rate).alias("std")
     )
 
 

@@ -222,11 +222,11 @@ def row_index(
     return out.withColumn(name, F.col(name) - 1)
 
 
-def gather(df: DataFrame, keys: list[str], pos: str, cols: dict[str, Column], part_rows: int = 1024) -> DataFrame:
-    """Ordered arrays per group, cut into parts of at most ``part_rows`` rows by dense position."""
+def gather(df: DataFrame, keys: list[str], pos: str, cols: dict[str, Column]) -> DataFrame:
+    """Ordered arrays, one row per group: for groups that are one record by nature (a conversation, a table, a sample)."""
     packed = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("_p"), *[c.alias(n) for n, c in cols.items()])))
-    out = df.groupBy(*keys, F.floor(F.col(pos) / part_rows).cast("long").alias("part")).agg(packed.alias("_s"))
-    return out.select(*keys, "part", *[F.col(f"_s.{n}").alias(n) for n in cols])
+    out = df.groupBy(*keys).agg(packed.alias("_s"))
+    return out.select(*keys, *[F.col(f"_s.{n}").alias(n) for n in cols])
 
 
 def shuffled_order(key: Column, seed: str) -> Column:

@@ -44,6 +44,11 @@ DISPATCH = [
     ("equal", "numina_synthetic_amc", None, "math_boxed_numeric"),
     ("equal", "numina_cn_k12", None, "math_boxed_numeric"),
     ("equal", "numina_olympiads", None, "math_boxed_numeric"),
+    ("equal", "codecontests", None, "code_outputs"),
+    ("equal", "apps", None, "code_outputs"),
+    ("equal", "codeforces", None, "code_outputs"),
+    ("equal", "taco", None, "code_outputs"),
+    ("equal", "hiyouga/geometry3k", None, "format_and_accuracy"),
     ("equal", "searchR1_nq", None, "open_answer"),
     ("equal", "searchR1_triviaqa", None, "open_answer"),
     ("equal", "searchR1_popqa", None, "open_answer"),
@@ -51,11 +56,6 @@ DISPATCH = [
     ("equal", "searchR1_2wikimultihopqa", None, "open_answer"),
     ("equal", "searchR1_musique", None, "open_answer"),
     ("equal", "searchR1_bamboogle", None, "open_answer"),
-    ("equal", "hiyouga/geometry3k", None, "format_and_accuracy"),
-    ("equal", "codecontests", None, "code_outputs"),
-    ("equal", "apps", None, "code_outputs"),
-    ("equal", "codeforces", None, "code_outputs"),
-    ("equal", "taco", None, "code_outputs"),
 ]
 
 
@@ -137,9 +137,13 @@ def load_scorer(path: str, function: str, **bound) -> Scorer:
     if not hasattr(probe, function):
         raise AttributeError(f"{function} is not defined in {path}")
 
+    cached: dict = {}  # per worker, filled by the first batch
+
     def scored(responses, truths):
-        space: dict = {"__name__": "custom_scorer"}
-        exec(compile(code, path, "exec"), space)
+        if not cached:
+            cached["__name__"] = "custom_scorer"
+            exec(compile(code, path, "exec"), cached)
+        space = cached
         rows = (space[function]("", r, t, {}, **bound) for r, t in zip(responses, truths))
         return pd.Series([float(x["score"]) if isinstance(x, dict) else float(x) for x in rows], dtype="float64")
 
@@ -158,35 +162,76 @@ def as_result(out) -> Column:
 STRUCT_SCORERS = {"math_default", "math_boxed_numeric", "answer_line", "strict_box"}
 
 
-def score_responses(df: DataFrame, response: str, truth: str, scorer: str, names: list[str]) -> DataFrame:
-    """Grade rows whose scorer column names one of ``names``.
+def failing(what: str, value: Column, kind: str = "struct<score:double,acc:double,pred:string>") -> Column:
+    """Stops the job with the offending value, so that no row is scored over fewer rows or with a made-up 0."""
+    return F.raise_error(F.concat(F.lit(what + " "), F.coalesce(value.cast("string"), F.lit("null")))).cast(kind)
+
+
+def graded(name: str, response: Column, truth: Column) -> Column:
+    raw = SCORERS[name](response, truth)
+    return raw if name in STRUCT_SCORERS else as_result(raw)
+
+
+def score_responses(df: DataFrame, response: str, truth: str, scorer: str, names: list[str], verdict: str | None = None) -> DataFrame:
+    """Grade every row by the scorer that its column names; adds score, acc, pred and failed.
+
+    A row whose scorer is null, unknown or not among ``names`` is an error, never left out.  Rows of the
+    scorer ``judge`` take the outside verdict of the column ``verdict``; a missing verdict is an error too.
+    A grader that gives no result scores 0 and sets ``failed``.
 
     Column scorers share one pass and one first-match expression, which evaluates only the grader of
-    the row.  Python scorers do not stop early inside such an expression, so each gets a filtered
-    branch.
+    the row.  Python scorers do not stop early inside such an expression, so each gets a filtered branch.
     """
-    def graded(n):
-        raw = SCORERS[n](F.col(response), F.col(truth))
-        return raw if n in STRUCT_SCORERS else as_result(raw)
-
-    jvm = [n for n in names if n not in PYTHON_SCORERS]
-    parts = []
-    if jvm:
-        res = F
-        for n in jvm:
-            res = res.when(F.col(scorer) == n, graded(n))
-        parts.append(df.filter(F.col(scorer).isin(jvm)).withColumn("_res", res))
+    python = [n for n in names if n in PYTHON_SCORERS]
+    res = F
     for n in names:
-        if n in PYTHON_SCORERS:
-            parts.append(df.filter(F.col(scorer) == n).withColumn("_res", graded(n)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumns({
+        if n not in PYTHON_SCORERS and n != "judge":
+            res = res.when(F.col(scorer) == n, graded(n, F.col(response), F.col(truth)))
+    if "judge" in names:
+        if verdict is None:
+            raise ValueError("the scorer judge needs a column of verdicts")
+        told = F.when(F.col(verdict).isNotNull(), as_result(F.col(verdict))).otherwise(failing("no verdict for truth", F.col(truth)))
+        res = res.when(F.col(scorer) == "judge", told)
+    res = res.when(F.lit(True), failing("no scorer for a row of", F.col(scorer)))
+    rest = df.filter(F.col(scorer).isNull() | ~F.col(scorer).isin(python)) if python else df
+    out = rest.withColumn("_res", res)
+    for n in python:
+        out = out.unionByName(df.filter(F.col(scorer) == n).withColumn("_res", graded(n, F.col(response), F.col(truth))))
+    return with_result(out)
+
+
+def with_result(df: DataFrame) -> DataFrame:
+    return df.withColumns({
         "score": F.coalesce("_res.score", F.lit(0.0)), "acc": F.coalesce("_res.acc", F.lit(0.0)), "pred": F.col("_res.pred"),
+        "failed": F.col("_res.score").isNull(),
     }).drop("_res")
 
 
+INSTRUCTION_SCORERS = ["instructions", "instructions_extended"]
+
+
+def score_mixed(
+    df: DataFrame, keys: list[str], source: Column, metric: Column, response: str, truth: str, verdict: str, task: str, ids: str, kwargs: str, lang: Column,
+) -> DataFrame:
+    """One job over responses of all sources: the dispatch rules name each row's scorer, and every row gets a score.
+
+    Besides response and truth a row may bring an outside verdict (for judged sources), a benchmark task, or
+    instruction ids with their JSON arguments.  An unknown source or task and a missing verdict are errors.
+    ``keys`` identify a row.
+    """
+    named = scorer_name(source, metric)
+    tagged = df.withColumn("scorer", F.when(named.isNotNull(), named).otherwise(failing("no scorer for source", source, "string")))
+    special = [*INSTRUCTION_SCORERS, "benchmark_task"]
+    plain = score_responses(tagged.filter(~F.col("scorer").isin(special)), response, truth, "scorer", [*dict.fromkeys(r[3] for r in DISPATCH if r[3] not in special)], verdict)
+    tasks = task_scores(tagged.filter(F.col("scorer") == "benchmark_task"), task, truth, response, verdict)
+    tasks = with_result(tasks.withColumn("_res", as_result(F.col("score"))).drop("score"))
+    told = tagged.filter(F.col("scorer").isin(INSTRUCTION_SCORERS))
+    kept = instruction_scores(told, keys, response, ids, kwargs, lang).select(*keys, F.col("score").alias("_s"))
+    # a row without instructions follows all of them
+    told = with_result(told.join(kept, keys, "left").withColumn("_res", as_result(F.coalesce("_s", F.lit(1.0)))).drop("_s"))
+    return plain.unionByName(tasks).unionByName(told)
+
+
 @dataclass(frozen=True)
 class Strategy:
     """Scoring strategies share one job and differ in what they add to the rule score."""
@@ -247,12 +292,18 @@ TASKS: dict[str, Scorer] = {
 }
 
 
-def task_scores(df: DataFrame, task: str, truth: str, response: str) -> DataFrame:
-    """Benchmark tasks: one first-match expression over the task name."""
+def task_scores(df: DataFrame, task: str, truth: str, response: str, verdict: str | None = None) -> DataFrame:
+    """Benchmark tasks: one first-match expression over the task name.
+
+    A task without a grader here takes the verdict of the given column; without one it is an error.
+    """
     out = F
     for name, fn in TASKS.items():
-        out = out.when(F.col(task) == name, fn(F.col(truth), F.col(response)))
-    return df.withColumn("score", F.coalesce(out.otherwise(F.lit(0.0)), F.lit(0.0)))
+        out = out.when(F.col(task) == name, F.coalesce(fn(F.col(truth), F.col(response)).cast("double"), F.lit(0.0)))
+    unknown = failing("no grader and no verdict for task", F.col(task), "double")
+    if verdict is not None:
+        unknown = F.when(F.col(verdict).isNotNull(), F.col(verdict).cast("double")).otherwise(unknown)
+    return df.withColumn("score", out.otherwise(unknown))
 
 
 def table_equality(cand: DataFrame, truth: DataFrame, table: str, row: str, column: str, value: str, tolerance: float = 1e-6) -> DataFrame:

@@ -41,10 +41,10 @@ def merge_maps(parts: list[DataFrame], key: str, value: str) -> DataFrame:
     return agg.filter(F.when(F.col(value).eqNullSafe(F.col("_hi")), True).otherwise(clash)).drop("_hi")
 
 
-def append_by_key(df: DataFrame, key: str, value: str, order: list[Column], part_rows: int = 1024) -> DataFrame:
-    """Values listed by key in order, in bounded parts."""
+def append_by_key(df: DataFrame, key: str, value: str, order: list[Column]) -> DataFrame:
+    """Values listed by key in order."""
     ranked = row_index(df, order, [key], "_rn")
-    return gather(ranked, [key], "_rn", {"values": F.col(value)}, part_rows)
+    return gather(ranked, [key], "_rn", {"values": F.col(value)})
 
 
 def pair_closure(pairs: DataFrame, a: str, b: str) -> DataFrame:

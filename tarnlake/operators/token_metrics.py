@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.policy import EPS, masked_mean, masked_var
+from tarnlake.operators.ranks import with_table_stats
 
 
 def sequence_scores(df: DataFrame, seq: str, value: Column, name: str = "seq_score") -> DataFrame:
@@ -84,9 +85,10 @@ def loss_modes(df: DataFrame, seq: str, loss: Column, mask: Column, width: int)
 
 
 def masked_stats(df: DataFrame, x: Column, mask: Column) -> DataFrame:
-    return df.agg(
+    mean = F.col("_mean")
+    return with_table_stats(df, _mean=masked_mean(x, mask)).agg(
         F.sum(x * mask).alias("masked_sum"), masked_mean(x, mask).alias("masked_mean"),
-        masked_var(x, mask, unbiased=False).alias("masked_var_biased"), masked_var(x, mask).alias("masked_var"),
+        masked_var(x, mask, mean, unbiased=False).alias("masked_var_biased"), masked_var(x, mask, mean).alias("masked_var"),
     )
 
 

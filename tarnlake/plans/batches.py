@@ -266,12 +266,12 @@ def i6(spark, d):
 
 
 @query("i6_append_by_key", """
-SELECT user_id, CAST((rn - 1) // 1024 AS BIGINT) AS part, string_agg(event_type, ',' ORDER BY rn) AS values FROM (
-  SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1, 2""")
+SELECT user_id, string_agg(event_type, ',' ORDER BY rn) AS values FROM (
+  SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1""")
 def i6_append(spark, d):
     e = table(spark, d, "events")
     out = S.append_by_key(e, "user_id", "event_type", [F.col("ts"), F.col("event_id")])
-    return out.select("user_id", "part", F.array_join("values", ",").alias("values"))
+    return out.select("user_id", F.array_join("values", ",").alias("values"))
 
 
 @query("i7_pair_closure", """

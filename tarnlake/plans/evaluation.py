@@ -149,13 +149,13 @@ def e21(spark, d):
 
 
 @query("e22_merge_by_first_message", """
-SELECT md5(text) AS prompt_hash, 0 AS part, string_agg(concat(CAST(doc_id AS VARCHAR), ',', CAST(n_chars AS VARCHAR)), ',' ORDER BY doc_id) AS responses,
+SELECT md5(text) AS prompt_hash, string_agg(concat(CAST(doc_id AS VARCHAR), ',', CAST(n_chars AS VARCHAR)), ',' ORDER BY doc_id) AS responses,
        arg_min(source, doc_id) AS source FROM documents GROUP BY text""")
 def e22(spark, d):
     docs = documents(spark, d).withColumn("items", F.array(F.col("doc_id").cast("string"), F.col("n_chars").cast("string")))
     out = E.merge_by_first_message(docs, "text", "doc_id", "items", ["source"])
     return out.select(
-        F.md5("text").alias("prompt_hash"), F.col("part").cast("int").alias("part"),
+        F.md5("text").alias("prompt_hash"),
         F.array_join("items", ",").alias("responses"), "source",
     )
 

@@ -166,12 +166,12 @@ def c13_last(spark, d):
 
 
 @query("d11_scores_regrouped", with_views("responses", """
-SELECT uid, resp_idx // 1024 AS part, string_agg(CAST(CAST(score AS BIGINT) AS VARCHAR), ',' ORDER BY resp_idx) AS scores,
-       string_agg(pred, ',' ORDER BY resp_idx) AS preds FROM responses GROUP BY 1, 2"""))
+SELECT uid, string_agg(CAST(CAST(score AS BIGINT) AS VARCHAR), ',' ORDER BY resp_idx) AS scores,
+       string_agg(pred, ',' ORDER BY resp_idx) AS preds FROM responses GROUP BY 1"""))
 def d11(spark, d):
     r = responses(spark, d, source=False).withColumn("score", F.col("score").cast("long").cast("string"))
     out = P.merge_scores(r, ["uid"], "resp_idx", ["score", "pred"])
-    return out.select("uid", "part", *[F.array_join(c, ",").alias(c) for c in ("scores", "preds")])
+    return out.select("uid", *[F.array_join(c, ",").alias(c) for c in ("scores", "preds")])
 
 
 @query("i3_drop_set_union", with_views("responses", RATES + """

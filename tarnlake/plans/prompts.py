@@ -27,11 +27,11 @@ def q(text):
 
 
 def messages(spark, d):
-    """Message arrays per conversation, in bounded parts."""
+    """Message array of each conversation."""
     c = row_index(table(spark, d, "conversations"), [F.col("turn")], ["conv_id"], "pos")
     out = gather(c, ["conv_id"], "pos", {"role": F.col("role"), "content": F.col("text")})
     zipped = F.transform(F.arrays_zip("role", "content"), lambda z: F.struct(z["role"].alias("role"), z["content"].alias("content")))
-    return out.select("conv_id", "part", zipped.alias("messages"))
+    return out.select("conv_id", zipped.alias("messages"))
 
 
 MSG = """
@@ -78,9 +78,9 @@ def b5(spark, d):
 
 
 @query("b6_chat_template", MSG + """
-SELECT conv_id, CAST(pos // 1024 AS BIGINT) AS part, md5(concat(string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '' ORDER BY pos), '<|im_start|>assistant', chr(10))) AS prompt_hash FROM c GROUP BY 1, 2""")
+SELECT conv_id, md5(concat(string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '' ORDER BY pos), '<|im_start|>assistant', chr(10))) AS prompt_hash FROM c GROUP BY 1""")
 def b6(spark, d):
-    return messages(spark, d).select("conv_id", "part", F.md5(B.render_chat(F.col("messages"), True)).alias("prompt_hash"))
+    return messages(spark, d).select("conv_id", F.md5(B.render_chat(F.col("messages"), True)).alias("prompt_hash"))
 
 
 @query("b7_question_extraction", """
@@ -92,9 +92,9 @@ def b7(spark, d):
 
 
 @query("b8_message_concatenation", MSG + """
-SELECT conv_id, CAST(pos // 1024 AS BIGINT) AS part, md5(string_agg(text, '' ORDER BY pos)) AS text_hash FROM c GROUP BY 1, 2""")
+SELECT conv_id, md5(string_agg(text, '' ORDER BY pos)) AS text_hash FROM c GROUP BY 1""")
 def b8(spark, d):
-    return messages(spark, d).select("conv_id", "part", F.md5(B.joined_contents(F.col("messages"))).alias("text_hash"))
+    return messages(spark, d).select("conv_id", F.md5(B.joined_contents(F.col("messages"))).alias("text_hash"))
 
 
 @query("b9_lettered_options", """
@@ -124,7 +124,7 @@ def b11(spark, d):
 
 
 MATRIX = with_views("responses", """
-, cells AS (SELECT uid, resp_idx // 1024 AS part, resp_idx, concat('| ', resp_idx, ' | ', pred, ' | ', resp_len, ' |') AS line FROM responses)
+, cells AS (SELECT uid, resp_idx, concat('| ', resp_idx, ' | ', pred, ' | ', resp_len, ' |') AS line FROM responses)
 """)
 
 
@@ -137,13 +137,13 @@ def matrices(spark, d):
 
 
 @query("b12_matrix_to_markdown", MATRIX + """
-SELECT uid, CAST(part AS BIGINT) AS part, concat('| no | flag | size |', chr(10), '|---|---|---|', chr(10), string_agg(line, chr(10) ORDER BY resp_idx)) AS md FROM cells GROUP BY 1, 2""")
+SELECT uid, concat('| no | flag | size |', chr(10), '|---|---|---|', chr(10), string_agg(line, chr(10) ORDER BY resp_idx)) AS md FROM cells GROUP BY 1""")
 def b12(spark, d):
-    return matrices(spark, d).select("uid", "part", B.markdown_table(F.col("rows")).alias("md"))
+    return matrices(spark, d).select("uid", B.markdown_table(F.col("rows")).alias("md"))
 
 
 @query("b13_html_table_to_markdown", MATRIX + """
-SELECT uid, CAST(part AS BIGINT) AS part, concat('| lines &  | of ', uid, ' |  |', chr(10), '| --- | --- | --- |', chr(10), string_agg(line, chr(10) ORDER BY resp_idx)) AS md FROM cells GROUP BY 1, 2""".replace("lines &  | of ', uid, ' |  |", "lines & | order ', uid, ' |  |"))
+SELECT uid, concat('| lines &  | of ', uid, ' |  |', chr(10), '| --- | --- | --- |', chr(10), string_agg(line, chr(10) ORDER BY resp_idx)) AS md FROM cells GROUP BY 1""".replace("lines &  | of ', uid, ' |  |", "lines & | order ', uid, ' |  |"))
 def b13(spark, d):
     r = responses(spark, d, source=False)
     tr = F.concat(
@@ -155,16 +155,16 @@ def b13(spark, d):
         F.lit("<table><tr><th>lines &amp;</th><th colspan=\"2\">order "), F.col("uid").cast("string"), F.lit("</th></tr>\n"),
         F.array_join("rows", ""), F.lit("</table>"),
     )
-    return m.select("uid", "part", B.html_to_markdown()(html).alias("md"))
+    return m.select("uid", B.html_to_markdown()(html).alias("md"))
 
 
 @query("b14_context_assembly", MATRIX + """
-SELECT uid, CAST(part AS BIGINT) AS part, concat('before', chr(10), 'the table', chr(10), '| no | flag | size |', chr(10), '| --- | --- | --- |', chr(10), string_agg(line, chr(10) ORDER BY resp_idx), chr(10), 'after') AS context FROM cells GROUP BY 1, 2""")
+SELECT uid, concat('before', chr(10), 'the table', chr(10), '| no | flag | size |', chr(10), '| --- | --- | --- |', chr(10), string_agg(line, chr(10) ORDER BY resp_idx), chr(10), 'after') AS context FROM cells GROUP BY 1""")
 def b14(spark, d):
     ctx = B.assembled_context(
         F.array(F.lit("before"), F.lit("the table")), B.markdown_table(F.col("rows"), spaced=True), F.array(F.lit("after"))
     )
-    return matrices(spark, d).select("uid", "part", ctx.alias("context"))
+    return matrices(spark, d).select("uid", ctx.alias("context"))
 
 
 @query("b15_answer_list_join", "SELECT doc_id, replace(text, ' ', '|') AS answer FROM documents")
@@ -246,11 +246,11 @@ def b20(spark, d):
 
 
 @query("b21_literal_scrubbing", MSG + """
-SELECT conv_id, CAST(pos // 1024 AS BIGINT) AS part, md5(string_agg(replace(replace(text, 'the', 'THE'), ' and ', ' & '), '' ORDER BY pos)) AS text_hash FROM c GROUP BY 1, 2""")
+SELECT conv_id, md5(string_agg(replace(replace(text, 'the', 'THE'), ' and ', ' & '), '' ORDER BY pos)) AS text_hash FROM c GROUP BY 1""")
 def b21(spark, d):
     m = messages(spark, d).withColumn("messages", B.rewritten_prompt(F.col("messages"), "the", "THE"))
     m = m.withColumn("messages", F.transform("messages", lambda x: x.withField("content", B.scrubbed(x["content"], {" and ": " & "}))))
-    return m.select("conv_id", "part", F.md5(B.joined_contents(F.col("messages"))).alias("text_hash"))
+    return m.select("conv_id", F.md5(B.joined_contents(F.col("messages"))).alias("text_hash"))
 
 
 @query("b22_tool_arguments", with_views("answers", """

@@ -47,7 +47,7 @@ def j0(spark, d):
     # prompts with their response arrays, as a generation run leaves them
     prompts = gather(r, ["uid"], "resp_idx", {"responses": text})
     out = S.explode_responses(prompts, "responses")
-    return out.select("uid", (F.col("part") * 1024 + F.col("resp_idx")).alias("resp_idx"), "answer")
+    return out.select("uid", F.col("resp_idx").cast("long").alias("resp_idx"), "answer")
 
 
 @query("j1_last_boxed", with_views("answers", """
@@ -434,21 +434,53 @@ def d7(spark, d):
     return a.groupBy("scorer").agg(F.count("*").alias("n"))
 
 
-@query("j_scored_pass_rates", with_views("answers", """
-SELECT CASE p_size % 3 WHEN 0 THEN 'math__parts' WHEN 1 THEN 'table__parts' ELSE 'logic__graph_parts' END AS source, count(*) AS n_responses,
-  round(avg(CAST(uid % 2 = 0 AS INTEGER)), 6) AS pass_rate FROM answers GROUP BY 1"""))
+# a source for each dispatch rule (with its metric), and a right and a wrong response with its truth
+BOX = ("12", "<think>t</think>\\boxed{12}", "<think>t</think>\\boxed{13}")
+CODE = ("7\n8", "7\r\n8\n", "7\n9")
+GRID_PAIR = ("[[1, 2]]", "<answer>[[1, 2]]</answer>", "<answer>[[1, 3]]</answer>")
+EXAMPLES = {
+    "math_boxed_numeric": BOX, "math_default": BOX, "judge": ("x", "right", "wrong"), "code_outputs": CODE,
+    "json_answer": ('"output": 3', '{"output": 3}', '{"output": 4}'), "grid": GRID_PAIR,
+    "grid_table": (
+        '{"header":["no"],"rows":[["1"]]}', "<answer>{'header': ['no'], 'rows': [['1']]}</answer>", "no tag"),
+    "ordering": ('["red","blue"]', "<answer>['Red', 'blue']</answer>", "<answer>['blue', 'red']</answer>"),
+    "next_node": ("B", "<answer>b</answer>", "<answer>c</answer>"), "table": BOX, "choice": ("C", "Answer: C", "Answer: D"),
+    "ten_way": ("C", "\\boxed{C}", "\\boxed{D}"), "instructions": ("", "no mark", "one, two"), "benchmark_task": ("red", "***red***", "***blue***"),
+    "instructions_extended": ("", "no mark", "a mark!"), "hash_number": ("12", "#### 12", "#### 13"), "boxed_equivalence": BOX,
+    "answer_line": ("12", "Answer: 12", "Answer: 13"), "open_answer": ('["red"]', "<answer>red</answer>", "<answer>blue</answer>"),
+    "format_and_accuracy": BOX,
+}
+
+
+def first_rule(source, metric):
+    """Scorer of the first rule that fits: a general prefix hides a later rule for one of its sources."""
+    for kind, value, override, name in S.DISPATCH:
+        hit = source == value if kind == "equal" else source.startswith(value) and (kind != "no_box" or "no_box" in source)
+        if hit and override in (None, metric):
+            return name
+
+
+RULES = [(f"rule{i:02d}", f"{v}_no_box" if kind == "no_box" else v, override) for i, (kind, v, override, _) in enumerate(S.DISPATCH)]
+
+
+@query("j_scored_pass_rates", with_views("answers", f"""
+SELECT concat('rule', lpad(CAST(uid % {len(RULES)} AS VARCHAR), 2, '0')) AS rule, count(*) AS n_responses,
+  round(avg(CAST(p_size % 2 = 0 AS INTEGER)), 6) AS pass_rate FROM answers GROUP BY 1"""))
 def j_all(spark, d):
-    kind = F.col("p_size") % 3
-    node = lit("node")
-    value = F.when(F.col("uid") % 2 == 0, F.when(kind == 2, node).otherwise(size())).otherwise(lit("wrong"))
-    a = answers(spark, d).select(
-        "uid", case(kind, "math__parts", "table__parts", "logic__graph_parts").alias("source"),
-        F.when(kind == 2, c(lit("<answer>"), value, lit("</answer>"))).otherwise(c(lit("<think>t</think>\\boxed{"), value, lit("}"))).alias("response"),
-        F.when(kind == 2, node).otherwise(size()).alias("truth"),
+    """All dispatch rules in one mixed table; each row is right or wrong by its size."""
+    rule = spark.createDataFrame(
+        [(i, n, src, metric, *EXAMPLES[first_rule(src, metric)]) for i, (n, src, metric) in enumerate(RULES)],
+        "no int, rule string, source string, metric string, truth string, right string, wrong string",
+    )
+    good = F.col("p_size") % 2 == 0
+    a = answers(spark, d).select("uid", "p_size", K(len(RULES)).cast("int").alias("no")).join(F.broadcast(rule), "no").select(
+        "uid", "rule", "source", "metric", "truth", F.when(good, F.col("right")).otherwise(F.col("wrong")).alias("response"),
+        good.cast("double").alias("verdict"), lit("zebra_puzzle").alias("task"),
+        F.array(F.when(F.col("source") == "ood__ifbench", lit("punctuation:punctuation_exclamation")).otherwise(lit("punctuation:no_comma"))).alias("ids"),
+        F.array(lit("{}")).alias("kwargs"),
     )
-    a = a.withColumn("scorer", S.scorer_name(F.col("source"), F.lit(None).cast("string")))
-    out = S.score_responses(a, "response", "truth", "scorer", ["math_default", "table", "next_node"])
-    return rnd(pass_rate(out, ["source"], F.col("score")))
+    out = S.score_mixed(a, ["uid"], F.col("source"), F.col("metric"), "response", "truth", "verdict", "task", "ids", "kwargs", lit("en"))
+    return rnd(pass_rate(out, ["rule"], F.col("score")))
 
 
 @query("j28_repetition_score")

@@ -117,11 +117,11 @@ def k7(spark, d):
 
 @query("k8_conversation_assembly", """
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)
-SELECT conv_id, CAST(pos // 1024 AS BIGINT) AS part, string_agg(role, ',' ORDER BY pos) AS roles, md5(string_agg(concat(role, ':', text), chr(10) ORDER BY pos)) AS text_hash FROM c GROUP BY 1, 2""")
+SELECT conv_id, string_agg(role, ',' ORDER BY pos) AS roles, md5(string_agg(concat(role, ':', text), chr(10) ORDER BY pos)) AS text_hash FROM c GROUP BY 1""")
 def k8(spark, d):
     c = K.assemble_conversations(table(spark, d, "conversations"), "conv_id", "turn")
     out = gather(c, ["conv_id"], "pos", {"role": F.col("role"), "line": F.concat("role", F.lit(":"), "text")})
-    return out.select("conv_id", "part", F.array_join("role", ",").alias("roles"), F.md5(F.array_join("line", "\n")).alias("text_hash"))
+    return out.select("conv_id", F.array_join("role", ",").alias("roles"), F.md5(F.array_join("line", "\n")).alias("text_hash"))
 
 
 @query("k9_preference_table", with_views("responses", PAIRS + """

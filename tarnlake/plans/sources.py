@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnlake.operators import pass_rates as P
-from tarnlake.operators import evaluation as E
-from tarnlake.operators.ranks import row_index
 from tarnlake.plans.registry import query
 from tarnlake.plans.token_metrics import rnd
 from tarnlake.plans.views import documents, responses, steps, table, with_views
@@ -181,6 +179,8 @@ def s7(spark, d):
     per = responses(spark, d, index=False).groupBy("data_source", "uid").agg(F.avg("reward").alias("score"))
     per.select(F.col("data_source").alias("step"), "score").write.parquet(f"{root}/in")
     S.append_step_scores(S.arriving(spark, f"{root}/in", "step string, score double"), f"{root}/out", f"{root}/ckpt")
-    kept = row_index(spark.read.parquet(f"{root}/out"), [F.col("step"), F.col("score")], name="uid")
-    out = E.difficulty_histogram(kept, "step", "uid", "score")
-    return out.filter(F.col("scope") != "overall").select(F.col("scope").alias("step"), "bin", "n")
+    kept = spark.read.parquet(f"{root}/out").select(F.col("step").cast("string").alias("step"), "score")
+    edges = kept.groupBy("step").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    b = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / width * 10), F.lit(9))).otherwise(0)
+    return kept.join(edges, "step").groupBy("step", b.cast("long").alias("bin")).agg(F.count("*").alias("n"))

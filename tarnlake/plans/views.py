@@ -93,17 +93,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SMALL_FILE_BYTES = 256 << 20
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts.  A small single file has too few row groups to feed all cores, so it is dealt out;
-    a large or many-file table is read as it is."""
-    df = table(spark, sf_dir, "documents")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < SMALL_FILE_BYTES else df
+    """The texts."""
+    return table(spark, sf_dir, "documents")
 
 
 SQL_VIEWS = {

@@ -31,7 +31,7 @@ def int_conf(spark: SparkSession, key: str, default: int) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where the setting is empty."""
+    """The shared folder the cluster names; a local one only where the setting is empty and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named:
@@ -39,11 +39,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        require_local(spark.sparkContext.master)
         current = tempfile.mkdtemp(prefix="tarnlake-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def require_local(master: str) -> None:
+    """On a cluster a local folder would hold a part of the files on each machine."""
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of the session (never a worker-local one on a cluster)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

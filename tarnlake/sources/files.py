@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.session import durable
+
 
 def read_prompts(spark: SparkSession, *paths: str) -> DataFrame:
     """Prompt tables from several files side by side; a missing chat-template flag means True."""
-    parts = [spark.read.parquet(p) for p in paths]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return with_template_flag(out)
+    return with_template_flag(spark.read.option("mergeSchema", "true").parquet(*paths))
 
 
 def with_template_flag(df: DataFrame) -> DataFrame:
@@ -53,7 +51,12 @@ def size_suffix(n: int) -> str:
 
 
 def write_sized(df: DataFrame, folder: str, prefix: str) -> tuple[str, int]:
-    """Write a table as '<prefix>_<size>' and return its path and row count."""
+    """Write a table as '<prefix>_<size>' and return its path and row count.
+
+    The name needs the count first, so the rows are stored once and counted where they lie: the input is
+    evaluated once and the name is that of the rows written.
+    """
+    df = durable(df, "sized")
     n = df.count()
     path = f"{folder}/{prefix}_{size_suffix(n)}.parquet"
     df.write.mode("overwrite").parquet(path)
@@ -71,5 +74,7 @@ def write_dump(df: DataFrame, path: str) -> None:
 
 
 def write_metrics(row: DataFrame, path: str) -> None:
-    """A one-row metric table as one JSON file."""
-    row.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A one-row metric table as one JSON file; any other number of rows is an error."""
+    if (n := len(row.take(2))) != 1:
+        raise ValueError(f"a metric document has one row, not {'several' if n else 'none'}")
+    row.coalesce(1).write.mode("overwrite").json(path)
