@@ -293,8 +293,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, p: int
         placed.withColumns({"hub": F.min("doc_id").over(w), "last": F.max("doc_id").over(w)}).filter("hub < last").select("tile", "doc_id", "hub"), "shared_tiles"
     )
     members = saved(shared.select("doc_id").distinct(), "members")
-    sets = saved(source.mapInArrow(_shingler(width, _bloom(members)), "doc_id long, shingles binary"), "sets")
-    sets = sets.dropDuplicates(["doc_id"])
+    # one row per id before it is saved: the joins below then read plain exchanges, which Spark can split
+    sets = saved(source.mapInArrow(_shingler(width, _bloom(members)), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
     stars = shared.filter("doc_id != hub").groupBy("doc_id").agg(F.min("hub").alias("b")).select(F.col("doc_id").alias("a"), "b")
     links = saved(_verify(stars, sets, p, q), "star_links")
