@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def _rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """Keep later filters above this point: pushed below, they would repeat the statistics' expressions many times over."""
+    return df.observe(f"statistics-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def with_statistics(docs: DataFrame, text: Column, rates: bool = True) -> DataFrame:
     """Add the counts in BASE (long) and, if asked for, the rates in RATES (double).
 
@@ -54,7 +61,7 @@ def with_statistics(docs: DataFrame, text: Column, rates: bool = True) -> DataFr
         }
     d = d.withColumns({k: c.cast("long") for k, c in counts.items()}).drop(_T, _W, _L, _H)
     if not rates:
-        return d
+        return fence(d)
     n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("__lines")
     d = d.withColumns({
         "mean_word_chars": _rate(chars, n), "symbol_rate": _rate(F.col("n_symbols"), chars), "dup_line_rate": _rate(F.col("n_dup_lines"), lines),
@@ -62,4 +69,4 @@ def with_statistics(docs: DataFrame, text: Column, rates: bool = True) -> DataFr
         "pipe_rate": _rate(F.col("__pipe"), chars), "digit_rate": _rate(F.col("__digit"), chars), "distinct_rate": _rate(F.col("__distinct"), n),
         "words_per_line": _rate(n, lines),
     })
-    return d.drop("__upper", "__exclaim", "__pipe", "__digit", "__distinct", "__lines")
+    return fence(d.drop("__upper", "__exclaim", "__pipe", "__digit", "__distinct", "__lines"))
