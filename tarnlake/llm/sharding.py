@@ -12,6 +12,8 @@ Tables that are broadcast have at most shards x 160 rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,13 @@ def _shares(requests: DataFrame, room: DataFrame) -> DataFrame:
     )
 
 
-def _round(linked: DataFrame, shards: int, quota: float, number: int) -> tuple[DataFrame, int, int]:
+def _round(linked: DataFrame, shards: int, quota: int, number: int) -> tuple[DataFrame, int, int]:
     """One round over the linked documents: their new shards, the number of requests, the rooms left."""
     counts = linked.groupBy("link", "shard").agg(F.count("*").alias("n"))
     held = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    room = {s: max(0, int(quota) - held.get(s, 0)) for s in range(shards)}
+    # admission by chance meets a room only about; a shard with less left than that counts as full
+    least = max(1, 2 * math.isqrt(quota))
+    room = {s: r if (r := quota - held.get(s, 0)) >= least else 0 for s in range(shards)}
     open_shards = [s for s in range(shards) if room[s] > 0]
     if not open_shards:
         return linked, 0, 0
@@ -71,7 +75,7 @@ def cut_links(placed: DataFrame) -> DataFrame:
     return g.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("links"), F.sum(F.col("m") * (F.col("m") - 1) / 2 - F.col("same")).alias("cut"))
 
 
-def balanced_shards(docs: DataFrame, shards: int, link: str = "link", rounds: int = 8, bucket_rows: int = 20_000) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int, link: str = "link", rounds: int = 12, bucket_rows: int = 20_000) -> DataFrame:
     """Add ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard) to rows with ``doc_id`` and a link key.
 
     Rows with equal link keys are neighbours; a null key, or one that no other row has, means no neighbour.
