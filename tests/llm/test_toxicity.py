@@ -36,7 +36,8 @@ def test_score_is_the_noisy_or_of_its_sentences(spark):
 @pytest.fixture(scope="module")
 def fitted(spark):
     d = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").repartition(8).cache()
     return docs, labels, X.learn_from(docs, labels)
 
 
