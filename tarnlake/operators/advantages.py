@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions.policy import EPS, clip, masked_mean, masked_var
+from tarnlake.functions.text import let
 from tarnlake.operators.ranks import NO_LIMIT, checked_limit, running_totals, top_rows, with_group_stats, with_table_stats
 from tarnlake.session import durable
 
 STD_EPS = 1e-6  # fixed value: added to the group deviation
+RUN = 16  # values that a fold appends before it joins them to the block's
+SPAN_CELLS = 4096  # widest interval of cells that one row is turned into
 
 
 def group_advantage(df: DataFrame, group: list[str], score: str, divide_by_std: bool = True) -> DataFrame:
@@ -116,13 +119,18 @@ def linear_scan(
         step = -1 if reverse else 1
         shifted = ends.select(*seq, (F.col("_b") + step).alias("_b"), "_x0")
         entered = blocks.join(shifted, [*seq, "_b"], "left").withColumn("_x0", F.coalesce("_x0", start))
+    def extended(items, x0, out):
+        """Values along ``items`` appended one by one: only for short runs, as each step copies the array."""
+        start_at = F.struct(x0.alias("x"), out.alias("out"))
+        return F.aggregate(items, start_at, lambda s, i: let(i["_v"] + i["_c"] * s["x"], lambda x: F.struct(
+            x.alias("x"), F.concat(s["out"], F.array(x)).alias("out")
+        )))
+
+    nothing = F.array().cast("array<double>")
+    runs = F.transform(F.sequence(F.lit(0), F.size("_items") - 1, F.lit(RUN)), lambda i: F.slice("_items", i + 1, F.lit(RUN)))
     folded = F.aggregate(
-        "_items",
-        F.struct(F.col("_x0").alias("x"), F.array().cast("array<double>").alias("out")),
-        lambda s, i: F.struct(
-            (i["_v"] + i["_c"] * s["x"]).alias("x"),
-            F.concat(s["out"], F.array(i["_v"] + i["_c"] * s["x"])).alias("out"),
-        ),
+        runs, F.struct(F.col("_x0").alias("x"), nothing.alias("out")),
+        lambda s, run: let(extended(run, s["x"], nothing), lambda r: F.struct(r["x"].alias("x"), F.concat(s["out"], r["out"]).alias("out"))),
         lambda s: s["out"],
     )
     paired = entered.select(*seq, F.explode(F.arrays_zip(F.col("_items._row").alias("r"), folded.alias("x"))).alias("_z"))
@@ -255,7 +263,8 @@ def weighted_resample(df: DataFrame, key: list[str], weight: str, uniform: Colum
     """As many draws with replacement as rows: inverse of the cumulative weights.
 
     Draws meet intervals by an equi-join on a cell of the unit range; an interval is copied to the
-    cells it touches, so a row that holds a third of the weight is spread over a third of the cells.
+    cells it touches.  A row that holds a third of the weight touches a third of the cells: it is first
+    cut into blocks of cells, which are dealt out, and each block then into its cells.
     """
     cum = running_totals(df.select(*key, weight), [], [F.col(k) for k in key], {"_hi": F.col(weight)})
     stats = df.agg(F.sum(weight).alias("_total"), F.count("*").alias("_rows"))
@@ -263,7 +272,14 @@ def weighted_resample(df: DataFrame, key: list[str], weight: str, uniform: Colum
         *key, ((F.col("_hi") - F.col(weight)) / F.col("_total")).alias("_a"), (F.col("_hi") / F.col("_total")).alias("_z"), "_rows"
     )
     cell = lambda x: F.least(F.floor(x * F.col("_rows")), F.col("_rows") - 1)
-    spans = spans.withColumn("_cell", F.explode(F.sequence(cell(F.col("_a")), cell(F.col("_z")))))
+    spans = spans.withColumns({"_first": cell(F.col("_a")), "_last": cell(F.col("_z"))})
+    block = F.explode(F.sequence(F.floor(F.col("_first") / SPAN_CELLS), F.floor(F.col("_last") / SPAN_CELLS)))
+    wide = F.floor(F.col("_first") / SPAN_CELLS) < F.floor(F.col("_last") / SPAN_CELLS)
+    cut = spans.filter(wide).withColumn("_block", block).repartition("_block")
+    cut = cut.withColumns({
+        "_first": F.greatest(F.col("_first"), F.col("_block") * SPAN_CELLS), "_last": F.least(F.col("_last"), F.col("_block") * SPAN_CELLS + SPAN_CELLS - 1),
+    }).drop("_block")
+    spans = spans.filter(~wide).unionByName(cut).withColumn("_cell", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
     draws = df.select(*[F.col(k).alias(f"draw_{k}") for k in key], uniform.alias("_u")).crossJoin(
         F.broadcast(df.agg(F.count("*").alias("_rows")))
     )
