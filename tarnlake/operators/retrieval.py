@@ -31,7 +31,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """k best inner products per query, for queries(query_id, vec) and corpus(doc_id, vec).
 
     Queries go out in blocks of fixed size; each task scores its Arrow batches against a block with
-    one matrix product and keeps k rows per query, so what is shuffled is k per query and batch.
+    one matrix product and keeps a running top k, so what is shuffled is k rows per query and task.
     """
     import numpy as np
 
@@ -52,18 +52,26 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
             import numpy as np
             import pandas as pd
 
+            def best(s, docs):
+                """k best of each row by score, then by smaller document id; only what may be among them is sorted."""
+                width = min(k, s.shape[1])
+                if not width:
+                    return s, docs
+                near = s >= -np.partition(-s, width - 1, axis=1)[:, width - 1 : width]
+                at = np.empty((len(s), width), dtype="int64")
+                for i in range(len(s)):
+                    c = np.flatnonzero(near[i])
+                    at[i] = c[np.lexsort((docs[i, c], -s[i, c]))[:width]]
+                return np.take_along_axis(s, at, 1), np.take_along_axis(docs, at, 1)
+
             ids, q = block.value
+            top, names = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype="int64")
             for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                s = q @ np.stack(pdf["vec"].to_numpy()).astype("float64").T
-                docs = pdf["doc_id"].to_numpy()
-                # k best by score, then by smaller document id
-                top = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=-1)[:, :k]
-                yield pd.DataFrame({
-                    "query_id": np.repeat(ids, top.shape[1]), "doc_id": docs[top].ravel(),
-                    "score": np.take_along_axis(s, top, -1).ravel(),
-                })
+                if len(pdf) and len(ids):
+                    s = q @ np.stack(pdf["vec"].to_numpy()).astype("float64").T
+                    docs = np.broadcast_to(pdf["doc_id"].to_numpy(), s.shape)
+                    top, names = best(np.concatenate([top, s], axis=1), np.concatenate([names, docs], axis=1))
+            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "doc_id": names.ravel(), "score": top.ravel()})
 
         hits = corpus.select("doc_id", "vec").mapInPandas(score, "query_id long, doc_id long, score double")
         out = hits if out is None else out.unionByName(hits)
