@@ -91,26 +91,43 @@ def kl_coefficients(
     stream: DataFrame, run: str, order: list[str], kl: str, start: float, target: float, horizon: float, n_steps: int,
     out: str, checkpoint: str,
 ) -> None:
-    """Step-wise KL coefficient per run; each micro-batch goes on from the last coefficient written.
+    """Step-wise KL coefficient per run; each micro-batch goes on from the last coefficient of the run.
 
-    The recurrence is a product, so a batch is scanned from 1 and scaled by the carried value.
+    The recurrence is a product, so a batch is scanned from 1 and scaled by the carried value.  What is
+    carried is one row per run, kept beside the results and rewritten by each micro-batch, so a batch reads
+    no history.  A step that arrives after later ones of its run cannot change the coefficients already
+    given: it is written with ``late`` set and without a coefficient.
     """
     spark = stream.sparkSession
-
-    def work(df: DataFrame, batch: int) -> DataFrame:
-        steps = row_index(df.select(run, *order, kl), [F.col(c) for c in order], [run], "_t")
-        mult = 1 + clip(F.col(kl) / target - 1, -0.2, 0.2) * n_steps / horizon
-        scanned = linear_scan(steps, [run], "_t", mult, F.lit(0.0), "_product", reverse=False, start=F.lit(1.0))
-        if exists(spark, out):
-            before = spark.read.parquet(out).filter(F.col("batch_id") < batch)
-            carried = before.groupBy(run).agg(F.max_by("kl_coef", F.struct("batch_id", *order)).alias("_carry"))
-            scanned = scanned.join(carried, run, "left")
+    state = f"{out}_last"
+
+    def run_batch(df: DataFrame, batch: int) -> None:
+        step = F.struct(*order)
+        rows = df.select(run, *order, kl)
+        before = f"{state}/batch_id={batch - 1}"
+        known = exists(spark, before)
+        if known:
+            carried = spark.read.parquet(before)
+            rows = rows.join(carried, run, "left")
         else:
-            scanned = scanned.withColumn("_carry", F.lit(None).cast("double"))
+            rows = rows.withColumns({"_last": F.lit(None).cast(rows.select(step.alias("s")).schema["s"].dataType), "_carry": F.lit(None).cast("double")})
+        late = F.col("_last").isNotNull() & (step <= F.col("_last"))
+        fresh = row_index(rows.filter(~late), [F.col(c) for c in order], [run], "_t")
+        mult = 1 + clip(F.col(kl) / target - 1, -0.2, 0.2) * n_steps / horizon
+        scanned = linear_scan(fresh, [run], "_t", mult, F.lit(0.0), "_product", reverse=False, start=F.lit(1.0))
         coef = F.coalesce("_carry", F.lit(float(start))) * F.col("_product")
-        return scanned.withColumn("kl_coef", coef).drop("_product", "_carry", "_t")
-
-    per_batch(stream, work, out, checkpoint)
+        done = scanned.select(run, *order, kl, coef.alias("kl_coef"), F.lit(False).alias("late"))
+        kept = rows.filter(late).select(run, *order, kl, F.lit(None).cast("double").alias("kl_coef"), F.lit(True).alias("late"))
+        place = f"{out}/batch_id={batch}"
+        done.unionByName(kept).write.mode("overwrite").parquet(place)
+        now = spark.read.parquet(place).filter("not late").groupBy(run).agg(
+            F.max(step).alias("_last"), F.max_by("kl_coef", step).alias("_carry")
+        )
+        if known:
+            now = now.unionByName(carried.join(now.select(run), run, "left_anti"))
+        now.write.mode("overwrite").parquet(f"{state}/batch_id={batch}")
+
+    drain(stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def append_step_scores(stream: DataFrame, out: str, checkpoint: str) -> None:

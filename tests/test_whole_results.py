@@ -88,3 +88,18 @@ def test_local_scratch_only_on_a_local_master():
     for master in ("yarn", "spark://host:7077", "k8s://https://host", "local-cluster[3,2,1024]"):
         with pytest.raises(ValueError):
             require_local(master)
+
+
+def test_late_steps_do_not_take_later_coefficients(spark, tmp_path):
+    from tarnlake.streaming import incremental as I
+
+    root = str(tmp_path)
+    for rows in ([("a", 1, 9.0), ("a", 2, 1.0), ("b", 5, 9.0)], [("a", 4, 9.0), ("c", 1, 9.0)], [("a", 3, 9.0), ("a", 5, 1.0), ("b", 6, 9.0)]):
+        spark.createDataFrame(rows, "run string, step long, kl double").write.mode("append").parquet(f"{root}/in")
+        I.kl_coefficients(I.arriving(spark, f"{root}/in", "run string, step long, kl double"), "run", ["step"], "kl", 1.0, 3.0, 10.0, 5, f"{root}/out", f"{root}/ckpt")
+    got = {(r.run, r.step): (r.kl_coef, r.late) for r in spark.read.parquet(f"{root}/out").collect()}
+    up, down = 1 + 0.2 * 0.5, 1 - 0.2 * 0.5
+    assert got.pop(("a", 3)) == (None, True)
+    want = {("a", 1): up, ("a", 2): up * down, ("a", 4): up * down * up, ("a", 5): up * down * up * down, ("b", 5): up, ("b", 6): up * up, ("c", 1): up}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx(want) and not any(v[1] for v in got.values())
+    assert spark.read.parquet(f"{root}/out_last").groupBy("batch_id", "run").count().filter("count > 1").count() == 0
