@@ -37,19 +37,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group whose sets of five-word runs reach a similarity of 0.8.
 
-    It is the one with the smallest id; of repeated rows one stays.  Rows without an id, which cannot be told
-    apart, stay unless a row with an id has their set of runs.
+    It is the one with the smallest id; of rows that repeat an id one stays.  Rows without an id stay.
+    The rows that go are named by id, since they are fewer than those that stay, and only where ids repeat
+    are rows gathered by id.
     """
     found = jaccard.near_duplicates(docs, width=5, p=80, q=100)
-    stay = saved(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept_ids")
-    nameless = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNull())
+    gone = saved(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "removed_ids")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     repeated = saved(repeated, "repeated_ids")
-    kept = docs.join(stay, "doc_id", "left_semi")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    one_of_many = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    out = once.unionByName(one_of_many)
-    return out.unionByName(docs.filter(F.col("doc_id").isNull())) if not nameless.isEmpty() else out
+    if repeated.isEmpty():
+        return kept
+    one_each = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(one_each).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
