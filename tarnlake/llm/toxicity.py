@@ -23,6 +23,7 @@ from tarnlake.llm.words import lower_table, text_bytes, word_table, words_in
 
 TRAIN_ROWS = 12_000  # bound of the labelled rows that a fit reads
 VOCABULARY = 1_000
+STEM = 5  # bytes
 SCORE, COUNT, SPANS = "__tox_score", "__tox_sentences", "__tox_spans"
 SPAN_TYPE = T.ArrayType(T.StructType([
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())
@@ -40,12 +41,13 @@ class BagModel:
 def sentences_of(data, in_word, lower):
     """(word hashes, sentence of each word, sentence starts, sentence ends) of a text's bytes.
 
-    Sentences end at . ! ? and line ends; stretches without a word are none.
+    Sentences end at . ! ? and line ends; stretches without a word are none.  A word stands for itself and
+    for its stem, its first bytes, which words with one root and many endings share.
     """
     import numpy as np
 
 
-    s, e, h = words_in(data, in_word, lower)
+    s, e, h, stems = words_in(data, in_word, lower, STEM)
     if not len(s):
         return h, s, s, s
     stops = np.flatnonzero((data == 46) | (data == 33) | (data == 63) | (data == 10))
@@ -54,7 +56,7 @@ def sentences_of(data, in_word, lower):
     number = np.cumsum(first) - 1
     begin = s[first]
     last = np.concatenate([np.flatnonzero(first)[1:] - 1, [len(s) - 1]])
-    return h, number, begin, e[last]
+    return np.concatenate([h, stems]), np.concatenate([number, number]), begin, e[last]
 
 
 def _count_words():
@@ -66,7 +68,7 @@ def _count_words():
         for batch in batches:
             hashes, labels = [], []
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                h = np.unique(words_in(text_bytes(text), in_word, lower)[2])
+                h = np.unique(np.concatenate(words_in(text_bytes(text), in_word, lower, STEM)[2:]))
                 hashes.append(h.view(np.int64))
                 labels.append(np.full(len(h), label, np.int32))
             if hashes:

@@ -47,8 +47,11 @@ def lower_table() -> np.ndarray:
     return t
 
 
-def words_in(data: np.ndarray, in_word: np.ndarray, lower: np.ndarray):
-    """(starts, ends, hashes) of the words of one text, given as bytes."""
+def words_in(data: np.ndarray, in_word: np.ndarray, lower: np.ndarray, stem: int = 0):
+    """(starts, ends, hashes) of the words of one text, given as bytes.
+
+    With ``stem``, a fourth array has the hashes of the words' first ``stem`` bytes, in values of their own.
+    """
     parts, at = [], 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
@@ -60,11 +63,15 @@ def words_in(data: np.ndarray, in_word: np.ndarray, lower: np.ndarray):
         p, inv = _powers(len(block) + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((lower[block].astype(np.uint64) + np.uint64(1)) * p[: len(block)])])
         h = mix((sums[e] - sums[s]) * inv[s] ^ mix((e - s).astype(np.uint64)))
-        parts.append((s + at, e + at, h))
+        part = (s + at, e + at, h)
+        if stem:
+            cut = np.minimum(e, s + stem)
+            part += (mix((sums[cut] - sums[s]) * inv[s] + np.uint64(0x2545F4914F6CDD1D)),)
+        parts.append(part)
         at = end
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
+        return (none, none, *[np.zeros(0, np.uint64)] * (2 if stem else 1))
     if len(parts) == 1:
         return parts[0]
     return tuple(np.concatenate(x) for x in zip(*parts))
