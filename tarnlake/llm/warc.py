@@ -166,6 +166,16 @@ def _scanner(range_bytes: int, keep_payload: bool):
                 return None
             return content, pos - len(z.unused_data)
 
+        def behind_filler(src, at: int) -> int:
+            """Where the next record may start: behind the empty member that the sink puts after very large records."""
+            src.seek(at)
+            z = zlib.decompressobj(31)
+            try:
+                empty = z.decompress(src.read(20)) == b"" and z.eof and not z.unused_data
+            except zlib.error:
+                empty = False
+            return at + 20 if empty else at
+
         def ident(value):
             m = re.fullmatch(r"<urn:page:(.*)>", value or "")
             return m[1] if m else value
@@ -204,6 +214,8 @@ def _scanner(range_bytes: int, keep_payload: bool):
                             at += 1
                             continue
                         content, behind = got
+                        if len(content) >= 1 << 24:
+                            behind = behind_filler(src, behind)
                         if content:
                             *fields, body = parse(content)
                             rows.append((row["path"], at, behind, *fields, body if keep_payload and fields[0] != "revisit" else None))
