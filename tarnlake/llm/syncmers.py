@@ -73,8 +73,8 @@ def passage_matches(docs: DataFrame, others: DataFrame, text: str = "text", k: i
     Anchors that stand more than once in one text are matched by their first place.
     """
     def side(d: DataFrame, name: str) -> DataFrame:
-        rows = d.select(F.col("doc_id").alias(name), F.explode(anchors(words_of(F.col(text)), k)).alias("a"))
-        return rows.groupBy(name, F.col("a.hash").alias("hash")).agg(F.min("a.pos").alias(f"{name}_pos"))
+        rows = d.select(F.col("doc_id").alias(name), F.explode(anchors(words_of(F.col(text)), k)).alias("_anchor"))
+        return rows.groupBy(name, F.col("_anchor.hash").alias("hash")).agg(F.min("_anchor.pos").alias(f"{name}_pos"))
 
     met = side(docs, "a").join(side(others, "b"), "hash").groupBy("a", "b", (F.col("b_pos") - F.col("a_pos")).alias("shift")).agg(F.count("*").alias("n"))
     return met.groupBy("a", "b").agg(F.max(F.struct("n", (-F.abs("shift")).alias("d"), "shift")).alias("m"), F.sum("n").alias("shared")).select(
