@@ -23,7 +23,8 @@ BUCKET_BYTES = 8 << 20
 def anchor_hashes(words: Column, k: int = K) -> Column:
     """Hash of each anchor in order of its position, null where the run of words is none.
 
-    Words are compared by hash.  A text of fewer than k words has one anchor, all its words; none has none.
+    Words are compared by hash.  A text without a closed run, such as any of fewer than k words, has one
+    anchor, all its words; a text without words has none.
     """
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
@@ -34,9 +35,9 @@ def anchor_hashes(words: Column, k: int = K) -> Column:
             closed = F.least(first, rest[-1]) <= (F.least(*inner) if len(inner) > 1 else inner[0])
             return F.when(closed, F.xxhash64(first, *rest))
 
-        return F.when(F.size(h) >= k, F.transform(F.slice(h, F.lit(1), F.size(h) - (k - 1)), anchor)).when(
-            F.size(h) > 0, F.array(F.xxhash64(h))
-        ).otherwise(F.array().cast("array<bigint>"))
+        whole = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        closed = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0))), anchor)
+        return let(closed, lambda c: F.when(F.exists(c, lambda x: x.isNotNull()), c).otherwise(whole))
 
     return let(hashes, runs)
 

@@ -80,3 +80,12 @@ def test_edges(spark, make, edge_texts):
     assert S.fingerprint_pairs(df.unionByName(df), F.col("text")).count() == 2 * len(edge_texts)
     nameless = spark.createDataFrame([(None, "abcd"), (1, "efgh")], "doc_id long, text string")
     assert S.fingerprint_pairs(nameless, F.col("text")).count() == 2
+
+
+def test_short_texts_differ(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(n)) for n in (4, 5) for _ in range(30)] + [""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = S.fingerprint_pairs(df, F.col("text")).collect()
+    assert len({r.fingerprint for r in rows}) == len(texts)
+    assert all((r.fingerprint == "") == (r.doc_id == len(texts) - 1) and r.near_next == 0.0 for r in rows)
