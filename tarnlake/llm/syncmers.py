@@ -3,7 +3,8 @@
 A run of k words is an anchor if its smallest inner substring (here one word, by hash) is the first or
 the last.  Whether a run is chosen depends on nothing outside of it, so two texts that share a passage
 share its anchors wherever it stands, and their positions tell how the passages lie to each other.  The
-fingerprint keeps the smallest hashes of the anchors.  All steps are array expressions on the JVM.
+record keeps all anchors with their positions; the fingerprint is a digest of them.  All steps are array
+expressions on the JVM.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from tarnlake.functions.text import let
 from tarnlake.llm.common import saved, words_of
 
 K = 4
-KEPT = 64
 CELLS = 1024
 BUCKET_BYTES = 8 << 20
 
@@ -47,25 +47,45 @@ def anchors(words: Column, k: int = K) -> Column:
     return F.filter(F.transform(anchor_hashes(words, k), lambda h, i: F.struct(h.alias("hash"), i.alias("pos"))), lambda a: a["hash"].isNotNull())
 
 
-def sketch(words: Column, k: int = K, kept: int = KEPT) -> Column:
-    """The smallest distinct anchor hashes, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.array_compact(anchor_hashes(words, k)))), 1, kept)
+def first_places(a: Column) -> Column:
+    """Anchors without repetitions, each at its first place, in order of their hashes."""
+    return let(F.sort_array(a), lambda s: F.filter(s, lambda x, i: (i == 0) | (x["hash"] != F.get(s, i - 1)["hash"])))
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """Jaccard likeness of the anchor sets from two sketches: shared hashes among the smallest of both.
+def compared(a: Column, b: Column) -> Column:
+    """How two texts lie to each other, from their ``first_places``: near, shared, shift and aligned.
 
-    Two empty sketches are alike (1), an empty and another one not at all (0).
+    ``near`` is the Jaccard likeness of all anchors, ``shared`` their common number, ``shift`` the distance of
+    places at which most of these agree and ``aligned`` how many do, as in ``passage_matches``; without a
+    common anchor shift is null.  Two texts without words are alike (1), one and another text not at all (0).
     """
-    def share(union: Column) -> Column:
-        return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
+    def side(x: Column, n: int) -> Column:
+        return F.transform(x, lambda y: F.struct(y["hash"].alias("hash"), F.lit(n).alias("side"), y["pos"].alias("pos")))
 
-    both = let(F.slice(F.array_sort(F.array_union(a, b)), 1, kept), share)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both)
+    def shifts(m: Column) -> Column:
+        at = F.transform(m, lambda x, i: F.when(F.get(m, i + 1)["hash"] == x["hash"], F.get(m, i + 1)["pos"] - x["pos"]))
+        return F.sort_array(F.array_compact(at))
 
+    def run(acc: Column, x: Column) -> Column:
+        n = F.when(acc["at"] == x, acc["n"] + 1).otherwise(F.lit(1))
+        value = F.struct(n.alias("n"), (-F.abs(x)).alias("d"), x.alias("shift"))
+        return F.struct(x.alias("at"), n.alias("n"), F.greatest(acc["best"], value).alias("best"))
 
-def as_text(s: Column) -> Column:
-    return F.concat_ws("", F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")))
+    def result(d: Column) -> Column:
+        none = F.lit(None).cast("int")
+        empty = F.struct(none.alias("at"), F.lit(0).alias("n"), F.struct(F.lit(0).alias("n"), none.alias("d"), none.alias("shift")).alias("best"))
+        best = F.aggregate(d, empty, run, lambda acc: acc["best"])
+        union = F.size(a) + F.size(b) - F.size(d)
+        near = F.when(union == 0, F.lit(1.0)).otherwise(F.size(d) / union)
+        return let(best, lambda v: F.struct(near.alias("near"), F.size(d).alias("shared"), v["shift"].alias("shift"), v["n"].alias("aligned")))
+
+    return let(F.sort_array(F.concat(side(a, 0), side(b, 1))), lambda m: let(shifts(m), result))
+
+
+def as_text(a: Column) -> Column:
+    """Digest of all anchors and their places; '' where there is none."""
+    parts = F.transform(a, lambda x: F.concat_ws(":", F.hex(x["hash"]), x["pos"].cast("string")))
+    return F.when(F.size(a) == 0, F.lit("")).otherwise(F.sha2(F.concat_ws(" ", parts), 256))
 
 
 def passage_matches(docs: DataFrame, others: DataFrame, text: str = "text", k: int = K) -> DataFrame:
@@ -101,7 +121,7 @@ def _bucketed(docs: DataFrame, bucket_bytes: int) -> DataFrame:
 
 
 def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Documents (doc_id, text, print) with the text and print of the next one by ascending doc_id; the last is followed by the first.
+    """Documents (doc_id, text) with the text of the next one by ascending doc_id; the last is followed by the first.
 
     Rows are dealt by ranges of the id; the first rows of each range are also sent to the range before it.
     Null ids come first, and rows with equal ids follow each other by their text.
@@ -116,10 +136,10 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     sent = rows.join(before, F.col("order_key") == F.col("first"), "left")
     own = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("turn"))
     copy = F.struct(F.col("before").alias("to"), F.when(F.col("wraps"), 2).otherwise(1).alias("turn"))
-    sent = sent.select("doc_id", "text", "print", "order_key", F.explode(F.when(F.col("first").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("x"))
+    sent = sent.select("doc_id", "text", "order_key", F.explode(F.when(F.col("first").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("x"))
     w = Window.partitionBy("x.to").orderBy("x.turn", "order_key", "text")
-    out = sent.withColumns({"next_text": F.lead("text").over(w), "next_print": F.lead("print").over(w)}).filter("x.turn = 0")
-    return out.select("doc_id", "text", "print", "next_text", "next_print")
+    out = sent.withColumn("next_text", F.lead("text").over(w)).filter("x.turn = 0")
+    return out.select("doc_id", "text", "next_text")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -129,20 +149,27 @@ def edited_text(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
 
 
-def fingerprint_pairs(docs: DataFrame, text: Column, k: int = K, kept: int = KEPT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document's.
+def fingerprint_pairs(docs: DataFrame, text: Column, k: int = K, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Each document's anchors and fingerprint, those of its edited text, and how it lies to that and to the next document.
 
     A null text is an empty one.  Without rows there are none; a single row is its own next one.  Equal
     texts have equal fingerprints; other columns are ignored.
     """
     base = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
-    base = base.withColumn("print", sketch(words_of(F.col("text")), k, kept))
-    pairs = with_next(base, bucket_bytes)
-    edited = pairs.withColumn("edited", edited_text(F.col("text"), F.col("next_text"))).select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print",
-        sketch(words_of(F.col("edited")), k, kept).alias("edited_print"),
-    )
-    return edited.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print"), kept).alias("near_edited"), likeness(F.col("print"), F.col("next_print"), kept).alias("near_next"),
+    pairs = with_next(base, bucket_bytes).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
+    all_of = lambda c: anchors(words_of(F.col(c)), k)
+
+    def record(a: Column, e: Column, n: Column) -> Column:
+        own = first_places(a)
+        return let(own, lambda o: F.struct(
+            a.alias("anchors"), e.alias("edited_anchors"), as_text(a).alias("fingerprint"), as_text(e).alias("edited_fingerprint"),
+            let(first_places(e), lambda b: compared(o, b)).alias("edited"), let(first_places(n), lambda b: compared(o, b)).alias("next"),
+        ))
+
+    made = let(F.struct(all_of("text").alias("a"), all_of("edited").alias("e"), all_of("next_text").alias("n")), lambda x: record(x["a"], x["e"], x["n"]))
+    out = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), made.alias("r"))
+    places = [F.col(f"r.{t}.{c}").alias(f"{t}_{c}") for t in ("edited", "next") for c in ("shared", "shift", "aligned")]
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", "r.fingerprint", "r.edited_fingerprint", F.col("r.edited.near").alias("near_edited"),
+        F.col("r.next.near").alias("near_next"), *places, "r.anchors", "r.edited_anchors",
     )

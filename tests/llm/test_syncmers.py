@@ -89,3 +89,24 @@ def test_short_texts_differ(spark):
     rows = S.fingerprint_pairs(df, F.col("text")).collect()
     assert len({r.fingerprint for r in rows}) == len(texts)
     assert all((r.fingerprint == "") == (r.doc_id == len(texts) - 1) and r.near_next == 0.0 for r in rows)
+
+
+def test_all_anchors_of_long_texts_count(spark):
+    rnd = random.Random(6)
+    long = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+    passage = [f"p{i}" for i in range(50)]
+    a, b = long(), long()
+    a[100:150], b[2000:2050] = passage, passage
+    texts = [" ".join(a), " ".join(b), "no words in common with them at all"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in S.fingerprint_pairs(df, F.col("text")).collect()}
+    sets = {i: {x.hash for x in r.anchors} for i, r in got.items()}
+    for i in got:
+        other, edit = sets[(i + 1) % 3], {x.hash for x in got[i].edited_anchors}
+        assert got[i].near_next == pytest.approx(len(sets[i] & other) / len(sets[i] | other))
+        assert got[i].near_edited == pytest.approx(len(sets[i] & edit) / len(sets[i] | edit))
+        assert got[i].next_shared == len(sets[i] & other)
+    assert got[0].next_shift == 1900 and got[0].next_aligned == got[0].next_shared >= 10
+    assert got[0].edited_shift == 0 and got[1].next_shift is None and got[1].next_aligned == 0
+    want = S.passage_matches(df.filter("doc_id = 0"), df.filter("doc_id = 1")).first()
+    assert (want["shift"], want.aligned, want.shared) == (got[0].next_shift, got[0].next_aligned, got[0].next_shared)
