@@ -178,12 +178,30 @@ def _resampler(draws: int, seed: int):
     return run
 
 
+def _draws(draws: int, seed: int):
+    """The draws of ``_resampler`` as rows, a part at a time; one stream for each number of responses and n."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for total, n in zip(pdf["_N"], pdf["n"]):
+                rng = np.random.RandomState(seed)
+                for draw in range(draws):
+                    for a in range(0, n, 1_000_000):
+                        at = rng.choice(total, size=min(n - a, 1_000_000), replace=True)
+                        yield pd.DataFrame({"_N": total, "n": n, "draw": draw, "slot": np.arange(a, a + len(at)), "_at": at})
+
+    return run
+
+
 def bootstrap(df: DataFrame, source: str, prompt: str, pos: str, vote: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Seeded resampling of best, worst and majority, averaged over prompts by n.
 
-    Prompts with at most BOOTSTRAP_ROWS responses are resampled with numpy's legacy generator, one
-    Arrow group each.  Larger prompts use draws made by hashing (prompt, n, draw, slot), joined to
-    the responses by position: the same statistic, spread over many tasks.
+    Every prompt draws with numpy's legacy generator and the seed.  Prompts with at most BOOTSTRAP_ROWS
+    responses are resampled in one Arrow group each; for larger ones the same draws are written out and
+    joined to the responses by position, which gives the same figures spread over many tasks.
     """
     sizes = df.groupBy(source, prompt).agg(F.count("*").alias("_N")).filter(F.col("_N") > 1)
     sized = df.join(sizes, [source, prompt])
@@ -198,15 +216,10 @@ def bootstrap(df: DataFrame, source: str, prompt: str, pos: str, vote: str, valu
 
     big = sized.filter(F.col("_N") > BOOTSTRAP_ROWS)
     plan = big.select(source, prompt, "_N").distinct()
-    slots = (
-        plan.withColumn("n", F.explode(powers_of_two(F.col("_N"), below=True)))
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        .withColumn("_at", F.pmod(F.xxhash64(prompt, "n", "draw", "slot"), F.col("_N")))
-    )
-    drawn = slots.join(
-        big.select(source, prompt, F.col(pos).alias("_at"), vote, value), [source, prompt, "_at"]
-    )
+    sizes_n = plan.select("_N").distinct().withColumn("n", F.explode(powers_of_two(F.col("_N"), below=True))).repartition(tasks, "_N", "n")
+    slots = plan.join(sizes_n.mapInPandas(_draws(draws, seed), "_N long, n long, draw int, slot long, _at long"), "_N")
+    placed = row_index(big.select(source, prompt, pos, vote, value), [F.col(pos)], [source, prompt], "_at")
+    drawn = slots.join(placed.select(source, prompt, "_at", vote, value), [source, prompt, "_at"])
     votes = drawn.groupBy(source, prompt, "n", "draw", vote).agg(
         F.count("*").alias("_c"), F.min("slot").alias("_s"), F.min_by(value, "slot").alias("_v"),
         F.max(value).alias("_hi"), F.min(value).alias("_lo"),

@@ -128,6 +128,19 @@ def test_bootstrap_draws_follow_the_seed(spark):
         assert got[n].best_mean == pytest.approx(np.mean(best)) and got[n].majority_mean == pytest.approx(np.mean(maj))
 
 
+def test_bootstrap_is_the_same_at_every_size(spark, monkeypatch):
+    from tarnlake.operators import evaluation as E
+
+    rnd = random.Random(7)
+    data = [("s", u, 3 * i, rnd.choice("abc"), rnd.random()) for u in (1, 2) for i in range(20)]
+    df = spark.createDataFrame(data, "source string, uid long, pos long, vote string, value double")
+    run = lambda: {r.n: (r.prompts, r.best_mean, r.worst_mean, r.majority_mean) for r in E.bootstrap(df, "source", "uid", "pos", "vote", "value", draws=100).collect()}
+    small = run()
+    monkeypatch.setattr(E, "BOOTSTRAP_ROWS", 10)
+    large = run()
+    assert small.keys() == large.keys() and all(large[n] == pytest.approx(small[n]) for n in small)
+
+
 def test_bootstrap_with_user_functions(spark):
     from tarnlake.operators import evaluation as E
 
