@@ -124,6 +124,103 @@ def license_scan(spark, d):
     return licence_report(table(spark, d, "documents"), F.col("text"))
 
 
+OP11_CENTROIDS, OP11_ROUNDS = 40, 5
+
+
+def _op11_sql() -> str:
+    """Rounds of assignment and floored means, one after another, as plain SQL."""
+    def assigned(i):
+        return f"""a{i} AS MATERIALIZED (
+  SELECT rid, any_value(v.v) AS v, min([list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c.cluster]) AS near
+  FROM v, c{i} c GROUP BY rid)"""
+
+    def moved(i):
+        return f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(n.c, c.c) AS c FROM c{i} c LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM (
+      SELECT cluster, pos, sum(x)::BIGINT AS s, count(*) AS n
+      FROM (SELECT near[2] AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY 1, 2) GROUP BY cluster) n USING (cluster))"""
+
+    rounds = ",\n".join(f"{assigned(i)},\n{moved(i)}" for i in range(OP11_ROUNDS))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (
+    SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM v ORDER BY h, v LIMIT {OP11_CENTROIDS})),
+{rounds},
+{assigned(OP11_ROUNDS)}
+SELECT v.vec_id, near[2]::INT AS cluster, near[1] AS distance, (sum(near[1]) OVER (PARTITION BY near[2]))::BIGINT AS cluster_inertia,
+  (sum(near[1]) OVER ())::BIGINT AS inertia, sha256(list_aggregate(c.c, 'string_agg', ',')) AS centroid_sha256
+FROM a{OP11_ROUNDS} a JOIN v USING (rid) JOIN c{OP11_ROUNDS} c ON c.cluster = near[2]
+"""
+
+
+@query("op11_centroid_clustering", _op11_sql())
+def centroid_clustering(spark, d):
+    from tarnlake.llm.clusters import cluster_vectors
+
+    return cluster_vectors(table(spark, d, "embeddings"), F.col("vec_id"), F.col("embedding"), k=OP11_CENTROIDS, rounds=OP11_ROUNDS)
+
+
+OP12_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (
+  SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (r.first < k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (r.first IS NULL OR r.first = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY k.doc_id
+"""
+
+
+@query("op12_line_dedup", OP12_SQL)
+def line_dedup(spark, d):
+    from tarnlake.llm.lines import drop_repeated_lines
+
+    return drop_repeated_lines(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), shortest=10)
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+      lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents),
+t AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+l AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM l GROUP BY lang),
+c AS (SELECT t.lang, source, term, count(*) AS n FROM t JOIN l USING (lang, term) GROUP BY t.lang, source, term),
+g AS (
+  SELECT d.lang, d.source, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN c ON c.lang = d.lang AND c.source = d.source GROUP BY d.lang, d.source),
+p AS (
+  SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * v.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (l.n + 5)) // (v.total + 5 * v.v)::HUGEINT AS q
+  FROM g JOIN l ON l.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(x.p - y.p)) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+items AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM items)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def source_divergence_audit(spark, d):
+    from tarnlake.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, d, "documents"), F.col("lang"), F.col("source"), F.col("text"))
+
+
 @query("pipeline")
 def pipeline(spark, d):
     from corpus_pipeline import run
