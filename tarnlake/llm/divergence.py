@@ -74,7 +74,8 @@ def in_blocks(rows: DataFrame, value: str, size: int, block: str, number: str) -
     """The values of each language dealt by hash to blocks of about ``size``, and numbered from 0 in each."""
     many = rows.groupBy("lang").agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
     dealt = rows.join(many, "lang").withColumn(block, F.pmod(F.xxhash64(value), F.col("_n")).cast("int")).drop("_n")
-    return dealt.withColumn(number, F.row_number().over(Window.partitionBy("lang", block).orderBy(value)) - 1)
+    # the join leaves rows dealt by language, which would do for the window, and put a language in one task
+    return dealt.repartition("lang", block).withColumn(number, F.row_number().over(Window.partitionBy("lang", block).orderBy(value)) - 1)
 
 
 def share(n: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
@@ -96,13 +97,13 @@ def _cell(key, part):
     """Sum over the cell's terms of |p - q| for all pairs of sources of the two blocks, row by row."""
     import pyarrow as pa
 
-    lang, i, j, terms = key[0].as_py(), key[1].as_py(), key[2].as_py(), key[3].as_py()
+    lang, i, j = key[0].as_py(), key[1].as_py(), key[2].as_py()
     tables = {}
-    for row in part.to_pylist():
+    for row, counts in zip(part.drop_columns(["counts"]).to_pylist(), part["counts"]):
         n = np.zeros((len(row["totals"]), row["n_terms"]), np.int64)
-        if row["counts"]:
-            at = np.array([(c["number"], c["place"], c["n"]) for c in row["counts"]], np.int64)
-            n[at[:, 0], at[:, 1]] = at[:, 2]
+        if counts.is_valid:
+            number, place, held = (counts.values.field(c).to_numpy() for c in ("number", "place", "n"))
+            n[number, place] = held
         tables[row["block"]] = share(n, np.array(row["totals"], np.int64)[:, None], row["kept"])
     x, y = tables[i], tables[j]
     sums = np.stack([np.abs(y - p).sum(axis=1) for p in x])
@@ -166,6 +167,7 @@ def _pairs(groups: DataFrame, kept: DataFrame, counts: DataFrame) -> DataFrame:
     size = groups.groupBy("lang", "block").agg(F.count("*").alias("m"))
     sums = sums.join(size.withColumnRenamed("block", "j"), ["lang", "j"])
     sums = sums.select("lang", "i", "j", F.expr("cast(at div m as int)").alias("a"), F.expr("cast(at % m as int)").alias("b"), "value")
+    sums = saved(sums, "pair_sums")
     ends = F.array(F.struct("i", "a", F.col("j").alias("k"), F.col("b").alias("c")), F.struct(F.col("j").alias("i"), F.col("b").alias("a"), F.col("i").alias("k"), F.col("a").alias("c")))
     # a cell of one block with itself has both directions already
     both = sums.filter("i < j").select("lang", "value", F.inline(ends)).unionByName(
