@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.answers import strip
 from tarnlake.functions.benchmarks import found
+from tarnlake.functions.text import shared
 
 CHECKS: dict[str, Callable[[Column, dict[str, Column]], Column]] = {}
 
@@ -40,20 +41,24 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+@shared
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+@shared
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+@shared
 def sentences(text: Column) -> Column:
     """Runs up to . ? or ! that are followed by blank space or the end."""
     flat = F.replace(text, F.lit("\n"), F.lit(" "))
     return F.filter(F.transform(F.split(flat, r"(?<=[.?!])[\"”]?\s+"), strip), lambda s: s != "")
 
 
+@shared
 def blank(text: Column) -> Column:
     return strip(text) == ""
 
@@ -65,6 +70,7 @@ def outer_blanks_only(parts: Column) -> Column:
     )
 
 
+@shared
 def filled(parts: Column) -> Column:
     return F.filter(parts, lambda p: ~blank(p))
 

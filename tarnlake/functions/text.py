@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +32,23 @@ def custom_tokens(count_fn):
     return F.pandas_udf(counted, "long")
 
 
+def shared(fn):
+    """The function's expression is built once for the same column objects; building costs more than analysing it."""
+    held: OrderedDict = OrderedDict()
+
+    @wraps(fn)
+    def call(*args):
+        key = tuple(map(id, args))
+        if key not in held:
+            # the arguments are held too, so that their ids stay theirs
+            held[key] = (fn(*args), args)
+            if len(held) > 64:
+                held.popitem(last=False)
+        return held[key][0]
+
+    return call
+
+
 def let(value: Column, fn) -> Column:
     """Name an intermediate value, so that an expression that uses it twice computes it once."""
     return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions import answers as A
 from tarnlake.functions import benchmarks as B
 from tarnlake.functions import instructions as I
+from tarnlake.functions.text import let
 
 # fixed values: dispatch rules, first match wins; (kind, value, metric override, scorer)
 DISPATCH = [
@@ -210,26 +211,50 @@ def with_result(df: DataFrame) -> DataFrame:
 INSTRUCTION_SCORERS = ["instructions", "instructions_extended"]
 
 
+def follows_all(response: Column, ids: Column, kwargs: Column, lang: Column, names=None) -> Column:
+    """1.0 if the response is not blank and follows every instruction of its row (also if there is none), else 0.0."""
+    def check(instruction, arguments):
+        parsed = F.from_json(F.coalesce(arguments, F.lit("{}")), I.ARGUMENT_SCHEMA)
+        return let(parsed, lambda a: I.follows(instruction, response, {n: a[n] for n in I.ARGUMENTS if n != "lang"} | {"lang": lang}, names))
+
+    checks = F.zip_with(F.coalesce(ids, F.array().cast("array<string>")), F.coalesce(kwargs, F.array().cast("array<string>")), check)
+    ok = (A.strip(F.coalesce(response, F.lit(""))) != "") & F.forall(checks, lambda c: c)
+    return F.coalesce(ok, F.lit(False)).cast("double")
+
+
 def score_mixed(
-    df: DataFrame, keys: list[str], source: Column, metric: Column, response: str, truth: str, verdict: str, task: str, ids: str, kwargs: str, lang: Column,
+    df: DataFrame, source: Column, metric: Column, response: str, truth: str, verdict: str, task: str, ids: str, kwargs: str, lang: Column,
 ) -> DataFrame:
     """One job over responses of all sources: the dispatch rules name each row's scorer, and every row gets a score.
 
     Besides response and truth a row may bring an outside verdict (for judged sources), a benchmark task, or
     instruction ids with their JSON arguments.  An unknown source or task and a missing verdict are errors.
-    ``keys`` identify a row.
+    All of it is one expression over the row, so the table is read once and needs no key.  A Python scorer
+    inside it sees nulls for the rows of others.
     """
     named = scorer_name(source, metric)
     tagged = df.withColumn("scorer", F.when(named.isNotNull(), named).otherwise(failing("no scorer for source", source, "string")))
-    special = [*INSTRUCTION_SCORERS, "benchmark_task"]
-    plain = score_responses(tagged.filter(~F.col("scorer").isin(special)), response, truth, "scorer", [*dict.fromkeys(r[3] for r in DISPATCH if r[3] not in special)], verdict)
-    tasks = task_scores(tagged.filter(F.col("scorer") == "benchmark_task"), task, truth, response, verdict)
-    tasks = with_result(tasks.withColumn("_res", as_result(F.col("score"))).drop("score"))
-    told = tagged.filter(F.col("scorer").isin(INSTRUCTION_SCORERS))
-    kept = instruction_scores(told, keys, response, ids, kwargs, lang).select(*keys, F.col("score").alias("_s"))
-    # a row without instructions follows all of them
-    told = with_result(told.join(kept, keys, "left").withColumn("_res", as_result(F.coalesce("_s", F.lit(1.0)))).drop("_s"))
-    return plain.unionByName(tasks).unionByName(told)
+    kind, said, wanted = F.col("scorer"), F.col(response), F.col(truth)
+    res = F
+    names = list(dict.fromkeys(r[3] for r in DISPATCH))
+    same: dict = {}  # scorers that are one function share its expression
+    for n in names:
+        same.setdefault(SCORERS.get(n, n), []).append(n)
+    for n in [g[0] for g in same.values()]:
+        if n == INSTRUCTION_SCORERS[0]:
+            res = res.when(kind.isin(INSTRUCTION_SCORERS), as_result(follows_all(said, F.col(ids), F.col(kwargs), lang)))
+        elif n in INSTRUCTION_SCORERS:
+            continue
+        elif n == "benchmark_task":
+            res = res.when(kind == n, as_result(task_score(F.col(task), wanted, said, F.col(verdict))))
+        elif n == "judge":
+            told = F.when(F.col(verdict).isNotNull(), as_result(F.col(verdict))).otherwise(failing("no verdict for truth", wanted))
+            res = res.when(kind == n, told)
+        elif n in PYTHON_SCORERS:
+            res = res.when(kind == n, graded(n, F.when(kind == n, said), F.when(kind == n, wanted)))
+        else:
+            res = res.when(kind.isin(same[SCORERS[n]]), graded(n, said, wanted))
+    return with_result(tagged.withColumn("_res", res.otherwise(failing("no scorer for a row of", kind))))
 
 
 @dataclass(frozen=True)
@@ -292,18 +317,22 @@ TASKS: dict[str, Scorer] = {
 }
 
 
-def task_scores(df: DataFrame, task: str, truth: str, response: str, verdict: str | None = None) -> DataFrame:
+def task_score(task: Column, truth: Column, response: Column, verdict: Column | None = None) -> Column:
     """Benchmark tasks: one first-match expression over the task name.
 
-    A task without a grader here takes the verdict of the given column; without one it is an error.
+    A task without a grader here takes the verdict; without one it is an error.
     """
     out = F
     for name, fn in TASKS.items():
-        out = out.when(F.col(task) == name, F.coalesce(fn(F.col(truth), F.col(response)).cast("double"), F.lit(0.0)))
-    unknown = failing("no grader and no verdict for task", F.col(task), "double")
+        out = out.when(task == name, F.coalesce(fn(truth, response).cast("double"), F.lit(0.0)))
+    unknown = failing("no grader and no verdict for task", task, "double")
     if verdict is not None:
-        unknown = F.when(F.col(verdict).isNotNull(), F.col(verdict).cast("double")).otherwise(unknown)
-    return df.withColumn("score", out.otherwise(unknown))
+        unknown = F.when(verdict.isNotNull(), verdict.cast("double")).otherwise(unknown)
+    return out.otherwise(unknown)
+
+
+def task_scores(df: DataFrame, task: str, truth: str, response: str, verdict: str | None = None) -> DataFrame:
+    return df.withColumn("score", task_score(F.col(task), F.col(truth), F.col(response), F.col(verdict) if verdict else None))
 
 
 def table_equality(cand: DataFrame, truth: DataFrame, table: str, row: str, column: str, value: str, tolerance: float = 1e-6) -> DataFrame:

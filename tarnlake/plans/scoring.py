@@ -479,7 +479,7 @@ def j_all(spark, d):
         F.array(F.when(F.col("source") == "ood__ifbench", lit("punctuation:punctuation_exclamation")).otherwise(lit("punctuation:no_comma"))).alias("ids"),
         F.array(lit("{}")).alias("kwargs"),
     )
-    out = S.score_mixed(a, ["uid"], F.col("source"), F.col("metric"), "response", "truth", "verdict", "task", "ids", "kwargs", lit("en"))
+    out = S.score_mixed(a, F.col("source"), F.col("metric"), "response", "truth", "verdict", "task", "ids", "kwargs", lit("en"))
     return rnd(pass_rate(out, ["rule"], F.col("score")))
 
 

@@ -19,6 +19,8 @@ def build_session(app: str = "tarnlake", master: str | None = None, **conf: str)
         # split a skewed join even when a later step then needs a shuffle of its own
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.ui.enabled": "false",
+        # no call site is sent to the JVM for every column expression; long expressions are built twice as fast
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():

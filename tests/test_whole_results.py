@@ -47,7 +47,24 @@ def test_unknown_task_and_source_are_errors(spark):
     row = spark.createDataFrame([(1, "nowhere", "r", "t", 1.0, "typos", ["punctuation:no_comma"], ["{}"])],
                                 "id int, src string, r string, t string, v double, task string, ids array<string>, kw array<string>")
     with pytest.raises(Exception, match="no scorer for source"):
-        S.score_mixed(row, ["id"], F.col("src"), F.lit(None).cast("string"), "r", "t", "v", "task", "ids", "kw", F.lit("en")).collect()
+        S.score_mixed(row, F.col("src"), F.lit(None).cast("string"), "r", "t", "v", "task", "ids", "kw", F.lit("en")).collect()
+
+
+def test_mixed_rows_need_no_key(spark):
+    """Null and repeated keys, several instructions in a row, none at all, blank and null responses."""
+    comma = "punctuation:no_comma"
+    rows = [
+        (None, "one, two", [comma], ["{}"], 0.0), (None, "one two", [comma], ["{}"], 1.0), (7, "right", [comma], ["{}"], 1.0),
+        (7, "wro,ng", [comma], ["{}"], 0.0), (8, "a b", [comma, "keywords:existence"], ["{}", '{"keywords": ["b"]}'], 1.0),
+        (8, "a c", [comma, "keywords:existence"], ["{}", '{"keywords": ["b"]}'], 0.0), (9, "anything, at all", [], [], 1.0),
+        (9, "anything, at all", None, None, 1.0), (9, " ", [], [], 0.0), (9, None, [comma], ["{}"], 0.0), (9, "no arguments", [comma], None, 1.0),
+    ]
+    df = spark.createDataFrame(
+        [(k, "ood__ifeval", r, "", None, "typos", i, kw, want) for k, r, i, kw, want in rows],
+        "id int, src string, r string, t string, v double, task string, ids array<string>, kw array<string>, want double")
+    out = S.score_mixed(df, F.col("src"), F.lit(None).cast("string"), "r", "t", "v", "task", "ids", "kw", F.lit("en"))
+    assert out.count() == len(rows)
+    assert out.filter("score != want").collect() == []
 
 
 @pytest.mark.parametrize("n", [9_999, 10_000, 10_001, 10_003, 15_000])
