@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.operators.ranks import at_or_before, gather, nth_keys, row_index, shuffled_order, with_table_stats
+from tarnlake.session import durable
 
 TOP_N_ROWS = 10_000
 
@@ -29,21 +30,23 @@ def progress_eta(df: DataFrame, run: str, order: list[Column], secs: str, last:
 
 
 def first_n(df: DataFrame, order: list[Column], n: int, hex_first: bool = False) -> DataFrame:
-    """Exactly the first n rows by order (all, if there are fewer).
+    """Exactly the first n rows by order (all, if there are fewer); of rows that tie, those with the smallest row hash.
 
-    A small n is Spark's top-n.  For a larger one the key of the n-th row is looked up: rows before it are
-    filtered, and of the rows that tie with it just the missing number is taken.
+    A small n is Spark's top-n.  For a larger one the key of the n-th row is looked up and rows are filtered.
     """
     if n <= TOP_N_ROWS:
-        return df.orderBy(*order).limit(n)
-    if n >= df.count():
+        return df.orderBy(*order, row_hash(df)).limit(n)
+    total = df.count()
+    if n >= total:
         return df
-    key = nth_keys(df, order, [n], hex_first=hex_first)[0]
-    upto = at_or_before(order, key)
-    own = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    tied = own == F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(key)])
-    before = df.filter(upto & ~tied)
-    return before.unionByName(df.filter(tied).limit(n - before.count()))
+    return cut_at(df, order, [n], total, hex_first).filter(F.col("_cut") == 0).drop("_cut")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of the whole row, to put rows that tie in an order that does not depend on partitions."""
+    # maps cannot be hashed; their entries can
+    cols = [F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(*cols)
 
 
 def sample_n(df: DataFrame, key: str, seed: str, n: int | None) -> DataFrame:
@@ -85,19 +88,42 @@ def random_split(df: DataFrame, key: str, seed: str, train: float, test: float)
 
 
 def cut_at(df: DataFrame, order: list[Column], ends: list[int], n: int, hex_first: bool = False) -> DataFrame:
-    """Number of the piece (_cut) a row falls in, for pieces that end after the given row counts.
+    """Number of the piece (_cut) a row falls in, for pieces that end after exactly the given row counts.
 
-    Only the keys of the end rows are looked up; no row is ranked or moved.
+    The keys of the end rows are looked up and rows compared with them; none is ranked or moved.  Only where
+    several rows tie with a key and the cut lies between them, these rows are ranked by a hash of the row
+    (rows that are equal throughout, by the place they were stored at).
     """
     inner = sorted({e for e in ends if 0 < e < n})
     keys = dict(zip(inner, nth_keys(df, order, inner, hex_first=hex_first)))
+    own = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+
+    def literal(key):
+        return F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(key)])
+
     piece = F.lit(0)
     for e in ends:
         if e <= 0:
             piece = piece + 1
         elif e < n:
             piece = piece + F.when(at_or_before(order, keys[e]), 0).otherwise(1)
-    return df.withColumn("_cut", piece)
+    cut = df.withColumn("_cut", piece)
+    named = list({tuple(k): k for k in keys.values()}.values())
+    if not named:
+        return cut
+    counts = df.agg(*[f(c).alias(f"{x}{i}") for i, k in enumerate(named) for x, c, f in (("b", own < literal(k), F.count_if), ("t", own == literal(k), F.count_if))]).first()
+    upto = {tuple(k): (counts[f"b{i}"], counts[f"b{i}"] + counts[f"t{i}"]) for i, k in enumerate(named)}
+    split = {tuple(keys[e]): keys[e] for e in inner if upto[tuple(keys[e])][1] != e}
+    if not split:
+        return cut
+    start = F.lit(None).cast("long")
+    for t, k in split.items():
+        start = F.when(own == literal(k), F.lit(upto[t][0]).cast("long")).otherwise(start)
+    tied = durable(df.withColumns({"_start": start, "_row": row_hash(df)}).filter(F.col("_start").isNotNull()).withColumn("_place", F.monotonically_increasing_id()), "tied_rows")
+    place = row_index(tied, [F.col("_row"), F.col("_place")], ["_start"], "_nth")
+    at = F.col("_start") + F.col("_nth")
+    exact = place.withColumn("_cut", sum((F.when(at >= e, 1).otherwise(0) for e in ends), F.lit(0))).select(*cut.columns)
+    return cut.withColumn("_start", start).filter(F.col("_start").isNull()).drop("_start").unionByName(exact)
 
 
 def with_table_stats_of(df: DataFrame, counted: DataFrame) -> DataFrame:

@@ -9,14 +9,13 @@ columns: each bucket is ranked on its own and shifted by the totals of the bucke
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.functions.text import let
-from tarnlake.session import int_conf
+from tarnlake.session import durable, int_conf
 
 HOT_KEY = "spark.tarnlake.hotGroupRows"
 HOT_ROWS = 500_000
@@ -52,30 +51,44 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name:
 
 
 def _cut_points(df: DataFrame, buckets: int):
-    """Evenly spaced values of the ordering struct, from a bounded hash-ordered sample."""
+    """Some distinct values of the ordering struct, evenly spaced over a bounded random sample of the rows."""
     take = buckets * SAMPLES_PER_BUCKET
     rows = (
-        df.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(take)
+        df.select("_key").orderBy(F.rand(7)).limit(take)
         .select(F.to_json(F.array_sort(F.collect_list("_key"))).alias("j")).first()
     )
     keys = json.loads(rows["j"] or "[]")
     step = max(1, len(keys) // buckets)
-    return keys[step::step]
+    picked = keys[step // 2 :: step]
+    return [k for i, k in enumerate(picked) if not i or k != picked[i - 1]]
 
 
 def _bucket_of(cuts: list, dtype: T.DataType) -> Column:
-    """Number of cut points not above the row's key, found in two levels of about sqrt(n)."""
+    """2 i for rows between two cut points, 2 i + 1 for rows at one: a key with very many rows has a bucket of its own."""
     if not cuts:
         return F.lit(0)
     arr = F.from_json(F.lit(json.dumps(cuts)), T.ArrayType(dtype))
-    width = max(1, int(math.sqrt(len(cuts))))
-    coarse = F.from_json(F.lit(json.dumps(cuts[width - 1 :: width])), T.ArrayType(dtype))
+    return let(F.col("_key"), lambda key: F.size(F.filter(arr, lambda c: c <= key)) + F.size(F.filter(arr, lambda c: c < key)))
 
-    def search(key):
-        blocks = F.size(F.filter(coarse, lambda c: c <= key)) * width
-        return let(blocks, lambda b: b + F.size(F.filter(F.slice(arr, b + 1, F.lit(width)), lambda c: c <= key)))
 
-    return let(F.col("_key"), search)
+def _with_bucket(keyed: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """Add _bucket to the rows of hot groups (_hot is the group's size, null elsewhere: bucket 0).
+
+    Each hot group has cut points of its own, at most MAX_BUCKETS, from rows that a hash of the key picks.
+    They are found in two levels of about sqrt(n).
+    """
+    want = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_hot") / limit)).cast("int")
+    picked = keyed.filter(F.col("_hot").isNotNull() & (F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) * F.col("_hot") < want.cast("long") * (SAMPLES_PER_BUCKET << 20)))
+    cuts = picked.groupBy(*by).agg(F.array_sort(F.collect_set("_key")).alias("_all"), F.first(want).alias("_want"))
+    step = F.greatest(F.lit(1), F.floor(F.size("_all") / F.col("_want")).cast("int"))
+    cuts = cuts.withColumn("_step", step).withColumn("_cuts", F.filter("_all", lambda _, i: i % F.col("_step") == F.col("_step") - 1))
+    cuts = cuts.withColumn("_width", F.greatest(F.lit(1), F.floor(F.sqrt(F.size("_cuts"))).cast("int")))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % F.col("_width") == F.col("_width") - 1)).select(*by, "_cuts", "_width", "_coarse")
+    placed = keyed.join(cuts, by, "left") if by else keyed.crossJoin(F.broadcast(cuts))
+    first = F.size(F.filter("_coarse", lambda c: c <= F.col("_key"))) * F.col("_width")
+    bucket = let(first, lambda n: n + F.size(F.filter(F.slice("_cuts", n + 1, F.col("_width")), lambda c: c <= F.col("_key"))))
+    found = F.when(F.col("_hot").isNotNull() & F.col("_cuts").isNotNull(), bucket)
+    return placed.withColumn("_bucket", F.coalesce(found, F.lit(0))).drop("_cuts", "_width", "_coarse")
 
 
 def plain_totals(df: DataFrame, by: list[str], order: list[Column], totals: dict[str, Column]) -> DataFrame:
@@ -99,7 +112,7 @@ def nth_keys(df: DataFrame, order: list[Column], positions: list[int], direct: i
     Histogram selection: rows are counted by bucket and only a bucket that holds a position is
     looked at again, so no row is sorted or shuffled.  Buckets lie between sampled cut points, or
     are hash prefixes when the first ordering column is a hex digest.  A bucket larger than
-    ``direct`` is cut again.
+    ``direct`` is cut again, unless it holds a single key.
     """
     keyed = df.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("_key"))
     if not positions:
@@ -113,17 +126,17 @@ def nth_keys(df: DataFrame, order: list[Column], positions: list[int], direct: i
         bucketed = keyed.withColumn("_bucket", F.substring("_key.k0", 1, 4))
     else:
         bucketed = keyed.withColumn("_bucket", _bucket_of(_cut_points(keyed, 64), keyed.schema["_key"].dataType))
-    sizes = sorted((r["_bucket"], r["n"]) for r in bucketed.groupBy("_bucket").agg(F.count("*").alias("n")).collect())
+    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high")).collect()
     found = {}
     start = 0
-    for bucket, n in sizes:
-        inside = [p for p in positions if start < p <= start + n]
-        if inside:
-            part = bucketed.filter(F.col("_bucket") == bucket).select(*[F.col(f"_key.k{i}") for i in range(len(order))])
-            whole = n if len(sizes) == 1 else direct
-            got = nth_keys(part, [F.col(c) for c in part.columns], [p - start for p in inside], max(direct, whole))
-            found.update(zip(inside, got))
-        start += n
+    for r in sorted(sizes, key=lambda r: r["_bucket"]):
+        inside = [p for p in positions if start < p <= start + r["n"]]
+        if inside and r["low"] == r["high"]:
+            found.update((p, r["low"]) for p in inside)
+        elif inside:
+            part = bucketed.filter(F.col("_bucket") == r["_bucket"]).select(*[F.col(f"_key.k{i}") for i in range(len(order))])
+            found.update(zip(inside, nth_keys(part, [F.col(c) for c in part.columns], [p - start for p in inside], direct)))
+        start += r["n"]
     return [found[p] for p in positions]
 
 
@@ -155,42 +168,43 @@ def running_totals(
         return plain_totals(df, by, order, totals)
     if by:
         hot = df.groupBy(*by).count().filter(F.col("count") > limit)
-        size = hot.agg(F.sum("count").alias("n"), F.count("*").alias("k")).first()
-        hot_total, hot_groups = int(size["n"] or 0), int(size["k"])
+        size = hot.agg(F.max("count").alias("n"), F.count("*").alias("k")).first()
+        largest, hot_groups = int(size["n"] or 0), int(size["k"])
     else:
         n = df.count()
-        hot, hot_total, hot_groups = None, (n if n > limit else 0), 1
-    if hot_total == 0:
+        hot, largest, hot_groups = None, (n if n > limit else 0), 1
+    if largest == 0:
         return plain_totals(df, by, order, totals)
 
-    parts = {f"_in_{n}": c for n, c in totals.items()}
+    # names carry the depth, as a bucket's rows may be cut again
+    depth = sum(c.startswith("_bucket") for c in by)
+    parts, bucket = {f"_in_{n}": c for n, c in totals.items()}, f"_bucket{depth}"
     keyed = df.withColumns({"_key": F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]), **parts})
-    small_side = F.broadcast if hot_groups <= 10_000 else (lambda x: x)
     if by:
-        keyed = keyed.join(small_side(hot.select(*by, F.lit(True).alias("_hot"))), by, "left")
+        side = hot.select(*by, F.col("count").alias("_hot"))
+        keyed = keyed.join(F.broadcast(side) if hot_groups <= 10_000 else side, by, "left")
     else:
-        keyed = keyed.withColumn("_hot", F.lit(True))
-    buckets = min(MAX_BUCKETS, max(2, math.ceil(hot_total / limit)))
-    cuts = _cut_points(keyed.filter("_hot"), buckets)
-    dtype = keyed.schema["_key"].dataType
-    keyed = keyed.withColumn("_bucket", F.when(F.col("_hot"), _bucket_of(cuts, dtype)).otherwise(F.lit(0)))
+        keyed = keyed.withColumn("_hot", F.lit(largest).cast("long"))
+    keyed = _with_bucket(keyed, by, limit).withColumnRenamed("_bucket", bucket)
 
     sums = (
-        keyed.filter("_hot").groupBy(*by, "_bucket")
+        keyed.filter(F.col("_hot").isNotNull()).groupBy(*by, bucket)
         .agg(*[F.sum(p).alias(f"_sum{p}") for p in parts])
     )
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(
-        *by, "_bucket",
+        *by, bucket,
         *[F.coalesce(F.sum(f"_sum{p}").over(before), F.lit(0)).alias(f"_base{p}") for p in parts],
     )
     small_base = F.broadcast if hot_groups <= 10 else (lambda x: x)
-    joined = keyed.join(small_base(bases), [*by, "_bucket"], "left")
-    w = Window.partitionBy(*by, "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.withColumns(
-        {n: F.sum(f"_in_{n}").over(w) + F.coalesce(F.col(f"_base_in_{n}"), F.lit(0)) for n in totals}
-    )
-    return out.drop("_key", "_hot", "_bucket", *parts, *[f"_base{p}" for p in parts])
+    joined = keyed.join(small_base(bases), [*by, bucket], "left").drop("_key", "_hot")
+    # one level is enough up to MAX_BUCKETS buckets; beyond that buckets are groups like any other
+    deeper = largest > limit * MAX_BUCKETS
+    inside = {f"_in_{n}": F.col(f"_in_{n}") for n in totals}
+    within = [*by, bucket]
+    out = running_totals(durable(joined, "buckets"), within, order, inside, limit) if deeper else plain_totals(joined, within, order, inside)
+    out = out.withColumns({n: F.col(f"_in_{n}") + F.coalesce(F.col(f"_base_in_{n}"), F.lit(0)) for n in totals})
+    return out.drop(bucket, *parts, *[f"_base{p}" for p in parts])
 
 
 def level_totals(df: DataFrame, by: list[str], level: str, sums: dict[str, Column], hot_rows: int | None = None) -> DataFrame:
