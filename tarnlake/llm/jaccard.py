@@ -9,8 +9,8 @@ that this suffices is shown at ``tiles_of``.  So tiles hold near-identical sets,
 
 Equal sets are one class with one representative before anything is compared.  In a tile, the smallest
 member is compared with all others first; what is linked then need not be compared again, and only tiles
-that still hold several components compare members across components, in blocks of bounded size, where bit
-counts of hashed bitmaps bound the overlap from above.  Survivors are intersected exactly.
+that still hold several components compare members across components, those outside the largest one with
+all, in blocks of bounded size, where bit counts of hashed bitmaps bound the overlap from above.  Survivors are intersected exactly.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import saved, text_batches
 from tarnlake.llm.words import SPACE, lower_table, mix, shingle_set, text_bytes, word_table, words_in
 
-BLOOM_BITS = 1 << 25  # fixed size of the filter that spares the second reading most texts
+MEMBER_BITS = 8  # of the filter that spares the second reading most texts
+BLOOM_LIMIT = 1 << 28  # bits up to which the filter is sent to the tasks; beyond that ids are joined
 BLOCK_ROWS = 128
 BITS_MIN, BITS_MAX = 64, 4096
 
@@ -125,7 +126,7 @@ def _shingler(width: int, bloom):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            a, b = bloom_places(np.where(known, ids, 0).astype(np.int64))
+            a, b = bloom_places(np.where(known, ids, 0).astype(np.int64), 8 * len(bits))
             has = lambda x: (bits[x >> 3] >> (x & 7)) & 1 == 1
             for rows in np.array_split(np.flatnonzero(has(a) & has(b) & known), max(1, len(ids) // 500)):
                 sets = [shingle_set(words_in(text_bytes(batch.column(1)[int(i)]), in_word, lower)[2], width).tobytes() for i in rows]
@@ -135,26 +136,39 @@ def _shingler(width: int, bloom):
     return shingles
 
 
-def bloom_places(ids: np.ndarray):
+def bloom_places(ids: np.ndarray, bits: int):
     h = mix(ids.view(np.uint64))
-    return (h % np.uint64(BLOOM_BITS)).astype(np.int64), (mix(h) % np.uint64(BLOOM_BITS)).astype(np.int64)
+    return (h % np.uint64(bits)).astype(np.int64), (mix(h) % np.uint64(bits)).astype(np.int64)
 
 
-def _bloom(ids: DataFrame):
-    """Bits of all ids, gathered by the byte; its size is fixed, so a larger table only makes it less sharp."""
+def _bloom(ids: DataFrame, bits: int):
+    """Bits of all ids, gathered by the word."""
     def places(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            at = np.concatenate(bloom_places(batch.column(0).to_numpy().astype(np.int64)))
+            at = np.concatenate(bloom_places(batch.column(0).to_numpy().astype(np.int64), bits))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(np.int64(1), at & 31))], ["word", "bit"])
 
     words = ids.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 5, np.uint32)
+    out = np.zeros(bits >> 5, np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return ids.sparkSession.sparkContext.broadcast(out.view(np.uint8))
 
 
+def _sets_of(source: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """doc_id, shingles of the members (and of a few others), from a second reading of the texts.
+
+    The filter grows with the members; where it would be too large to send, the members are joined instead
+    and it lets everything through.
+    """
+    bits = max(1 << 20, 1 << (MEMBER_BITS * members.count() - 1).bit_length())
+    if bits > BLOOM_LIMIT:
+        source, bits = source.join(members, "doc_id", "left_semi"), 0
+    bloom = _bloom(members, bits) if bits else source.sparkSession.sparkContext.broadcast(np.full(1, 255, np.uint8))
+    return source.mapInArrow(_shingler(width, bloom), "doc_id long, shingles binary")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) whose sets have J >= p / q, by exact intersection of the sorted arrays."""
     def check(batches: Iterator) -> Iterator:
@@ -211,14 +225,25 @@ def components(edges: DataFrame, name: str = "component") -> DataFrame:
 def _across(tiles: DataFrame, p: int, q: int) -> DataFrame:
     """Pairs (a, b) of members of one tile and different components that their bitmaps do not rule out.
 
-    ``tiles``: tile, doc_id, component, n_shingles, bitmap.  A tile's members are dealt to blocks, and a pair
-    of blocks is one piece of work of bounded size, so no task holds a tile that is large.
+    ``tiles``: tile, doc_id, component, n_shingles, bitmap.  The members of a tile's largest component need
+    not meet one another, so each is sent once for every block of the others, and the others to all blocks.
+    A pair of blocks is one piece of work of bounded size, so no task holds a tile that is large, and a few
+    outsiders cost a large tile no more than its own size.
     """
-    size = tiles.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = tiles.join(saved(size, "tile_blocks"), "tile").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = dealt.select("tile", "doc_id", "component", "n_shingles", "bitmap", "block", F.explode(other).alias("o"))
-    rows = rows.select("tile", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "component", "n_shingles", "bitmap")
+    parts = saved(tiles.groupBy("tile", "component").agg(F.count("*").alias("n")), "tile_parts")
+    whole = parts.groupBy("tile").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    blocks = whole.select("tile", F.col("top.component").alias("main"), *[
+        F.ceil(n / BLOCK_ROWS).cast("int").alias(c) for n, c in ((F.col("n") - F.col("top.n"), "others"), (F.col("top.n"), "mains"))
+    ])
+    dealt = tiles.join(saved(blocks, "tile_blocks"), "tile")
+    hashed, is_main = F.xxhash64("doc_id"), F.col("component") == F.col("main")
+    block = F.when(is_main, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.greatest("others", F.lit(1)))).cast("int")
+    among = F.sequence(F.lit(0), F.col("others") - 1)
+    beside = F.transform(F.sequence(F.col("others"), F.col("others") + F.col("mains") - 1), lambda m: F.struct(F.col("block").alias("i"), m.alias("j")))
+    meets = F.when(is_main, F.transform(among, lambda o: F.struct(o.alias("i"), F.col("block").alias("j")))).otherwise(
+        F.concat(F.transform(among, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))), beside))
+    rows = dealt.withColumn("block", block).select("tile", "doc_id", "component", "n_shingles", "bitmap", "block", F.explode(meets).alias("o"))
+    rows = rows.select("tile", "o.i", "o.j", "block", "doc_id", "component", "n_shingles", "bitmap")
 
     def bounded(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -273,7 +298,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, p: int
     Words are runs of bytes other than white space, A-Z in lower case; a set is the distinct runs of ``width``
     words, or the whole sequence if it is shorter.  Documents link when 100 J >= 100 p / q, exactly.  Null,
     empty and blank texts have empty sets and link with nothing.  A row without id takes the component of
-    rows with an equal set, or none.  Repeated rows are rows of one component; other columns are ignored.
+    rows with an equal set, or none.  Repeated rows are rows of one component; ids are taken to be one text's
+    (of an id with several texts each row has its component, but a link of one of them may be missed).  Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -287,14 +314,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, p: int
 
     # tiles of one member of each class: equal sets have equal tiles
     single = some.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.any_value("tiles").alias("tiles")).filter(F.col("doc_id").isNotNull())
-    placed = single.select("doc_id", F.explode("tiles").alias("tile"))
-    w = Window.partitionBy("tile")
-    shared = saved(
-        placed.withColumns({"hub": F.min("doc_id").over(w), "last": F.max("doc_id").over(w)}).filter("hub < last").select("tile", "doc_id", "hub"), "shared_tiles"
-    )
+    placed = saved(single.select("doc_id", F.explode("tiles").alias("tile")), "placed")
+    # totals of a tile and a join, not a window: a tile may hold most of the table
+    hubs = placed.groupBy("tile").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("tile", "hub")
+    shared = saved(placed.join(saved(hubs, "hubs"), "tile").select("tile", "doc_id", "hub"), "shared_tiles")
     members = saved(shared.select("doc_id").distinct(), "members")
     # one row per id before it is saved: the joins below then read plain exchanges, which Spark can split
-    sets = saved(source.mapInArrow(_shingler(width, _bloom(members)), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = saved(_sets_of(source, members, width).dropDuplicates(["doc_id"]), "sets")
 
     stars = shared.filter("doc_id != hub").groupBy("doc_id").agg(F.min("hub").alias("b")).select(F.col("doc_id").alias("a"), "b")
     links = saved(_verify(stars, sets, p, q), "star_links")

@@ -140,3 +140,33 @@ def test_edges(spark, make, edge_texts):
     nameless = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "only here")], "doc_id long, text string")
     assert sorted(str(r.component_id) for r in J.near_duplicates(nameless).collect()) == ["4", "4", "None"]
     assert J.near_duplicates(df.filter("false")).count() == 0
+
+
+def test_one_outsider_does_not_multiply_a_tile(spark):
+    """Members of the largest component are sent once for each block of the others."""
+    ids = list(range(5000)) + [9001, 9002, 9003]
+    maps = {i: J.bitmap_of(np.arange(40, dtype=np.uint64) + np.uint64(1000 if i > 9000 else 0)) for i in ids}
+    tiles = spark.createDataFrame([(7, i, 0 if i < 9000 else i, 40, bytearray(maps[i])) for i in ids], "tile long, doc_id long, component long, n_shingles long, bitmap binary")
+    sent = []
+    plain = type(tiles).repartition
+
+    def count(self, *cols):
+        if cols == ("tile", "i", "j"):
+            sent.append(self.count())
+        return plain(self, *cols)
+
+    try:
+        type(tiles).repartition = count
+        found = {(r["a"], r["b"]) for r in J._across(tiles, 85, 100).collect()}
+    finally:
+        type(tiles).repartition = plain
+    assert sent and sent[0] < 3 * len(ids)
+    assert found == {(9001, 9002), (9001, 9003), (9002, 9003)}  # the outsiders share a bitmap of their own
+
+
+def test_members_are_joined_where_the_filter_would_be_too_large(spark, monkeypatch):
+    rows = near_copies(8, 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(J, "BLOOM_LIMIT", 1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(df, width=4, p=85, q=100).collect()}
+    assert got == brute(rows, 4, 85, 100)
