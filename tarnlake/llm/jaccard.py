@@ -228,22 +228,24 @@ def _across(tiles: DataFrame, p: int, q: int) -> DataFrame:
     ``tiles``: tile, doc_id, component, n_shingles, bitmap.  The members of a tile's largest component need
     not meet one another, so each is sent once for every block of the others, and the others to all blocks.
     A pair of blocks is one piece of work of bounded size, so no task holds a tile that is large, and a few
-    outsiders cost a large tile no more than its own size.
+    outsiders cost a large tile no more than its own size.  Two members may share many tiles; the smallest of
+    them gives the pair, so each comes once.
     """
+    own = saved(tiles.groupBy("doc_id").agg(F.collect_list("tile").alias("own")), "own_tiles")
     parts = saved(tiles.groupBy("tile", "component").agg(F.count("*").alias("n")), "tile_parts")
     whole = parts.groupBy("tile").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
     blocks = whole.select("tile", F.col("top.component").alias("main"), *[
         F.ceil(n / BLOCK_ROWS).cast("int").alias(c) for n, c in ((F.col("n") - F.col("top.n"), "others"), (F.col("top.n"), "mains"))
     ])
-    dealt = tiles.join(saved(blocks, "tile_blocks"), "tile")
+    dealt = tiles.join(saved(blocks, "tile_blocks"), "tile").join(own, "doc_id")
     hashed, is_main = F.xxhash64("doc_id"), F.col("component") == F.col("main")
     block = F.when(is_main, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.greatest("others", F.lit(1)))).cast("int")
     among = F.sequence(F.lit(0), F.col("others") - 1)
     beside = F.transform(F.sequence(F.col("others"), F.col("others") + F.col("mains") - 1), lambda m: F.struct(F.col("block").alias("i"), m.alias("j")))
     meets = F.when(is_main, F.transform(among, lambda o: F.struct(o.alias("i"), F.col("block").alias("j")))).otherwise(
         F.concat(F.transform(among, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))), beside))
-    rows = dealt.withColumn("block", block).select("tile", "doc_id", "component", "n_shingles", "bitmap", "block", F.explode(meets).alias("o"))
-    rows = rows.select("tile", "o.i", "o.j", "block", "doc_id", "component", "n_shingles", "bitmap")
+    rows = dealt.withColumn("block", block).select("tile", "doc_id", "component", "n_shingles", "bitmap", "own", "block", F.explode(meets).alias("o"))
+    rows = rows.select("tile", "o.i", "o.j", "block", "doc_id", "component", "n_shingles", "bitmap", "own")
 
     def bounded(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -253,6 +255,7 @@ def _across(tiles: DataFrame, p: int, q: int) -> DataFrame:
             own, comp, n = part["block"].to_numpy(), part["component"].to_numpy(), part["n_shingles"].to_numpy()
             ids, same = part["doc_id"].to_numpy(), part["i"][0].as_py() == part["j"][0].as_py()
             maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in part["bitmap"]]
+            tile, owned = part["tile"][0].as_py(), [frozenset(x) for x in part["own"].to_pylist()]
             width = min(map(len, maps))
             m = np.stack([folded(x, width) for x in maps])
             ones = np.bitwise_count(m).sum(axis=1, dtype=np.int64)
@@ -267,6 +270,7 @@ def _across(tiles: DataFrame, p: int, q: int) -> DataFrame:
                 # each bit of one that the other lacks stands for an element that the other lacks
                 most = np.minimum(n[x] - (ones[x] - met), n[y] - (ones[y] - met))
                 ok = y[q * most >= p * (n[x] + n[y] - most)]
+                ok = np.array([k for k in ok if min(owned[x] & owned[k]) == tile], np.int64)
                 out.append(np.stack([np.minimum(ids[x], ids[ok]), np.maximum(ids[x], ids[ok])], axis=1))
             return out
 
@@ -289,7 +293,7 @@ def _across(tiles: DataFrame, p: int, q: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
     dealt_out = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "doc_id")
-    return dealt_out.mapInArrow(bounded, "a long, b long").distinct()
+    return dealt_out.mapInArrow(bounded, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -333,7 +337,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, p: int
     open_tiles = told.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("tile")
     bits = signed.select("doc_id", "n_shingles", "bitmap").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     mixed = told.join(saved(open_tiles, "open_tiles"), "tile", "left_semi").join(bits, "doc_id")
-    more = _verify(saved(_across(mixed, p, q), "candidates"), sets, p, q)
+    more = _verify(saved(_across(saved(mixed, "open_members"), p, q), "candidates"), sets, p, q)
     roots = components(links.unionByName(more))
 
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
