@@ -255,7 +255,14 @@ def _across(tiles: DataFrame, p: int, q: int) -> DataFrame:
             own, comp, n = part["block"].to_numpy(), part["component"].to_numpy(), part["n_shingles"].to_numpy()
             ids, same = part["doc_id"].to_numpy(), part["i"][0].as_py() == part["j"][0].as_py()
             maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in part["bitmap"]]
-            tile, owned = part["tile"][0].as_py(), [frozenset(x) for x in part["own"].to_pylist()]
+            tile, own_tiles, held = part["tile"][0].as_py(), part["own"].combine_chunks(), {}
+            ends, flat = own_tiles.offsets.to_numpy(), own_tiles.values.to_numpy()
+
+            def owned(k):
+                if k not in held:
+                    held[k] = frozenset(flat[ends[k] : ends[k + 1]].tolist())
+                return held[k]
+
             width = min(map(len, maps))
             m = np.stack([folded(x, width) for x in maps])
             ones = np.bitwise_count(m).sum(axis=1, dtype=np.int64)
@@ -270,7 +277,7 @@ def _across(tiles: DataFrame, p: int, q: int) -> DataFrame:
                 # each bit of one that the other lacks stands for an element that the other lacks
                 most = np.minimum(n[x] - (ones[x] - met), n[y] - (ones[y] - met))
                 ok = y[q * most >= p * (n[x] + n[y] - most)]
-                ok = np.array([k for k in ok if min(owned[x] & owned[k]) == tile], np.int64)
+                ok = np.array([k for k in ok if min(owned(x) & owned(k)) == tile], np.int64)
                 out.append(np.stack([np.minimum(ids[x], ids[ok]), np.maximum(ids[x], ids[ok])], axis=1))
             return out
 
