@@ -27,7 +27,7 @@ from tarnlake.llm.words import SPACE, lower_table, mix, shingle_set, text_bytes,
 MEMBER_BITS = 8  # of the filter that spares the second reading most texts
 BLOOM_LIMIT = 1 << 28  # bits up to which the filter is sent to the tasks; beyond that ids are joined
 BLOCK_ROWS = 128
-BITS_MIN, BITS_MAX = 64, 16384
+BITS_MIN, BITS_MAX = 64, 8192
 
 
 def most_different(a: int, p: int, q: int) -> int:
@@ -81,9 +81,9 @@ def tiles_of(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
 
 
 def bitmap_of(shingles: np.ndarray) -> bytes:
-    """A bit for each hash value that occurs; about eight bits a shingle, within fixed limits."""
+    """A bit for each hash value that occurs; four to eight bits a shingle, within fixed limits."""
     n = len(shingles)
-    bits = min(BITS_MAX, max(BITS_MIN, 1 << (8 * n - 1).bit_length()))
+    bits = min(BITS_MAX, max(BITS_MIN, 1 << (4 * n - 1).bit_length()))
     m = np.zeros(bits, bool)
     m[(mix(shingles) % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(m, bitorder="little").tobytes()
