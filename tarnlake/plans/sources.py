@@ -132,7 +132,7 @@ def s2(spark, d):
     for status in ("F", "O"):
         arrivals(spark, d, status).withColumn("score", graded()).write.mode("append").parquet(f"{root}/in")
         S.running_pass_rates(S.arriving(spark, f"{root}/in", ARRIVAL + ", score double"), "uid", "score", f"{root}/out", f"{root}/ckpt")
-    return rnd(S.latest(spark, f"{root}/out", ["uid"]).select("uid", "n_responses", "pass_rate"))
+    return rnd(S.current_pass_rates(spark, "uid", f"{root}/ckpt").select("uid", "n_responses", "pass_rate"))
 
 
 @query("s3_completion_detection", """

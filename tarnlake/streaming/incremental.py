@@ -8,13 +8,14 @@ a lost executor or driver overwrites its own folder and nothing else.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.functions.policy import clip
 from tarnlake.operators.advantages import linear_scan
-from tarnlake.operators.pass_rates import last_per_key, passed
+from tarnlake.operators.pass_rates import passed
 from tarnlake.operators.ranks import row_index
 
 
@@ -22,6 +23,26 @@ def arriving(spark: SparkSession, path: str, schema: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+# fixed values: keyed state on the executors' disks, of which a micro-batch sends its changes only to the checkpoint
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started within keep their state in RocksDB; the session's own settings are put back."""
+    before = {k: spark.conf.get(k, None) for k in KEYED_STATE}
+    try:
+        for k, v in KEYED_STATE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def drain(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
@@ -52,33 +73,35 @@ def per_batch(stream: DataFrame, work: Callable[[DataFrame, int], DataFrame | No
 
 
 def running_pass_rates(stream: DataFrame, key: str, score: str, out: str, checkpoint: str) -> None:
-    """Pass rate per prompt, updated as responses arrive; only changed prompts are written."""
+    """Pass rate per prompt, updated as responses arrive; only changed prompts are written.
+
+    The counts are keyed state, so a micro-batch reads and writes the prompts that it touches.
+    """
     rates = stream.groupBy(key).agg(
         F.count("*").alias("n_responses"), F.sum(passed(F.col(score))).alias("n_passed")
     ).withColumn("pass_rate", F.col("n_passed") / F.col("n_responses"))
-    per_batch(rates, lambda df, _: df, out, checkpoint, mode="update")
+    with keyed_state(stream.sparkSession):
+        per_batch(rates, lambda df, _: df, out, checkpoint, mode="update")
 
 
-def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Last written row of each key."""
-    return last_per_key(spark.read.parquet(out), keys, F.col("batch_id"))
+def current_pass_rates(spark: SparkSession, key: str, checkpoint: str) -> DataFrame:
+    """Pass rate of every prompt after the last micro-batch: one row per prompt out of the state, no history."""
+    state = spark.read.format("statestore").load(checkpoint)
+    n, n_passed = (F.col("value")[c] for c in state.schema["value"].dataType.names)
+    return state.select(F.col("key")[key].alias(key), n.alias("n_responses"), n_passed.alias("n_passed"), (n_passed / n).alias("pass_rate"))
 
 
 def score_once(stream: DataFrame, keys: list[str], score: Column, out: str, checkpoint: str, force: bool = False) -> None:
     """Score responses that have no score yet; repeated deliveries are dropped unless forced.
 
-    The state is the table of scored keys, so it is not held in executor memory.
+    The keys seen are keyed state: a micro-batch looks up its own keys and reads no history.  A forced run
+    goes over all deliveries again with a checkpoint of its own and writes beside the first results.
     """
-    spark = stream.sparkSession
-
-    def work(df: DataFrame, batch: int) -> DataFrame:
-        fresh = df.dropDuplicates(keys)
-        if not force and exists(spark, out):
-            done = spark.read.parquet(out).filter(F.col("batch_id") < batch)
-            fresh = fresh.join(done.select(*keys), keys, "left_anti")
-        return fresh.withColumn("score", score)
-
-    per_batch(stream, work, out, checkpoint)
+    if force:
+        work = lambda df, _: df.dropDuplicates(keys).withColumn("score", score)
+        return per_batch(stream, work, f"{out}_forced", f"{checkpoint}_forced")
+    with keyed_state(stream.sparkSession):
+        per_batch(stream.dropDuplicates(keys).withColumn("score", score), lambda df, _: df, out, checkpoint)
 
 
 def finished(markers: DataFrame, expected: int) -> DataFrame:
