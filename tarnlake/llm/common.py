@@ -52,11 +52,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     """At most ``max_rows`` labelled documents in hash order of their id, none of them held out.
 
     The choice is made on the narrow label table; its bounded result is broadcast to the documents.
-    A document with several labels counts once, with the largest.
+    A document with several labels counts once, with the largest; of an id with several rows the least is
+    taken, so the result has at most ``max_rows`` rows whatever the documents repeat.
     """
     chosen = (
         labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).alias("_label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    return docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).drop("_id")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    found = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id", "_label").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*", "_label")

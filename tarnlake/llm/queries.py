@@ -82,11 +82,14 @@ def ngram_jaccard(spark, d):
 
 @query("op5_toxicity")
 def toxicity(spark, d):
-    from tarnlake.llm.toxicity import SCORE, learn_from, score_toxicity
+    from tarnlake.llm.toxicity import SCORE, SPANS, learn_from, score_toxicity
 
     docs = table(spark, d, "documents").select("doc_id", "text")
-    scored = score_toxicity(docs, learn_from(docs, table(spark, d, "labels")), spans=False)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
+    scored = score_toxicity(docs, learn_from(docs, table(spark, d, "labels")))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"),
+        F.size(SPANS).cast("long").alias("n_offending"), F.col(SPANS).alias("offending"),
+    )
 
 
 @query("op6_document_fingerprints")

@@ -118,3 +118,13 @@ def test_edges(spark, make, edge_texts, sf_dir):
     assert rules.judge(df.filter("false"), [], F.col("text")).count() == 0
     twice = rules.judge(df.unionByName(df), [], F.col("text")).groupBy("doc_id").agg(F.countDistinct("kept").alias("n"))
     assert twice.filter("n > 1").count() == 0
+
+
+def test_training_rows_hold_one_row_per_id(spark):
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "CAST(id % 50 AS STRING) AS text").unionByName(
+        spark.createDataFrame([(8, None), (8, "b"), (None, "c")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (8, 0), (None, 1)], "doc_id long, quality int")
+    free = {r.doc_id for r in labels.filter(~held_out(F.col("doc_id"))).collect()}
+    got = training_rows(docs, labels, "quality", 100).collect()
+    want = {7: (1, "0"), 8: (0, None)}  # the least text, null first
+    assert {r.doc_id: (r._label, r.text) for r in got} == {k: want[k] for k in free} and len(got) == len(free) > 0

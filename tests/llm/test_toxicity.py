@@ -68,3 +68,15 @@ def test_edges(spark, make, edge_texts, fitted, sf_dir):
     for few in (labels.filter("false"), labels.filter("toxic = 0")):
         m = X.learn_from(df, few)
         assert all(0 <= r[X.SCORE] <= 1 for r in X.score_toxicity(df, m, spans=False).collect())
+
+
+def test_query_names_offending_sentences(spark, sf_dir):
+    from tarnlake.llm.queries import toxicity
+
+    out = toxicity(spark, sf_dir)
+    assert out.filter("n_offending != size(offending) OR n_offending IS NULL").count() == 0
+    # a sentence at the bound alone makes the document toxic
+    assert out.filter("n_offending > 0 AND predicted = 0").count() == 0
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.char_length("text").alias("n"))
+    spans = out.join(texts, "doc_id").select("n", F.explode("offending").alias("s"))
+    assert spans.count() > 0 and spans.filter("s.start < 0 OR s.end <= s.start OR s.end > n OR s.score < 0.5").count() == 0
