@@ -135,13 +135,38 @@ def majority_at_n(df: DataFrame, prompt: list[str], pos: str, vote: str, value:
     ).select(*prompt, "n", F.col(f"_w.{vote}").alias("majority"), F.col("_w._v").alias("majority_value"))
 
 
-def _resampler(draws: int, seed: int):
+def drawn_position(seed: int, rows: Column, *place: Column) -> Column:
+    """Counter-based draw from [0, rows): an md5 of the seed and of the draw's place, so any task can make any draw."""
+    text = F.concat_ws("_", F.lit(str(seed)), *[c.cast("string") for c in place])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") % rows
+
+
+def _resampler(draws: int, seed: int, counter: bool):
     """Resample prompts with the same number of responses together: they share their draws."""
 
     def run(batches):
+        import hashlib
+
         import numpy as np
         import pandas as pd
 
+        kept = {}
+
+        def places(n):
+            # the numbers of drawn_position before they are cut to the number of responses
+            if n in kept:
+                return kept[n]
+            text = (f"{seed}_{n}_{d}_{s}" for d in range(draws) for s in range(n))
+            out = np.fromiter((int(hashlib.md5(t.encode()).hexdigest()[:13], 16) for t in text), np.int64, draws * n).reshape(draws, n)
+            if n <= 256:
+                kept[n] = out
+            return out
+
+        def drawn(total, n):
+            if counter:
+                return places(n) % total
+            return np.random.RandomState(seed).choice(total, size=(draws, n), replace=True)
+
         def lead(picked):
             # slot of the first response holding the most common vote
             n = picked.shape[-1]
@@ -163,7 +188,7 @@ def _resampler(draws: int, seed: int):
                 votes, values = np.stack(same["votes"].to_numpy()), np.stack(same["values"].to_numpy())
                 names = same["source"].to_numpy()
                 for n in sizes:
-                    idx = np.random.RandomState(seed).choice(total, size=(draws, n), replace=True)
+                    idx = drawn(total, n)
                     step = max(1, 1_000_000 // (draws * n))
                     for a in range(0, len(same), step):
                         x, v = values[a : a + step][:, idx], votes[a : a + step][:, idx]
@@ -196,12 +221,25 @@ def _draws(draws: int, seed: int):
     return run
 
 
-def bootstrap(df: DataFrame, source: str, prompt: str, pos: str, vote: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+def _counted_draws(sizes: DataFrame, draws: int, seed: int, tasks: int) -> DataFrame:
+    """Draws of ``drawn_position`` as rows; they are dealt out in parts of 4,096 slots before they are made."""
+    parts = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    parts = parts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 4096))))
+    first = F.col("_part") * 4096
+    slots = parts.repartition(tasks, "_N", "n", "draw", "_part").withColumn("slot", F.explode(F.sequence(first, F.least(first + 4095, F.col("n") - 1))))
+    return slots.withColumn("_at", drawn_position(seed, F.col("_N"), F.col("n"), F.col("draw"), F.col("slot"))).drop("_part")
+
+
+def bootstrap(
+    df: DataFrame, source: str, prompt: str, pos: str, vote: str, value: str, draws: int = 1000, seed: int = 42, counter: bool = False,
+) -> DataFrame:
     """Seeded resampling of best, worst and majority, averaged over prompts by n.
 
-    Every prompt draws with numpy's legacy generator and the seed.  Prompts with at most BOOTSTRAP_ROWS
-    responses are resampled in one Arrow group each; for larger ones the same draws are written out and
-    joined to the responses by position, which gives the same figures spread over many tasks.
+    With ``counter`` a draw is a hash of the seed and its place (``drawn_position``), so any task makes
+    any part of the draws; otherwise every prompt draws with numpy's legacy generator and the seed, one
+    stream for each number of responses.  Prompts with at most BOOTSTRAP_ROWS responses are resampled in
+    one Arrow group each; for larger ones the same draws are written out and joined to the responses by
+    position, which gives the same figures spread over many tasks.
     """
     sizes = df.groupBy(source, prompt).agg(F.count("*").alias("_N")).filter(F.col("_N") > 1)
     sized = df.join(sizes, [source, prompt])
@@ -211,13 +249,17 @@ def bootstrap(df: DataFrame, source: str, prompt: str, pos: str, vote: str, valu
     ).select(F.col(source).alias("source"), F.col(prompt).alias("prompt"), F.col("_s.v").alias("votes"), F.col("_s.x").alias("values"))
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     per_small = arrays.repartition(tasks, F.xxhash64("prompt")).drop("prompt").mapInPandas(
-        _resampler(draws, seed), "source string, n long, best double, worst double, majority double"
+        _resampler(draws, seed, counter), "source string, n long, best double, worst double, majority double"
     )
 
     big = sized.filter(F.col("_N") > BOOTSTRAP_ROWS)
     plan = big.select(source, prompt, "_N").distinct()
     sizes_n = plan.select("_N").distinct().withColumn("n", F.explode(powers_of_two(F.col("_N"), below=True))).repartition(tasks, "_N", "n")
-    slots = plan.join(sizes_n.mapInPandas(_draws(draws, seed), "_N long, n long, draw int, slot long, _at long"), "_N")
+    if counter:
+        drawn_slots = _counted_draws(sizes_n, draws, seed, tasks)
+    else:
+        drawn_slots = sizes_n.mapInPandas(_draws(draws, seed), "_N long, n long, draw int, slot long, _at long")
+    slots = plan.join(drawn_slots, "_N")
     placed = row_index(big.select(source, prompt, pos, vote, value), [F.col(pos)], [source, prompt], "_at")
     drawn = slots.join(placed.select(source, prompt, "_at", vote, value), [source, prompt, "_at"])
     votes = drawn.groupBy(source, prompt, "n", "draw", vote).agg(
@@ -249,7 +291,7 @@ def bootstrap_reduce(
     slots = (
         n.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-        .withColumn("_at", F.pmod(F.xxhash64(*keys, "_draw", "_slot", F.lit(seed)), F.col("_N")))
+        .withColumn("_at", drawn_position(seed, F.col("_N"), *[F.col(k) for k in keys], F.col("_draw"), F.col("_slot")))
     )
     drawn = slots.join(df.select(*keys, F.col(pos).alias("_at"), F.col(value).cast("double").alias("_x")), [*keys, "_at"])
     packed = drawn.groupBy(*keys, "_draw").agg(F.transform(F.sort_array(F.collect_list(F.struct("_slot", "_x"))), lambda s: s["_x"]).alias("_xs"))

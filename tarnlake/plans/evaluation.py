@@ -87,19 +87,51 @@ def e10(spark, d):
     return rounded(out, "best_mean", "best_std", "worst_mean", "worst_std")
 
 
+# draws of drawn_position by number of responses and n, as arrays of 1-based positions
+DRAWS_SQL = """
+, r AS (SELECT data_source, uid, list(reward ORDER BY resp_idx) AS xs, list(pred ORDER BY resp_idx) AS vs, count(*) AS total
+        FROM responses GROUP BY 1, 2 HAVING count(*) > 1),
+plan AS (SELECT DISTINCT total, unnest(list_concat(list_filter(list_transform(range(1, 21), lambda i: CAST(pow(2, i) AS BIGINT)), lambda k: k < total), [CAST(total AS BIGINT)])) AS n FROM r),
+slots AS (SELECT total, n, draw, slot, CAST(concat('0x', substr(md5(concat('42_', n, '_', draw, '_', slot)), 1, 13)) AS BIGINT) % total + 1 AS pick
+          FROM (SELECT *, unnest(range(n)) AS slot FROM (SELECT total, n, unnest(range(1000)) AS draw FROM plan))),
+draws AS (SELECT total, n, list(pick ORDER BY slot) AS picks FROM slots GROUP BY total, n, draw),
+-- equal draws of prompts of one size count once
+kinds AS (SELECT total, n, picks, count(*) AS times FROM draws GROUP BY ALL),
+each AS (SELECT data_source, uid, k.n, times, list_select(xs, picks) AS x, list_select(vs, picks) AS v FROM r JOIN kinds k ON r.total = k.total),
+won AS (SELECT data_source, uid, n, times, list_max(x) AS best, list_min(x) AS worst, x[list_position(v, list_aggregate(v, 'mode'))] AS majority FROM each),
+per AS (SELECT data_source, uid, n, sum(best * times) / 1000 AS best, sum(worst * times) / 1000 AS worst, sum(majority * times) / 1000 AS majority FROM won GROUP BY 1, 2, 3)
+SELECT data_source AS source, CAST(n AS BIGINT) AS n, count(*) AS prompts, round(avg(best), 9) AS best_mean, round(avg(worst), 9) AS worst_mean, round(avg(majority), 9) AS majority_mean
+FROM per GROUP BY 1, 2"""
+
+
 @query("e10_e11_seeded_bootstrap")
 def e10_seeded(spark, d):
     r = responses(spark, d)
     return E.bootstrap(r, "data_source", "uid", "resp_idx", "pred", "reward")
 
 
-@query("u4_bootstrap_reduce_functions")
+@query("e10_e11_counted_bootstrap", with_views("responses", DRAWS_SQL))
+def e10_counted(spark, d):
+    r = responses(spark, d)
+    out = E.bootstrap(r, "data_source", "uid", "resp_idx", "pred", "reward", counter=True)
+    return rounded(out, "best_mean", "worst_mean", "majority_mean", digits=9)
+
+
+@query("u4_bootstrap_reduce_functions", with_views("responses", """
+, p AS (SELECT data_source, reward, row_number() OVER (PARTITION BY data_source ORDER BY uid, resp_idx) - 1 AS pos, count(*) OVER (PARTITION BY data_source) AS total FROM responses),
+t AS (SELECT DISTINCT data_source, total FROM p),
+slots AS (SELECT data_source, draw, CAST(concat('0x', substr(md5(concat('42_', data_source, '_', draw, '_', slot)), 1, 13)) AS BIGINT) % total AS at
+          FROM (SELECT *, unnest(range(16)) AS slot FROM (SELECT *, unnest(range(200)) AS draw FROM t))),
+each AS (SELECT s.data_source, draw, max(reward) AS best, median(reward) AS mid FROM slots s JOIN p ON s.data_source = p.data_source AND s.at = p.pos GROUP BY 1, 2)
+SELECT data_source, round(avg(best), 6) AS best_mean, round(stddev_pop(best), 6) AS best_std, round(avg(mid), 6) AS median_mean, round(stddev_pop(mid), 6) AS median_std
+FROM each GROUP BY 1"""))
 def u4(spark, d):
     r = responses(spark, d)
     pos = row_index(r.select("data_source", "uid", "resp_idx", "reward"), [F.col("uid"), F.col("resp_idx")], ["data_source"], "pos")
-    return E.bootstrap_reduce(
+    out = E.bootstrap_reduce(
         pos, ["data_source"], "pos", "reward", 16, {"best": lambda x: x.max(1), "median": lambda x: np.median(x, axis=1)}, draws=200
     )
+    return rounded(out, "best_mean", "best_std", "median_mean", "median_std")
 
 
 @query("e11_majority_at_n", with_views("responses", """

@@ -141,6 +141,31 @@ def test_bootstrap_is_the_same_at_every_size(spark, monkeypatch):
     assert small.keys() == large.keys() and all(large[n] == pytest.approx(small[n]) for n in small)
 
 
+def test_counted_draws_are_the_same_at_every_size(spark, monkeypatch):
+    import hashlib
+
+    from tarnlake.operators import evaluation as E
+
+    rnd = random.Random(8)
+    x, votes = [rnd.random() for _ in range(20)], [rnd.choice("abc") for _ in range(20)]
+    df = spark.createDataFrame([("s", 1, 2 * i, votes[i], x[i]) for i in range(20)], "source string, uid long, pos long, vote string, value double")
+    run = lambda: {r.n: (r.best_mean, r.worst_mean, r.majority_mean) for r in E.bootstrap(df, "source", "uid", "pos", "vote", "value", 100, 7, True).collect()}
+    small = run()
+    monkeypatch.setattr(E, "BOOTSTRAP_ROWS", 10)
+    large = run()
+    assert small.keys() == large.keys() == {2, 4, 8, 16, 20}
+    for n in small:
+        best, worst, maj = [], [], []
+        for d in range(100):
+            idx = [int(hashlib.md5(f"7_{n}_{d}_{s}".encode()).hexdigest()[:13], 16) % 20 for s in range(n)]
+            picked = [votes[i] for i in idx]
+            best.append(max(x[i] for i in idx))
+            worst.append(min(x[i] for i in idx))
+            maj.append(x[idx[picked.index(max(picked, key=picked.count))]])
+        want = [sum(v) / 100 for v in (best, worst, maj)]
+        assert small[n] == pytest.approx(want) and large[n] == pytest.approx(want)
+
+
 def test_bootstrap_with_user_functions(spark):
     from tarnlake.operators import evaluation as E
 
