@@ -224,3 +224,39 @@ def test_scorer_from_file(spark, tmp_path):
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         S.apply_strategy(spark.range(1), "nope", "id", "id", "id")
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_list_edit_distance(spark):
+    import random
+
+    from tarnlake.functions.answers import list_edit_distance
+
+    rnd = random.Random(5)
+    pairs = [([rnd.choice("abcdef") * rnd.randrange(1, 3) for _ in range(rnd.randrange(12))], [rnd.choice("abcdeg") for _ in range(rnd.randrange(12))]) for _ in range(200)]
+    pairs += [([], []), (["x"], []), (["a", "b"], ["a", "b"]), (["p", "a", "q"], ["p", "q"]), (list("ab") * 60, list("ba") * 60)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)] + [(-1, None, ["a"])], "id long, a array<string>, b array<string>")
+    got = {r.id: r.d for r in df.select("id", list_edit_distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert got == {-1: None} | {i: plain_distance(a, b) for i, (a, b) in enumerate(pairs)}
+
+
+def test_edit_distance_of_long_lists(spark):
+    from tarnlake.functions.answers import list_edit_distance
+    from tarnlake.session import durable
+
+    items = F.transform(F.sequence(F.lit(0), F.col("id").cast("int") + 99_999), lambda i: F.concat(F.lit("item "), i.cast("string")))
+    # the first item replaced, one taken out near the middle, one put in near the end
+    changed = F.concat(
+        F.array(F.lit("new")), F.slice(items, 2, 49_999), F.slice(items, 50_002, 49_900), F.array(F.lit("more")), F.slice(items, 99_902, 99))
+    df = durable(spark.range(1).select(items.alias("a"), changed.alias("b")))
+    other = F.transform(F.slice("a", 1, 1000), lambda x: F.concat(x, F.lit("?")))
+    row = df.select(list_edit_distance(F.col("a"), F.col("b")).alias("near"), list_edit_distance(F.slice("a", 1, 1000), other).alias("far")).first()
+    assert (row.near, row.far) == (3, 1000)
