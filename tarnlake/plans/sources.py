@@ -152,9 +152,13 @@ def s4(spark, d):
     return spark.read.parquet(f"{root}/out").select("uid", "resp_idx", "score")
 
 
-@query("s6_kl_coefficient_state", with_views("steps", """
+KL_SQL = """
 SELECT run_id, event_id, round(0.2 * exp(sum(ln(1 + least(greatest(value / 50.0 - 1, -0.2), 0.2) * 64 / 10000.0))
-  OVER (PARTITION BY run_id ORDER BY ts, event_id)), 6) AS kl_coef FROM steps"""))
+  OVER (PARTITION BY run_id ORDER BY ts, event_id)), 6) AS kl_coef FROM steps"""
+KL_STEPS = "run_id long, ts timestamp, event_id long, value double"
+
+
+@query("s6_kl_coefficient_state", with_views("steps", KL_SQL))
 def s6(spark, d):
     root = scratch_path(spark, "s6")
     st = steps(spark, d).select("run_id", "ts", "event_id", "value")
@@ -170,6 +174,22 @@ def s6(spark, d):
     return rnd(spark.read.parquet(f"{root}/out").select("run_id", "event_id", "kl_coef"))
 
 
+@query("s6_reordered_steps", with_views("steps", KL_SQL))
+def s6_reordered(spark, d):
+    root = scratch_path(spark, "s6r")
+    st = steps(spark, d).select("run_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    # each step is delivered up to four days after its event time; five deliveries of six days
+    days = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 86_400_000_000)
+    sent = F.floor((days + F.pmod(F.col("event_id") * 7919, F.lit(4))) / 6)
+    st.withColumn("sent", F.least(sent, F.lit(4)).cast("int")).write.partitionBy("sent").parquet(f"{root}/sent")
+    args = ("run_id", ["ts", "event_id"], "value", 0.2, 50.0, 10000.0, 64, f"{root}/out")
+    for k in range(5):
+        spark.read.schema(KL_STEPS).parquet(f"{root}/sent/sent={k}").write.mode("append").parquet(f"{root}/in")
+        S.kl_coefficients(S.arriving(spark, f"{root}/in", KL_STEPS), *args, f"{root}/ckpt", delay="5 days")
+    out = spark.read.parquet(f"{root}/out").unionByName(S.pending_kl_coefficients(spark, *args, KL_STEPS), allowMissingColumns=True)
+    return rnd(out.select("run_id", "event_id", "kl_coef"))
+
+
 @query("s7_accumulating_scores", with_views("responses", """
 , per AS (SELECT data_source, uid, avg(reward) AS m FROM responses GROUP BY 1, 2), e AS (SELECT min(m) AS lo, max(m) AS hi FROM per)
 SELECT data_source AS step, CAST(least(floor((m - lo) / (hi - lo) * 10), 9) AS BIGINT) AS bin, count(*) AS n

@@ -49,3 +49,45 @@ def test_current_rates_hold_one_row_per_prompt(spark, tmp_path):
     # a micro-batch writes the prompts that it touched only
     sizes = spark.read.parquet(f"{root}/out").groupBy("batch_id").count().collect()
     assert len(sizes) == BATCHES and {r["count"] for r in sizes} == {2}
+
+
+KL_STEPS = "run string, at timestamp, value double"
+KL_ARGS = ("run", ["at"], "value", 0.2, 50.0, 10000.0, 64)
+
+
+def test_steps_out_of_order_within_the_delay(spark, tmp_path):
+    import datetime
+    import random
+
+    root, rnd = str(tmp_path), random.Random(3)
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    data = [(run, start + datetime.timedelta(minutes=m), rnd.random() * 100) for run in ("a", "b", None) for m in range(60)]
+    sent = sorted(data, key=lambda r: r[1] + datetime.timedelta(minutes=rnd.random() * 8))
+    args = (*KL_ARGS, f"{root}/out")
+    for k in range(0, len(sent), 30):
+        spark.createDataFrame(sent[k : k + 30], KL_STEPS).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        S.kl_coefficients(S.arriving(spark, f"{root}/in", KL_STEPS), *args, f"{root}/ckpt", delay="10 minutes")
+    done = spark.read.parquet(f"{root}/out")
+    assert done.filter("late").count() == 0
+    held = S.pending_kl_coefficients(spark, *args, KL_STEPS)
+    assert 0 < held.count() <= 3 * 11
+    got = {(r["run"], r["at"].timestamp()): r["kl_coef"] for r in done.unionByName(held, allowMissingColumns=True).collect()}
+    assert len(got) == len(data)
+    for run in ("a", "b", None):
+        coef = 0.2
+        for _, at, value in sorted((r for r in data if r[0] == run), key=lambda r: r[1]):
+            coef *= 1 + min(max(value / 50 - 1, -0.2), 0.2) * 64 / 10000
+            assert abs(got[run, at.timestamp()] - coef) < 1e-9
+
+
+def test_steps_beyond_the_delay_are_marked(spark, tmp_path):
+    import datetime
+
+    root = str(tmp_path)
+    minute = lambda m: datetime.datetime(2024, 1, 1, 0, m, tzinfo=datetime.timezone.utc)
+    for rows in ([("a", minute(0), 60.0), ("a", minute(30), 60.0)], [("a", minute(31), 60.0)], [("a", minute(5), 60.0), ("a", minute(0), 1.0)]):
+        spark.createDataFrame(rows, KL_STEPS).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        S.kl_coefficients(S.arriving(spark, f"{root}/in", KL_STEPS), *KL_ARGS, f"{root}/out", f"{root}/ckpt", delay="10 minutes")
+    rows = spark.read.parquet(f"{root}/out").collect()
+    # minute 5 is behind the clock but before no released step, so it still gets its place; minute 0 comes too late
+    assert {(r["at"].minute, r["value"], r["late"]) for r in rows} == {(0, 60.0, False), (5, 60.0, False), (0, 1.0, True)}
