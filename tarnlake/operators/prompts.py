@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.predicates import prompt_text, within_length
-from tarnlake.functions.prompts import joined_contents
+from tarnlake.functions.prompts import joined_contents, user_prompt
 from tarnlake.functions.text import token_count
 from tarnlake.operators.batches import sample_n
 from tarnlake.operators.ranks import row_index
+from tarnlake.session import durable
 
 
 @dataclass
@@ -81,6 +82,51 @@ def pair_rows(df: DataFrame, prompt: str, chosen: str, rejected: str) -> DataFra
     return df.select(*rest, F.explode(sides).alias("s")).select(*rest, "s.side", "s.response")
 
 
+# fixed values: columns of each table that a preference set turns into
+PREFERENCE_TABLES = {
+    "sft": ["row_no", "prompt", "response"],
+    "rm": ["row_no", "prompt", "chosen", "rejected"],
+    "rl": ["row_no", "data_source", "messages", "ability", "reward_model", "extra_info"],
+}
+
+
+def preference_tables(
+    df: DataFrame, order: list[Column], prompt: Column, chosen: Column, rejected: Column, response: Column, data_source: Column, train: float = 0.75,
+) -> DataFrame:
+    """Rows of a preference set as rows of three canonical tables, tagged with ``table`` and ``split``.
+
+    sft: prompt with the chosen, then with the rejected answer, all train.  rm: prompt with both, the
+    first share of the positions train (a half rounded to even), the others test.  rl: one canonical row,
+    all train.  The columns that a table lacks are null.  The input is evaluated once: its rows are stored
+    with their positions and become all tables in one reading.  ``order`` must identify a row.
+    """
+    picked = df.select(
+        *[c.alias(f"_o{i}") for i, c in enumerate(order)], prompt.alias("prompt"), chosen.alias("chosen"), rejected.alias("rejected"),
+        response.cast("string").alias("response"), data_source.alias("data_source"),
+    )
+    placed = durable(row_index(picked, [F.col(f"_o{i}") for i in range(len(order))], name="_at"), "preference")
+    cut = round(placed.count() * train)
+    at = F.col("_at")
+    fields = {
+        "row_no": at, "prompt": F.col("prompt"), "response": F.col("response"), "chosen": F.col("chosen"), "rejected": F.col("rejected"),
+        "data_source": F.col("data_source"), "messages": user_prompt(F.col("prompt")), "ability": F.lit("alignment"),
+        "reward_model": F.struct(F.lit("model").alias("style"), F.col("response").alias("ground_truth")),
+        "extra_info": F.struct(F.lit("train").alias("split"), at.alias("index")),
+    }
+    types = placed.select(*[c.alias(n) for n, c in fields.items()]).schema
+
+    def row(name: str, split: Column, **own: Column) -> Column:
+        cols = {**fields, **own}
+        value = lambda n: cols[n] if n in PREFERENCE_TABLES[name] else F.lit(None)
+        return F.struct(F.lit(name).alias("table"), split.alias("split"), *[value(n).cast(types[n].dataType).alias(n) for n in fields])
+
+    rows = F.array(
+        row("sft", F.lit("train"), row_no=2 * at, response=F.col("chosen")), row("sft", F.lit("train"), row_no=2 * at + 1, response=F.col("rejected")),
+        row("rm", F.when(at < cut, "train").otherwise("test")), row("rl", F.lit("train")),
+    )
+    return placed.select(F.inline(rows))
+
+
 def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Inner lookup by key where a missing entry is an error."""
     j = df.join(dim.withColumn("_hit", F.lit(True)), key, "left")

@@ -14,6 +14,8 @@ from tarnlake.operators.sets import concat_strict
 from tarnlake.plans.registry import query
 from tarnlake.plans.token_metrics import rnd
 from tarnlake.plans.views import answers, documents, responses, table, with_views
+from tarnlake.session import scratch_path
+from tarnlake.sources.files import read_table, write_tables
 
 TOK = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))"
 
@@ -610,6 +612,36 @@ def recipe_hash(spark, d):
     ))).select("uid", "content", "ground_truth")
 
 
+@query("recipe_preference", """
+WITH p AS (SELECT row_number() OVER (ORDER BY u.conv_id, u.turn) - 1 AS pos, count(*) OVER () AS total, u.text AS prompt, a.text AS chosen, concat('No. ', u.text) AS rejected
+           FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT 'sft' AS "table", 'train' AS split, 2 * pos AS row_no, prompt AS content, chosen AS answer, NULL AS other FROM p
+UNION ALL SELECT 'sft', 'train', 2 * pos + 1, prompt, rejected, NULL FROM p
+UNION ALL SELECT 'rm', CASE WHEN pos < round_even(total * 0.75, 0) THEN 'train' ELSE 'test' END, pos, prompt, chosen, rejected FROM p
+UNION ALL SELECT 'rl', 'train', pos, prompt, chosen, concat('turns/alignment/model/train/', pos) FROM p""")
+def recipe_preference(spark, d):
+    c = table(spark, d, "conversations")
+    user = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("asked"))
+    reply = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
+    rows = P.preference_tables(
+        user.join(reply, ["conv_id", "turn"]), [F.col("conv_id"), F.col("turn")], F.col("asked"), F.col("said"),
+        F.concat(F.lit("No. "), "asked"), F.col("said"), F.lit("turns"),
+    )
+    path = scratch_path(spark, "preference")
+    write_tables(rows, path)
+    part = {n: read_table(spark, path, n, cols) for n, cols in P.PREFERENCE_TABLES.items()}
+    nothing = F.lit(None).cast("string")
+    rl = F.concat_ws("/", "data_source", "ability", "reward_model.style", "extra_info.split", F.col("extra_info.index").cast("string"))
+    shown = [
+        ("sft", F.col("prompt"), F.col("response"), nothing), ("rm", F.col("prompt"), F.col("chosen"), F.col("rejected")),
+        ("rl", F.col("messages")[0]["content"], F.col("reward_model.ground_truth"), rl),
+    ]
+    return concat_strict(*[
+        part[n].select(F.lit(n).alias("table"), F.col("split").cast("string").alias("split"), "row_no", x.alias("content"), y.alias("answer"), z.alias("other"))
+        for n, x, y, z in shown
+    ])
+
+
 @query("recipe_evaluation_set", with_views("answers", """
 SELECT 'problems' AS data_source, uid, p_name AS content, ground_truth FROM answers
 UNION ALL SELECT 'dated', o_orderkey, o_orderpriority, o_orderstatus FROM orders

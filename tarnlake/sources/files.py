@@ -68,6 +68,16 @@ def write_rates(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("dataset", "model").parquet(path)
 
 
+def write_tables(df: DataFrame, path: str) -> None:
+    """Rows of several tables (``table``, ``split``) in one job, a folder for each table and split."""
+    df.write.mode("overwrite").partitionBy("table", "split").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
+    """One table of ``write_tables`` with its own columns and its split; the other tables' files are not read."""
+    return spark.read.parquet(path).filter(F.col("table") == name).select(*columns, "split")
+
+
 def write_dump(df: DataFrame, path: str) -> None:
     """Rollout dump: JSON lines, one folder per step (a training step, so few per run)."""
     df.write.mode("overwrite").partitionBy("step").json(path)

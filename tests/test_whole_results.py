@@ -120,3 +120,22 @@ def test_late_steps_do_not_take_later_coefficients(spark, tmp_path):
     want = {("a", 1): up, ("a", 2): up * down, ("a", 4): up * down * up, ("a", 5): up * down * up * down, ("b", 5): up, ("b", 6): up * up, ("c", 1): up}
     assert {k: v[0] for k, v in got.items()} == pytest.approx(want) and not any(v[1] for v in got.values())
     assert spark.read.parquet(f"{root}/out_last").groupBy("batch_id", "run").count().filter("count > 1").count() == 0
+
+
+def test_preference_tables(spark, tmp_path):
+    from tarnlake.operators import prompts as P
+    from tarnlake.sources.files import read_table, write_tables
+
+    for n, cut in ((0, 0), (2, 2), (6, 4), (14, 10), (41, 31)):
+        df = spark.createDataFrame([(i, f"p{i}", f"c{i}", None if i == 1 else f"r{i}") for i in range(n)], "id long, q string, c string, r string")
+        rows = P.preference_tables(df, [F.col("id")], F.col("q"), F.col("c"), F.col("r"), F.col("c"), F.lit("set"))
+        path = f"{tmp_path}/{n}"
+        write_tables(rows, path)
+        if not n:
+            assert rows.count() == 0
+            continue
+        got = {name: read_table(spark, path, name, cols).orderBy("row_no").collect() for name, cols in P.PREFERENCE_TABLES.items()}
+        assert [(r["prompt"], r["response"]) for r in got["sft"]] == [(f"p{i}", x) for i in range(n) for x in (f"c{i}", None if i == 1 else f"r{i}")]
+        assert [r["split"] for r in got["rm"]] == ["train"] * cut + ["test"] * (n - cut)
+        assert [(r["prompt"], r["chosen"], r["row_no"]) for r in got["rm"]] == [(f"p{i}", f"c{i}", i) for i in range(n)]
+        assert [(r["messages"][0]["role"], r["messages"][0]["content"], r["extra_info"]["index"]) for r in got["rl"]] == [("user", f"p{i}", i) for i in range(n)]
