@@ -91,6 +91,13 @@ def test_weighted_resample_heavy_row(spark):
     assert 0.55 < share < 0.78
 
 
+def test_weighted_resample_small_weights_after_a_large_one(spark):
+    # as doubles the running total stays at 1e16, and a draw near the end met all the small rows
+    df = spark.createDataFrame([(i, 1e16 if i == 0 else 1.0) for i in range(200)], "id long, w double")
+    out = A.weighted_resample(df, ["id"], "w", F.lit(1 - 2.0**-53))
+    assert rows(out, "draw_id") == [(i,) for i in range(200)]
+
+
 def test_bootstrap_of_large_prompts(spark, monkeypatch):
     from tarnlake.operators import evaluation as E
 
