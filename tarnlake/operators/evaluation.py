@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.operators.ranks import checked_limit, gather, level_totals, row_index, top_rows
+from tarnlake.operators.ranks import checked_limit, gather, level_totals, ordered_mean, row_index, top_rows
 
 BOOTSTRAP_ROWS = 4096
 
@@ -347,9 +347,15 @@ def reduce_by_name(df: DataFrame, metric: str, value: str) -> DataFrame:
     )
 
 
-def difficulty_histogram(df: DataFrame, source: str, prompt: str, score: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins of the mean score per prompt, between the observed ends, by source and overall."""
-    per = df.groupBy(source, prompt).agg(F.avg(score).alias("_m"))
+def difficulty_histogram(df: DataFrame, source: str, prompt: str, score: str, bins: int = 10, order: list[Column] | None = None) -> DataFrame:
+    """Equal-width bins of the mean score per prompt, between the observed ends, by source and overall.
+
+    Means that lie on the edge of a bin are moved by the order in which scores are added; ``order`` fixes it.
+    """
+    if order is None:
+        per = df.groupBy(source, prompt).agg(F.avg(score).alias("_m"))
+    else:
+        per = ordered_mean(df, [source, prompt], score, order, "_m")
     both = per.withColumn("scope", F.explode(F.array(F.col(source), F.lit("overall"))))
     values = both.groupBy("scope", "_m").agg(F.count("*").alias("_c"))
     ends = values.groupBy("scope").agg(F.min("_m").alias("lo"), F.max("_m").alias("hi"))

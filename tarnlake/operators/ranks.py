@@ -236,6 +236,16 @@ def row_index(
     return out.withColumn(name, F.col(name) - 1)
 
 
+def ordered_mean(df: DataFrame, by: list[str], value: str, order: list[Column], name: str) -> DataFrame:
+    """Mean per group, its values added in the given order: the last bits do not depend on partitions.
+
+    Of hot groups the buckets are added in order, not their rows.
+    """
+    totals = {"_sum": F.col(value), "_n": F.col(value).isNotNull().cast("long")}
+    summed = running_totals(df, by, order, totals)
+    return summed.groupBy(*by).agg((F.max_by("_sum", "_n") / F.nullif(F.max("_n"), F.lit(0))).alias(name))
+
+
 def gather(df: DataFrame, keys: list[str], pos: str, cols: dict[str, Column]) -> DataFrame:
     """Ordered arrays, one row per group: for groups that are one record by nature (a conversation, a table, a sample)."""
     packed = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("_p"), *[c.alias(n) for n, c in cols.items()])))

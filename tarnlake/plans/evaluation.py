@@ -9,7 +9,7 @@ from tarnlake.functions.text import token_count
 from tarnlake.operators import evaluation as E
 from tarnlake.operators.ranks import row_index, shuffled_order
 from tarnlake.plans.registry import query
-from tarnlake.plans.views import documents, responses, steps, table, with_views
+from tarnlake.plans.views import PLACE, documents, responses, steps, table, with_views
 
 
 def rounded(df, *cols, digits=6):
@@ -176,8 +176,8 @@ ends AS (SELECT scope, min(m) AS lo, max(m) AS hi FROM scoped GROUP BY scope)
 SELECT s.scope, CAST(least(floor((m - lo) / (hi - lo) * 10), 9) AS BIGINT) AS bin, round(lo, 6) AS lo, round(hi, 6) AS hi, count(*) AS n
 FROM scoped s JOIN ends e ON s.scope = e.scope GROUP BY 1, 2, 3, 4"""))
 def e21(spark, d):
-    r = responses(spark, d, index=False)
-    return rounded(E.difficulty_histogram(r, "data_source", "uid", "reward"), "lo", "hi")
+    r = responses(spark, d, index=False, place=True).select("data_source", "uid", "reward", *PLACE)
+    return rounded(E.difficulty_histogram(r, "data_source", "uid", "reward", order=[F.col(c) for c in PLACE]), "lo", "hi")
 
 
 @query("e22_merge_by_first_message", """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.operators.ranks import row_index
 
+PLACE = ["file", "file_row"]
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def responses(spark: SparkSession, sf_dir: str, source: bool = True, index: bool = True) -> DataFrame:
-    """One row per response: order = prompt, line = response."""
+def responses(spark: SparkSession, sf_dir: str, source: bool = True, index: bool = True, place: bool = False) -> DataFrame:
+    """One row per response: order = prompt, line = response; ``place`` adds where the row stands in the files."""
     li = table(spark, sf_dir, "lineitem")
+    if place:
+        li = li.select("*", F.col("_metadata.file_name").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
     if index:
         li = row_index(li, [F.col(c) for c in LINE_ORDER], ["l_orderkey"], "resp_idx")
     cols = [
@@ -34,6 +37,7 @@ def responses(spark: SparkSession, sf_dir: str, source: bool = True, index: bool
         F.col("l_returnflag").alias("pred"),
         F.col("l_linestatus").alias("status"),
         F.col("l_partkey").alias("part"),
+        *(PLACE if place else []),
     ]
     out = li.select(*cols)
     if source:

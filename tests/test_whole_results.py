@@ -139,3 +139,37 @@ def test_preference_tables(spark, tmp_path):
         assert [r["split"] for r in got["rm"]] == ["train"] * cut + ["test"] * (n - cut)
         assert [(r["prompt"], r["chosen"], r["row_no"]) for r in got["rm"]] == [(f"p{i}", f"c{i}", i) for i in range(n)]
         assert [(r["messages"][0]["role"], r["messages"][0]["content"], r["extra_info"]["index"]) for r in got["rl"]] == [("user", f"p{i}", i) for i in range(n)]
+
+
+@pytest.mark.parametrize("query", ["e21_difficulty_histogram"])
+def test_histogram_adds_scores_in_the_order_of_the_file(spark, tmp_path, query):
+    """Means on the edge of a bin (0.06 as 0.06 or 0.060000000000000005) fall by the order of adding, not by partitions."""
+    import functools
+    import math
+    import random
+
+    from tarnlake.plans import REGISTRY
+
+    rnd = random.Random(3)
+    li = [(rnd.randrange(1500), rnd.randrange(11) / 100) for _ in range(9000)]
+    one = spark.createDataFrame(li, "l_orderkey long, l_discount double").coalesce(1)
+    zero = {c: F.lit(0.0) for c in ("l_tax", "l_quantity", "l_extendedprice")}
+    one = one.withColumns({**zero, "l_returnflag": F.lit("A"), "l_linestatus": F.lit("F"), "l_partkey": F.lit(1).cast("long")})
+    one.write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1500).select(F.col("id").alias("o_orderkey"), F.lit("p").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    values = {}
+    for k, v in li:
+        values.setdefault(k, []).append(v)
+    means = [functools.reduce(lambda a, b: a + b, v) / len(v) for v in values.values()]
+    lo, hi = min(means), max(means)
+    want = {}
+    for m in means:
+        b = min(math.floor((m - lo) / (hi - lo) * 10), 9)
+        want[b] = want.get(b, 0) + 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = REGISTRY[query].run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.bin: r.n for r in got if r.asDict().get("scope", "p") == "p"} == want
