@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnlake.operators import pass_rates as P
+from tarnlake.operators.ranks import ordered_mean
 from tarnlake.plans.registry import query
 from tarnlake.plans.token_metrics import rnd
-from tarnlake.plans.views import documents, responses, steps, table, with_views
+from tarnlake.plans.views import PLACE, documents, responses, steps, table, with_views
 from tarnlake.session import scratch_path
 from tarnlake.sources import files as A
 from tarnlake.streaming import incremental as S
@@ -196,7 +197,8 @@ SELECT data_source AS step, CAST(least(floor((m - lo) / (hi - lo) * 10), 9) AS B
 FROM per JOIN (SELECT data_source AS ds, min(m) AS lo, max(m) AS hi FROM per GROUP BY 1) ON ds = data_source GROUP BY 1, 2"""))
 def s7(spark, d):
     root = scratch_path(spark, "s7")
-    per = responses(spark, d, index=False).groupBy("data_source", "uid").agg(F.avg("reward").alias("score"))
+    r = responses(spark, d, index=False, place=True).select("data_source", "uid", "reward", *PLACE)
+    per = ordered_mean(r, ["data_source", "uid"], "reward", [F.col(c) for c in PLACE], "score")
     per.select(F.col("data_source").alias("step"), "score").write.parquet(f"{root}/in")
     S.append_step_scores(S.arriving(spark, f"{root}/in", "step string, score double"), f"{root}/out", f"{root}/ckpt")
     kept = spark.read.parquet(f"{root}/out").select(F.col("step").cast("string").alias("step"), "score")

@@ -141,7 +141,7 @@ def test_preference_tables(spark, tmp_path):
         assert [(r["messages"][0]["role"], r["messages"][0]["content"], r["extra_info"]["index"]) for r in got["rl"]] == [("user", f"p{i}", i) for i in range(n)]
 
 
-@pytest.mark.parametrize("query", ["e21_difficulty_histogram"])
+@pytest.mark.parametrize("query", ["e21_difficulty_histogram", "s7_accumulating_scores"])
 def test_histogram_adds_scores_in_the_order_of_the_file(spark, tmp_path, query):
     """Means on the edge of a bin (0.06 as 0.06 or 0.060000000000000005) fall by the order of adding, not by partitions."""
     import functools
