@@ -165,11 +165,14 @@ def s6(spark, d):
     st = steps(spark, d).select("run_id", "ts", "event_id", "value")
     st = st.withColumn("ts", F.col("ts").cast("timestamp"))
     middle = st.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("m"))
-    halves = st.crossJoin(F.broadcast(middle)).withColumn("late", F.unix_micros("ts") > F.col("m")).drop("m")
-    for late in (False, True):
-        halves.filter(F.col("late") == late).drop("late").write.mode("append").parquet(f"{root}/in")
+    second = F.coalesce(F.unix_micros("ts") > F.col("m"), F.lit(False)).cast("int")
+    # the approximate middle may come out otherwise when computed again, so both deliveries are written by one reading
+    st.crossJoin(F.broadcast(middle)).withColumn("sent", second).drop("m").write.partitionBy("sent").parquet(f"{root}/sent")
+    for k in range(2):
+        sent = spark.read.schema(f"{KL_STEPS}, sent int").parquet(f"{root}/sent").filter(F.col("sent") == k)
+        sent.drop("sent").write.mode("append").parquet(f"{root}/in")
         S.kl_coefficients(
-            S.arriving(spark, f"{root}/in", "run_id long, ts timestamp, event_id long, value double"),
+            S.arriving(spark, f"{root}/in", KL_STEPS),
             "run_id", ["ts", "event_id"], "value", 0.2, 50.0, 10000.0, 64, f"{root}/out", f"{root}/ckpt",
         )
     return rnd(spark.read.parquet(f"{root}/out").select("run_id", "event_id", "kl_coef"))

@@ -91,3 +91,19 @@ def test_steps_beyond_the_delay_are_marked(spark, tmp_path):
     rows = spark.read.parquet(f"{root}/out").collect()
     # minute 5 is behind the clock but before no released step, so it still gets its place; minute 0 comes too late
     assert {(r["at"].minute, r["value"], r["late"]) for r in rows} == {(0, 60.0, False), (5, 60.0, False), (0, 1.0, True)}
+
+
+def test_kl_deliveries_come_from_one_reading(spark, sf_dir, monkeypatch):
+    """A middle that differs each time it is computed may not lose or repeat steps, nor make them late."""
+    import time
+
+    from tarnlake.plans import REGISTRY
+    from tarnlake.plans import sources as Q
+
+    percentile = F.percentile_approx
+    drift = F.udf(lambda x: x + time.time_ns() // 1000 * 3000 % 10**12, "long")
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda c, p: percentile(drift(c), p))
+    got = REGISTRY["s6_kl_coefficient_state"].run(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    r = got.agg(F.count("*").alias("n"), F.count("kl_coef").alias("with_coef"), F.countDistinct("event_id").alias("ids")).first()
+    assert (r.n, r.with_coef, r.ids) == (n, n, n)
