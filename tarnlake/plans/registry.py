@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnlake.session import TASKS
+
 
 @dataclass(frozen=True)
 class Query:
@@ -17,13 +19,11 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-SKEW = "spark.sql.adaptive.forceOptimizeSkewedJoin"
-
-
 def guarded(fn):
-    """Queries run in the caller's session: skewed joins are split there too, also where that costs a later shuffle."""
+    """Queries run in the caller's session: the settings of TASKS hold there too."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set(SKEW, "true")
+        for key, value in TASKS.items():
+            spark.conf.set(key, value)
         return fn(spark, sf_dir)
 
     return run

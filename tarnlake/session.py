@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+TASKS = {
+    # split a skewed join even when a later step then needs a shuffle of its own
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows of numbers take about 20 times their shuffled bytes in a sort or hash table: a task gets 16 MB of them at
+    # most, and there are parts enough to deal 32 GB of shuffle that way (small ones are put together again)
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2048",
+}
+
+
 def build_session(app: str = "tarnlake", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -16,8 +26,7 @@ def build_session(app: str = "tarnlake", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # split a skewed join even when a later step then needs a shuffle of its own
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        **TASKS,
         "spark.ui.enabled": "false",
         # no call site is sent to the JVM for every column expression; long expressions are built twice as fast
         "spark.python.sql.dataFrameDebugging.enabled": "false",
