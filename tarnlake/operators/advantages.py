@@ -265,15 +265,15 @@ def weighted_resample(df: DataFrame, key: list[str], weight: str, uniform: Colum
     Draws meet intervals by an equi-join on a cell of the unit range; an interval is copied to the
     cells it touches.  A row that holds a third of the weight touches a third of the cells: it is first
     cut into blocks of cells, which are dealt out, and each block then into its cells.  Weights are added
-    as decimals of 17 digits below a power of two above the largest one, so neither the order of adding nor
+    as decimals of 16 digits below a power of two above the largest one, so neither the order of adding nor
     the number of rows moves an interval, and an interval begins where the one before it ends.
     """
     top = df.agg(F.max(weight).alias("_max")).select(F.pow(F.lit(2.0), F.floor(F.log2("_max")) + 2).alias("_unit"))
-    part = (F.col(weight) / F.col("_unit")).cast("decimal(17,17)")
+    part = (F.col(weight) / F.col("_unit")).cast("decimal(16,16)")
     scaled = df.select(*key, weight).crossJoin(F.broadcast(top)).select(*key, part.alias("_w"))
     cum = running_totals(scaled, [], [F.col(k) for k in key], {"_hi": F.col("_w")})
     stats = scaled.agg(F.sum("_w").cast("double").alias("_total"), F.count("*").alias("_rows"))
-    end = F.col("_hi").cast("decimal(36,17)")
+    end = F.col("_hi").cast("decimal(36,16)")
     spans = cum.crossJoin(F.broadcast(stats)).select(
         *key, ((end - F.col("_w")).cast("double") / F.col("_total")).alias("_a"), (end.cast("double") / F.col("_total")).alias("_z"), "_rows"
     )

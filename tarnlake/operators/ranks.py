@@ -19,6 +19,7 @@ from tarnlake.session import durable, int_conf
 
 HOT_KEY = "spark.tarnlake.hotGroupRows"
 HOT_ROWS = 500_000
+WHOLE_ROWS = 20_000
 NO_LIMIT = 1 << 62
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 16
@@ -172,6 +173,8 @@ def running_totals(
         largest, hot_groups = int(size["n"] or 0), int(size["k"])
     else:
         n = df.count()
+        # a table has no key that deals its rows, and they may be long texts: one task takes few of them
+        limit = min(limit, WHOLE_ROWS)
         hot, largest, hot_groups = None, (n if n > limit else 0), 1
     if largest == 0:
         return plain_totals(df, by, order, totals)

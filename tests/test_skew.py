@@ -82,6 +82,16 @@ def test_pairwise_accuracy_against_all_pairs(spark):
             assert got[k] == pytest.approx(num / den if den else 0.5)
 
 
+def test_ranks_of_a_whole_table_are_not_made_by_one_task(spark):
+    from tarnlake.operators.ranks import row_index
+
+    n = 60_000
+    out = row_index(spark.range(n).select((F.col("id") * 7919 % n).alias("id"), F.lit("text").alias("text")), [F.col("id")])
+    assert "_bucket0" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.filter(F.col("id") != F.col("row_no")).count() == 0
+    assert out.count() == n
+
+
 def test_weighted_resample_heavy_row(spark):
     rows_ = [(i, 1000.0 if i == 5 else 1.0) for i in range(500)]
     df = spark.createDataFrame(rows_, "id long, w double")
