@@ -173,3 +173,16 @@ def test_histogram_adds_scores_in_the_order_of_the_file(spark, tmp_path, query):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {r.bin: r.n for r in got if r.asDict().get("scope", "p") == "p"} == want
+
+
+def test_queries_bound_the_shuffled_bytes_of_a_task(spark, sf_dir):
+    from tarnlake.plans import REGISTRY
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        REGISTRY["i3_drop_set_union"].run(spark, sf_dir)
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.set(key, before)
