@@ -330,7 +330,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, p: int
         members.join(roots, members["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("component")), "member_components"
     )
     told = saved(shared.select("tile", "doc_id").join(known, "doc_id"), "told_tiles")
-    open_tiles = told.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("tile")
+    # two unlinked sets that differ in a few parts share all other tiles: of tiles with the same members one is enough
+    members_sum = [F.sum(F.xxhash64(F.lit(i), "doc_id").cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+    seen = told.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), *members_sum)
+    open_tiles = seen.filter("x < y").groupBy("x", "y", "n", "s0", "s1").agg(F.min("tile").alias("tile")).select("tile")
     bits = signed.select("doc_id", "n_shingles", "bitmap").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     mixed = told.join(saved(open_tiles, "open_tiles"), "tile", "left_semi").join(bits, "doc_id")
     more = _verify(saved(_across(mixed, p, q), "candidates"), sets, p, q)

@@ -170,3 +170,23 @@ def test_members_are_joined_where_the_filter_would_be_too_large(spark, monkeypat
     monkeypatch.setattr(J, "BLOOM_LIMIT", 1)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(df, width=4, p=85, q=100).collect()}
     assert got == brute(rows, 4, 85, 100)
+
+
+def test_of_tiles_with_the_same_members_one_is_compared(spark, monkeypatch):
+    """Two texts that are unlike in a few words share nearly all tiles."""
+    words = [f"w{i}" for i in range(400)]
+    other = list(words)
+    for at in range(40, 400, 40):
+        other[at] = "x"
+    rows = [(0, " ".join(words)), (1, " ".join(other)), (2, "alone " + " ".join(words[::-1]))]
+    kept, plain = {}, J.saved
+
+    def seen(df, name):
+        kept[name] = plain(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(J, "saved", seen)
+    found = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, p=85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert got == brute(rows, 4, 85, 100) and got[1][1] == 1
+    assert kept["told_tiles"].select("tile").distinct().count() > 5 and kept["open_tiles"].count() == 1
