@@ -20,7 +20,10 @@ CHECKS: dict[str, Callable[[Column, dict[str, Column]], Column]] = {}
 # fixed values: comparison names
 LESS_THAN, AT_LEAST = "less than", "at least"
 
-WORD = r"(?U)\w+"
+# a word character and the edge of a word as Python's patterns (and the SQL twins) have them: combining marks are neither
+LETTER = r"[\p{L}\p{N}_]"
+WORD = LETTER + "+"
+EDGE = rf"(?:(?<={LETTER})(?!{LETTER})|(?<!{LETTER})(?={LETTER}))"
 TOKEN = r"(?U)\w+(?:[-']\w+)*|[^\w\s]"
 
 
@@ -92,7 +95,7 @@ def keyword_frequency(v, a):
 
 @check("keywords:forbidden_words")
 def forbidden_words(v, a):
-    return ~F.exists(a["keywords"], lambda k: F.regexp_like(v, F.concat(F.lit("(?iU)\\b"), k, F.lit("\\b"))))
+    return ~F.exists(a["keywords"], lambda k: F.regexp_like(v, F.concat(F.lit("(?iu)" + EDGE), k, F.lit(EDGE))))
 
 
 @check("keywords:letter_frequency", "letters:letter_counting2")
