@@ -243,8 +243,14 @@ def html_to_markdown():
     import pandas as pd
 
     def convert(html):
+        import re
+        from html import unescape
         from html.parser import HTMLParser
 
+        # plain tags, as the parser reads them; whatever else holds a '<' is left to the parser
+        plain = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?: [A-Za-z]+="[^"<>&]*")*)>""")
+        raw = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext", "noscript"}
+
         class Cells(HTMLParser):
             def __init__(self):
                 super().__init__()
@@ -278,8 +284,20 @@ def html_to_markdown():
             if text is None:
                 return None
             p = Cells()
-            p.feed(text)
-            p.close()
+            parts = plain.split(text)
+            if any("<" in data for data in parts[::4]) or not raw.isdisjoint(map(str.lower, parts[2::4])) or any(a and e for e, a in zip(parts[1::4], parts[3::4])):
+                p.feed(text)
+                p.close()
+            else:
+                for at in range(0, len(parts), 4):
+                    if p.cell is not None and parts[at]:
+                        p.cell.append(unescape(parts[at]) if "&" in parts[at] else parts[at])
+                    if at + 1 < len(parts):
+                        end, tag, attrs = parts[at + 1], parts[at + 2].lower(), parts[at + 3]
+                        if end:
+                            p.handle_endtag(tag)
+                        else:
+                            p.handle_starttag(tag, [(n.lower(), v) for n, v in re.findall(r'([A-Za-z]+)="([^"]*)"', attrs)] if attrs else ())
             p.close_cell()
             width = max((len(r) for r in p.rows), default=0)
             if not p.rows:

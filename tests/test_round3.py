@@ -1,8 +1,11 @@
 """Work that must not be repeated per row, per draw or per piece, and words with combining marks."""
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.functions import instructions as I
+from tarnlake.functions import prompts as P
 
 
 def test_words_end_at_combining_marks(spark):
@@ -17,3 +20,14 @@ def test_a_blank_end_is_no_paragraph(spark):
     """The reference leaves blank pieces at both ends out."""
     n = lambda t: I.CHECKS["length_constraints:number_paragraphs"](F.lit(t), {"n": F.lit(1)})
     assert tuple(spark.range(1).select(n("a***"), n("*** a"), n("a *** b")).first()) == (True, True, False)
+
+
+def test_plain_tables_need_no_parser(spark, monkeypatch):
+    from html.parser import HTMLParser
+
+    tables = pd.Series(['<table><tr><th colspan="2">a &amp; b</th></tr>\n<tr><td> 1</td><td><b>x</b> y</td></tr></table>', None, "no table"])
+    other = pd.Series(["<table><tr><td>a<!-- <td> --><br/>b</td></tr></table>"])
+    convert = P.html_to_markdown().func
+    assert list(convert(other)) == ["| ab |\n| --- |"]
+    monkeypatch.setattr(HTMLParser, "feed", lambda *_: pytest.fail("parsed"))
+    assert list(convert(tables)) == ["| a & b |  |\n| --- | --- |\n| 1 | x y |", None, ""]
