@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tarnlake.functions import benchmarks as B
 from tarnlake.functions import instructions as I
 from tarnlake.functions import prompts as P
 from tarnlake.operators import evaluation as E
@@ -35,6 +36,15 @@ def test_plain_tables_need_no_parser(spark, monkeypatch):
     assert list(convert(tables)) == ["| a & b |  |\n| --- | --- |\n| 1 | x y |", None, ""]
 
 
+def test_equal_and_single_sentences_are_not_matched(spark, monkeypatch):
+    import difflib
+
+    score = B.sentence_order().func
+    assert score(pd.Series(["one. two."]), pd.Series(["twoo. onee."])).tolist() == [0.0]
+    monkeypatch.setattr(difflib, "get_close_matches", lambda *_, **__: pytest.fail("matched"))
+    assert score(pd.Series(["one. two."] * 3), pd.Series(["one. two.", "two. one.", "one."])).tolist() == [1.0, 0.0, 0.5]
+
+
 @pytest.mark.parametrize("counter", [True, False])
 def test_draws_of_small_prompts_are_counted_once(monkeypatch, counter):
     rng = np.random.default_rng(1)
