@@ -9,6 +9,7 @@ columns: each bucket is ranked on its own and shifted by the totals of the bucke
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,8 +69,15 @@ def _bucket_of(cuts: list, dtype: T.DataType) -> Column:
     """2 i for rows between two cut points, 2 i + 1 for rows at one: a key with very many rows has a bucket of its own."""
     if not cuts:
         return F.lit(0)
-    arr = F.from_json(F.lit(json.dumps(cuts)), T.ArrayType(dtype))
-    return let(F.col("_key"), lambda key: F.size(F.filter(arr, lambda c: c <= key)) + F.size(F.filter(arr, lambda c: c < key)))
+    width = math.isqrt(len(cuts))
+    arr, coarse = (F.from_json(F.lit(json.dumps(c)), T.ArrayType(dtype)) for c in (cuts, cuts[width - 1 :: width]))
+
+    def of(key):
+        first = F.size(F.filter(coarse, lambda c: c <= key)) * width
+        upto = let(first, lambda n: n + F.size(F.filter(F.slice(arr, n + 1, F.lit(width)), lambda c: c <= key)))
+        return let(upto, lambda n: 2 * n - F.coalesce(F.get(arr, n - 1) == key, F.lit(False)).cast("int"))
+
+    return let(F.col("_key"), of)
 
 
 def _with_bucket(keyed: DataFrame, by: list[str], limit: int) -> DataFrame:
@@ -135,7 +143,9 @@ def nth_keys(df: DataFrame, order: list[Column], positions: list[int], direct: i
         if inside and r["low"] == r["high"]:
             found.update((p, r["low"]) for p in inside)
         elif inside:
-            part = bucketed.filter(F.col("_bucket") == r["_bucket"]).select(*[F.col(f"_key.k{i}") for i in range(len(order))])
+            # a bucket is a range of keys, so a deeper look compares with its ends and does not find buckets again
+            low, high = (F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(r[c])]).cast(keyed.schema["_key"].dataType) for c in ("low", "high"))
+            part = keyed.filter((F.col("_key") >= low) & (F.col("_key") <= high)).select(*[F.col(f"_key.k{i}") for i in range(len(order))])
             found.update(zip(inside, nth_keys(part, [F.col(c) for c in part.columns], [p - start for p in inside], direct)))
         start += r["n"]
     return [found[p] for p in positions]

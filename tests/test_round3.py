@@ -9,6 +9,7 @@ from tarnlake.functions import benchmarks as B
 from tarnlake.functions import instructions as I
 from tarnlake.functions import prompts as P
 from tarnlake.operators import evaluation as E
+from tarnlake.operators import ranks as R
 
 
 def test_words_end_at_combining_marks(spark):
@@ -60,3 +61,12 @@ def test_draws_of_small_prompts_are_counted_once(monkeypatch, counter):
     for c in ("best", "worst", "majority"):
         assert np.allclose(got[c], want[c], rtol=0, atol=1e-12)
     assert sum(sizes) <= 2 * 8 * 100  # two sizes, at most eight patterns of two kinds of votes
+
+
+def test_a_deeper_look_does_not_find_buckets_again(spark, monkeypatch):
+    plans, plain = [], R._cut_points
+    monkeypatch.setattr(R, "_cut_points", lambda df, n: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, n))
+    df = spark.range(4000).select((F.col("id") * 7919 % 4001).alias("k"))
+    rows = sorted(i * 7919 % 4001 for i in range(4000))
+    assert [k["k0"] for k in R.nth_keys(df, [F.col("k")], [900, 3000], direct=5)] == [rows[899], rows[2999]]
+    assert len(plans) > 1 and not any("lambda" in p for p in plans[1:])
