@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tarnlake.operators.ranks import checked_limit, gather, level_totals, ordered_mean, row_index, top_rows
 
 BOOTSTRAP_ROWS = 4096
-# responses up to which draws are counted by the set of positions they hold (2 to this power sets)
-COUNTED_ROWS = 10
-# patterns of votes remembered by a task
-KEPT_PATTERNS = 100_000
 
 
 def powers_of_two(n: Column, below: bool = False) -> Column:
@@ -185,56 +181,12 @@ def _resampler(draws: int, seed: int, counter: bool):
                 out[at] = cnt[inv].argmax()
             return out
 
-        sets, shares = {}, {}
-
-        def by_set(total, n, x):
-            """Mean best and worst over the draws: prompts share the draws, and only the set of positions drawn matters."""
-            if (total, n) not in sets:
-                sets[total, n] = np.unique(np.bitwise_or.reduce(1 << drawn(total, n), axis=1), return_counts=True)
-            used, times = sets[total, n]
-            best, worst = np.empty((1 << total, len(x))), np.empty((1 << total, len(x)))
-            for j in range(total):
-                best[1 << j] = worst[1 << j] = x[:, j]
-            for held in range(1, 1 << total):
-                low = held & -held
-                if held != low:
-                    np.maximum(best[held - low], best[low], out=best[held])
-                    np.minimum(worst[held - low], worst[low], out=worst[held])
-            return times @ best[used] / draws, times @ worst[used] / draws
-
-        def share(total, n, pattern):
-            """Share of the draws whose leading vote comes from each position; it depends on which votes are equal."""
-            key = n, pattern
-            if key not in shares:
-                if len(shares) >= KEPT_PATTERNS:
-                    shares.clear()
-                idx = drawn(total, n)
-                at = np.take_along_axis(idx, lead(np.array(pattern)[idx])[:, None], 1)[:, 0]
-                shares[key] = np.bincount(at, minlength=total) / draws
-            return shares[key]
-
-        def counted(total, n, x, patterns, inv):
-            lead_of = np.stack([share(total, n, p) for p in patterns])[inv]
-            step = (1 << 21) >> total
-            ends = [by_set(total, n, x[a : a + step]) for a in range(0, len(x), step)]
-            best, worst = (np.concatenate(e) for e in zip(*ends))
-            return best, worst, np.where(lead_of > 0, lead_of * x, 0.0).sum(1)
-
         for pdf in batches:
             out = []
             for total, same in pdf.groupby(pdf["values"].map(len)):
                 sizes = [2**i for i in range(1, 64) if 2**i < total] + [total]
                 votes, values = np.stack(same["votes"].to_numpy()), np.stack(same["values"].to_numpy())
                 names = same["source"].to_numpy()
-                if total <= COUNTED_ROWS:
-                    # the first position with an equal vote names the vote
-                    first = (votes[:, :, None] == votes[:, None, :]).argmax(2)
-                    patterns, inv = np.unique(first, axis=0, return_inverse=True)
-                    patterns = [tuple(p) for p in patterns.tolist()]
-                    for n in sizes:
-                        cols = counted(total, n, values, patterns, inv.ravel())
-                        out.append(pd.DataFrame({"source": names, "n": n, "best": cols[0], "worst": cols[1], "majority": cols[2]}))
-                    continue
                 for n in sizes:
                     idx = drawn(total, n)
                     step = max(1, 1_000_000 // (draws * n))
