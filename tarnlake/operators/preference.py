@@ -34,13 +34,15 @@ def preference_metrics(pairs: DataFrame, score: str) -> DataFrame:
     )
 
 
-def peer_means(df: DataFrame, group: list[str], acc: str, q: str) -> DataFrame:
+def peer_means(df: DataFrame, group: list[str], acc: str, q: str, limit: int | None = None) -> DataFrame:
     """Mean q of peers with lower accuracy (for acc > 0) or higher accuracy (otherwise); 0 if none.
 
     Totals up to each accuracy level replace the peer join; a row's own level is taken off again.
+    ``limit`` is the result of ``checked_limit`` over the groups, where it is known.
     """
-    j = level_totals(df, group, acc, {"_n": F.lit(1).cast("long"), "_q": F.col(q)})
-    own = level_totals(j, [*group, acc], acc, {"_own_n": F.lit(1).cast("long"), "_own_q": F.col(q)})
+    limit = checked_limit(df, group) if limit is None else limit
+    j = level_totals(df, group, acc, {"_n": F.lit(1).cast("long"), "_q": F.col(q)}, limit)
+    own = level_totals(j, [*group, acc], acc, {"_own_n": F.lit(1).cast("long"), "_own_q": F.col(q)}, limit)
     below_n, below_q = F.col("_n_upto") - F.col("_own_n_all"), F.col("_q_upto") - F.col("_own_q_all")
     above_n, above_q = F.col("_n_all") - F.col("_n_upto"), F.col("_q_all") - F.col("_q_upto")
     n = F.when(F.col(acc) > 0, below_n).otherwise(above_n)
@@ -51,9 +53,9 @@ def peer_means(df: DataFrame, group: list[str], acc: str, q: str) -> DataFrame:
     }).drop(*[f"{c}_{t}" for c in ("_n", "_q", "_own_n", "_own_q") for t in ("upto", "all")])
 
 
-def share_at_or_below(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+def share_at_or_below(df: DataFrame, group: list[str], value: str, name: str, limit: int | None = None) -> DataFrame:
     """Share of the group with a value at or below the row's own."""
-    j = level_totals(df, group, value, {"_v": F.lit(1).cast("long")})
+    j = level_totals(df, group, value, {"_v": F.lit(1).cast("long")}, limit)
     return j.withColumn(name, F.col("_v_upto") / F.col("_v_all")).drop("_v_upto", "_v_all")
 
 
@@ -65,8 +67,9 @@ def cross_entropy(df: DataFrame, q: Column, acc: Column, beta: float) -> DataFra
 
 def detached_loss(df: DataFrame, group: list[str], acc: str, q: str, beta: float) -> DataFrame:
     """Sigmoid loss against the mean of opposing peers: plain mean, and weighted by best-of-n chance."""
-    j = peer_means(df, group, acc, q)
-    j = share_at_or_below(j, group, q, "_share_q")
+    limit = checked_limit(df, group)
+    j = peer_means(df.select(*group, acc, q), group, acc, q, limit)
+    j = share_at_or_below(j, group, q, "_share_q", limit)
     sign = F.when(F.col(acc) > 0, 1.0).otherwise(-1.0)
     loss = -log_sigmoid((F.col(q) * beta - F.col("peer_mean") * beta) * sign)
     n = F.col("group_size").cast("double")

@@ -77,7 +77,7 @@ def f24_ce(spark, d):
 , l AS (SELECT -({LSIG.format("(reward * 2.0 - peer_mean * 2.0) * CASE WHEN score > 0 THEN 1.0 ELSE -1.0 END")}) AS loss, n, sq, sa FROM peers)
 SELECT round(avg(loss), 6) AS loss_plain, round(sum(loss * n * pow(sq, n - 1)), 4) AS loss_bon_score, round(sum(loss * n * pow(sa, n - 1)), 4) AS loss_bon_acc FROM l"""))
 def f24(spark, d):
-    out = P.detached_loss(responses(spark, d, source=False), ["uid"], "score", "reward", 2.0)
+    out = P.detached_loss(responses(spark, d, source=False, index=False), ["uid"], "score", "reward", 2.0)
     return out.select(
         F.round("loss_plain", 6).alias("loss_plain"), F.round("loss_bon_score", 4).alias("loss_bon_score"),
         F.round("loss_bon_acc", 4).alias("loss_bon_acc"),

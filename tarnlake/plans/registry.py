@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.session import TASKS
+from tarnlake.session import bound_tasks
 
 
 @dataclass(frozen=True)
@@ -20,10 +20,9 @@ REGISTRY: dict[str, Query] = {}
 
 
 def guarded(fn):
-    """Queries run in the caller's session: the settings of TASKS hold there too."""
+    """Queries run in the caller's session: the bounds of a task hold there too."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for key, value in TASKS.items():
-            spark.conf.set(key, value)
+        bound_tasks(spark)
         return fn(spark, sf_dir)
 
     return run

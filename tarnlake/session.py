@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,24 @@ TASKS = {
 }
 
 
+# a task reads at most so much of a table: rows of numbers take about 25 times their file bytes in a partial aggregate
+SPLIT_KEY, SPLIT_BYTES = "spark.sql.files.maxPartitionBytes", 16 << 20
+
+
+def bound_tasks(spark: SparkSession) -> None:
+    """The settings of TASKS hold from now on; splits become smaller, never larger, than the session has them."""
+    for key, value in TASKS.items():
+        spark.conf.set(key, value)
+    if size_bytes(spark.conf.get(SPLIT_KEY)) > SPLIT_BYTES:
+        spark.conf.set(SPLIT_KEY, str(SPLIT_BYTES))
+
+
+def size_bytes(text: str) -> int:
+    """Bytes of a size setting such as '128m', '134217728b' or '4k'."""
+    number, unit = re.fullmatch(r"(\d+)\s*([bkmgtp]?)b?", text.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
+
+
 def build_session(app: str = "tarnlake", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
