@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions.policy import log_sigmoid, preference_loss
-from tarnlake.operators.ranks import checked_limit, level_totals, row_index, running_totals
+from tarnlake.operators.ranks import NO_LIMIT, checked_limit, level_totals, row_index, running_totals
 
 
 def pair_loss(pairs: DataFrame, beta: float, smoothing: float = 0.0, kind: str = "sigmoid", reference_free: bool = False):
@@ -89,30 +92,39 @@ def pairwise_accuracy(df: DataFrame, group: list[str], pos: str, score: str, acc
     rows times log2(levels) instead of all pairs.  Groups with equal accuracies give 0.5.
     """
     limit = checked_limit(df, group)
-    levels = row_index(df.select(*group, acc).distinct(), [F.col(acc)], group, "_lv", limit)
-    tops = levels.groupBy(*group).agg(F.max("_lv").alias("_top"))
-    j = df.select(*group, pos, score, acc).join(levels, [*group, acc]).join(tops, group)
-    bits = F.when(F.col("_top") > 0, F.sequence(F.lit(0), F.floor(F.log2(F.col("_top").cast("double")) + 1e-9).cast("int")))
-    split = j.withColumn("_bit", F.explode(bits)).withColumns({
-        "_high": F.expr("shiftright(_lv, _bit) & 1").cast("long"),
-        "_prefix": F.expr("shiftright(_lv, _bit + 1)"),
-    })
+    rows = df.select(*group, pos, score, acc)
+    counted = reduce(and_, [F.col(c).isNotNull() for c in [*group, acc]])
+    if limit == NO_LIMIT:
+        level = Window.partitionBy(*group).orderBy(F.col(acc).asc_nulls_last())
+        placed = rows.withColumn("_lv", F.when(counted, (F.dense_rank().over(level) - 1).cast("long")))
+        j = placed.withColumn("_top", F.max("_lv").over(Window.partitionBy(*group)))
+    else:
+        levels = row_index(rows.select(*group, acc).filter(counted).distinct(), [F.col(acc)], group, "_lv", limit)
+        tops = levels.groupBy(*group).agg(F.max("_lv").alias("_top"))
+        j = rows.join(levels, [*group, acc]).join(tops, group)
+    bits = F.when(
+        F.col("_lv").isNotNull() & (F.col("_top") > 0),
+        F.sequence(F.lit(0), F.floor(F.log2(F.col("_top").cast("double")) + 1e-9).cast("int")),
+    )
+    # small groups keep a row without a bit where they have no pair, so no table of the groups is joined back
+    split = j.withColumn("_bit", (F.explode_outer if limit == NO_LIMIT else F.explode)(bits)).select(
+        *group, pos, score, acc, "_bit",
+        F.expr("shiftright(_lv, _bit) & 1").cast("long").alias("_high"), F.expr("shiftright(_lv, _bit + 1)").alias("_prefix"),
+    )
     low = 1 - F.col("_high")
     run = running_totals(
         split, [*group, "_bit", "_prefix"], [F.col(score), F.col(pos)], {"_n0": low, "_s0": low * F.col(acc)}, limit
     )
-    sides = split.groupBy(*group, "_bit", "_prefix").agg(
+    sides = run.groupBy(*group, "_bit", "_prefix").agg(
         F.sum(low).alias("_N0"), F.sum(low * F.col(acc)).alias("_S0"),
         F.sum("_high").alias("_N1"), F.sum(F.col("_high") * F.col(acc)).alias("_S1"),
+        F.sum(F.col("_high") * (F.col(acc) * F.col("_n0") - F.col("_s0"))).alias("_upto"),
     )
-    every = sides.groupBy(*group).agg(
-        F.sum(F.col("_S1") * F.col("_N0") - F.col("_S0") * F.col("_N1")).alias("_all")
-    )
-    agree = run.groupBy(*group).agg(
-        F.sum(F.col("_high") * (F.col(acc) * F.col("_n0") - F.col("_s0"))).alias("_agree")
+    out = sides.groupBy(*group).agg(
+        F.sum(F.col("_S1") * F.col("_N0") - F.col("_S0") * F.col("_N1")).alias("_all"), F.sum("_upto").alias("_agree")
     )
-    base = df.select(*group).distinct()
-    out = base.join(every.join(agree, group), group, "left")
+    if limit != NO_LIMIT:
+        out = rows.select(*group).distinct().join(out, group, "left")
     return out.withColumn(
         "accuracy", F.when(F.coalesce("_all", F.lit(0.0)) == 0, 0.5).otherwise(F.col("_agree") / F.col("_all"))
     ).drop("_all", "_agree")

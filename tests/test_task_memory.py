@@ -19,6 +19,28 @@ def test_queries_bound_the_split_a_task_reads(spark, sf_dir):
         spark.conf.set(SPLIT, before)
 
 
+def test_pairwise_accuracy_reads_its_rows_once(spark):
+    """One check and one reading of the rows; nulls, single rows and equal accuracies count 0.5 as before."""
+    import random
+
+    rnd = random.Random(5)
+    data = [(rnd.randrange(40), i, float(rnd.randrange(4)), float(rnd.randrange(5))) for i in range(300)]
+    data += [(None, 900, 1.0, 0.0), (None, 901, 2.0, 1.0), (50, 902, 1.0, None), (50, 903, 1.0, 2.0), (51, 904, 1.0, 1.0), (51, 905, None, 1.0)]
+    data += [(52, 906, 1.0, None), (52, 907, 2.0, 1.0), (52, 908, 3.0, 0.0), (52, 909, 0.0, 3.0)]
+    df = spark.createDataFrame(data, "uid long, pos long, s double, a double")
+    out = P.pairwise_accuracy(df, ["uid"], "pos", "s", "a")
+    want = {}
+    for u in {r[0] for r in data}:
+        own = [r for r in data if r[0] == u and u is not None and r[3] is not None]
+        at = lambda r: (r[2] is not None, r[2] or 0.0, r[1])
+        pairs = [(x, y) for x in own for y in own if x[3] < y[3]]
+        weight = sum(y[3] - x[3] for x, y in pairs)
+        want[u] = sum(y[3] - x[3] for x, y in pairs if at(x) < at(y)) / weight if weight else 0.5
+    got = {r.uid: r.accuracy for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-12 for u in want)
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
 def test_detached_loss_checks_group_sizes_once(spark, monkeypatch):
     calls = []
     for module in (P, R):
