@@ -9,7 +9,7 @@ from tarnlake.operators.ranks import ordered_mean
 from tarnlake.plans.registry import query
 from tarnlake.plans.token_metrics import rnd
 from tarnlake.plans.views import PLACE, documents, responses, steps, table, with_views
-from tarnlake.session import scratch_path
+from tarnlake.session import durable, scratch_path
 from tarnlake.sources import files as A
 from tarnlake.streaming import incremental as S
 
@@ -146,9 +146,10 @@ def s3(spark, d):
 @query("s4_idempotent_rescore", with_views("responses", "SELECT uid, resp_idx, score FROM responses"))
 def s4(spark, d):
     root = scratch_path(spark, "s4")
-    # the first delivery is repeated in full by the second
-    for status in ("F", None):
-        arrivals(spark, d, status).write.mode("append").parquet(f"{root}/in")
+    # the first delivery is repeated in full by the second; responses get their positions once for both
+    sent = durable(arrivals(spark, d), "s4")
+    for delivery in (sent.filter(F.col("status") == "F"), sent):
+        delivery.write.mode("append").parquet(f"{root}/in")
         S.score_once(S.arriving(spark, f"{root}/in", ARRIVAL), ["uid", "resp_idx"], graded(), f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out").select("uid", "resp_idx", "score")
 

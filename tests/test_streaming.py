@@ -107,3 +107,16 @@ def test_kl_deliveries_come_from_one_reading(spark, sf_dir, monkeypatch):
     n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     r = got.agg(F.count("*").alias("n"), F.count("kl_coef").alias("with_coef"), F.countDistinct("event_id").alias("ids")).first()
     assert (r.n, r.with_coef, r.ids) == (n, n, n)
+
+
+def test_rescore_ranks_responses_once_and_counts_no_state(spark, sf_dir, monkeypatch):
+    from tarnlake.plans import REGISTRY
+    from tarnlake.plans import sources as Q
+
+    read, counted, key = [], [], "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    monkeypatch.setattr(Q, "arrivals", lambda *a, f=Q.arrivals: read.append(1) or f(*a))
+    monkeypatch.setattr(S, "drain", lambda q, f=S.drain: counted.append(spark.conf.get(key)) or f(q))
+    got = REGISTRY["s4_idempotent_rescore"].run(spark, sf_dir)
+    assert len(read) == 1 and counted == ["false", "false"]
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert got.count() == got.select("uid", "resp_idx").distinct().count() == n
