@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions import policy as L
@@ -162,8 +163,10 @@ def pairs(spark, d):
     """Complete response pairs: positions 2i and 2i+1 of a prompt."""
     r = responses(spark, d, source=False)
     p = r.withColumns({"pair_no": F.floor(F.col("resp_idx") / 2).cast("long"), "side": F.col("resp_idx") % 2})
-    full = p.filter("side = 1").select("uid", "pair_no")
-    return p.join(full, ["uid", "pair_no"], "left_semi")
+    # one reading, and rows stay where the positions were made; in the order of preference_mask, so that it sorts no more
+    w = Window.partitionBy("uid", "pair_no").orderBy(F.col("reward").desc(), F.col("side"))
+    full = F.max("side").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 1
+    return p.filter(F.col("uid").isNotNull()).withColumn("_full", full).filter("_full").drop("_full")
 
 
 @query("f13_online_preference_mask", with_views("responses", PAIRS + """

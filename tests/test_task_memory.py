@@ -48,3 +48,21 @@ def test_detached_loss_checks_group_sizes_once(spark, monkeypatch):
     df = spark.createDataFrame([(1, 1.0, 0.3), (1, 0.0, 0.4), (2, 1.0, 0.1)], "uid long, acc double, q double")
     P.detached_loss(df, ["uid"], "acc", "q", 2.0).first()
     assert len(calls) == 1
+
+
+def test_pairs_are_marked_in_one_reading(spark, sf_dir):
+    """Complete pairs come out of a window over the positions: the rows are not read again and joined."""
+    from tarnlake.plans.preference import two
+
+    assert two(spark, sf_dir)._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_incomplete_pairs_and_rows_without_prompt_are_left_out(spark, tmp_path):
+    from tarnlake.plans.advantages import pairs
+
+    rows = [(uid, i + 1, 1, 1, 1.0, 1.0, 0.1, 0.0, "A", "F") for uid, n in ((1, 3), (2, 1), (3, 2), (None, 2)) for i in range(n)]
+    names = ["l_linenumber int", "l_partkey long", "l_suppkey long", "l_quantity double", "l_extendedprice double",
+             "l_discount double", "l_tax double", "l_returnflag string", "l_linestatus string"]
+    spark.createDataFrame(rows, ", ".join(["l_orderkey long", *names])).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.uid, r.pair_no, r.side) for r in pairs(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 0), (1, 0, 1), (3, 0, 0), (3, 0, 1)]
