@@ -23,6 +23,7 @@ HOT_ROWS = 500_000
 WHOLE_ROWS = 20_000
 NO_LIMIT = 1 << 62
 MAX_BUCKETS = 4096
+MAX_SENT = 10_000
 SAMPLES_PER_BUCKET = 16
 
 
@@ -80,11 +81,11 @@ def _bucket_of(cuts: list, dtype: T.DataType) -> Column:
     return let(F.col("_key"), of)
 
 
-def _with_bucket(keyed: DataFrame, by: list[str], limit: int) -> DataFrame:
+def _with_bucket(keyed: DataFrame, by: list[str], limit: int, send=lambda side: side) -> DataFrame:
     """Add _bucket to the rows of hot groups (_hot is the group's size, null elsewhere: bucket 0).
 
     Each hot group has cut points of its own, at most MAX_BUCKETS, from rows that a hash of the key picks.
-    They are found in two levels of about sqrt(n).
+    They are found in two levels of about sqrt(n).  ``send`` is applied to the table of cut points.
     """
     want = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_hot") / limit)).cast("int")
     picked = keyed.filter(F.col("_hot").isNotNull() & (F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) * F.col("_hot") < want.cast("long") * (SAMPLES_PER_BUCKET << 20)))
@@ -93,7 +94,7 @@ def _with_bucket(keyed: DataFrame, by: list[str], limit: int) -> DataFrame:
     cuts = cuts.withColumn("_step", step).withColumn("_cuts", F.filter("_all", lambda _, i: i % F.col("_step") == F.col("_step") - 1))
     cuts = cuts.withColumn("_width", F.greatest(F.lit(1), F.floor(F.sqrt(F.size("_cuts"))).cast("int")))
     cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % F.col("_width") == F.col("_width") - 1)).select(*by, "_cuts", "_width", "_coarse")
-    placed = keyed.join(cuts, by, "left") if by else keyed.crossJoin(F.broadcast(cuts))
+    placed = keyed.join(send(cuts), by, "left") if by else keyed.crossJoin(F.broadcast(cuts))
     first = F.size(F.filter("_coarse", lambda c: c <= F.col("_key"))) * F.col("_width")
     bucket = let(first, lambda n: n + F.size(F.filter(F.slice("_cuts", n + 1, F.col("_width")), lambda c: c <= F.col("_key"))))
     found = F.when(F.col("_hot").isNotNull() & F.col("_cuts").isNotNull(), bucket)
@@ -179,13 +180,13 @@ def running_totals(
         return plain_totals(df, by, order, totals)
     if by:
         hot = df.groupBy(*by).count().filter(F.col("count") > limit)
-        size = hot.agg(F.max("count").alias("n"), F.count("*").alias("k")).first()
-        largest, hot_groups = int(size["n"] or 0), int(size["k"])
+        size = hot.agg(F.max("count").alias("n"), F.count("*").alias("k"), F.sum("count").alias("rows")).first()
+        largest, hot_groups, hot_total = int(size["n"] or 0), int(size["k"]), int(size["rows"] or 0)
     else:
         n = df.count()
         # a table has no key that deals its rows, and they may be long texts: one task takes few of them
         limit = min(limit, WHOLE_ROWS)
-        hot, largest, hot_groups = None, (n if n > limit else 0), 1
+        hot, largest, hot_groups, hot_total = None, (n if n > limit else 0), 1, n
     if largest == 0:
         return plain_totals(df, by, order, totals)
 
@@ -195,10 +196,13 @@ def running_totals(
     keyed = df.withColumns({"_key": F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]), **parts})
     if by:
         side = hot.select(*by, F.col("count").alias("_hot"))
-        keyed = keyed.join(F.broadcast(side) if hot_groups <= 10_000 else side, by, "left")
+        keyed = keyed.join(F.broadcast(side) if hot_groups <= MAX_SENT else side, by, "left")
     else:
         keyed = keyed.withColumn("_hot", F.lit(largest).cast("long"))
-    keyed = _with_bucket(keyed, by, limit).withColumnRenamed("_bucket", bucket)
+    # one cut point and one base per bucket: unless there are very many, they go to the rows, which stay where they are
+    few = min(hot_total // limit, hot_groups * MAX_BUCKETS) + hot_groups <= MAX_SENT
+    send = F.broadcast if few else (lambda side: side)
+    keyed = _with_bucket(keyed, by, limit, send).withColumnRenamed("_bucket", bucket)
 
     sums = (
         keyed.filter(F.col("_hot").isNotNull()).groupBy(*by, bucket)
@@ -209,13 +213,16 @@ def running_totals(
         *by, bucket,
         *[F.coalesce(F.sum(f"_sum{p}").over(before), F.lit(0)).alias(f"_base{p}") for p in parts],
     )
-    small_base = F.broadcast if hot_groups <= 10 else (lambda x: x)
-    joined = keyed.join(small_base(bases), [*by, bucket], "left").drop("_key", "_hot")
+    joined = keyed.join(send(bases), [*by, bucket], "left").drop("_key", "_hot")
     # one level is enough up to MAX_BUCKETS buckets; beyond that buckets are groups like any other
     deeper = largest > limit * MAX_BUCKETS
     inside = {f"_in_{n}": F.col(f"_in_{n}") for n in totals}
     within = [*by, bucket]
-    out = running_totals(durable(joined, "buckets"), within, order, inside, limit) if deeper else plain_totals(joined, within, order, inside)
+    if deeper:
+        out = running_totals(durable(joined, "buckets"), within, order, inside, limit)
+    else:
+        # rows dealt by the group alone would do for the window, and one task would take all buckets of a group
+        out = plain_totals(joined if few else joined.repartition(*within), within, order, inside)
     out = out.withColumns({n: F.col(f"_in_{n}") + F.coalesce(F.col(f"_base_in_{n}"), F.lit(0)) for n in totals})
     return out.drop(bucket, *parts, *[f"_base{p}" for p in parts])
 

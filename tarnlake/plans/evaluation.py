@@ -10,6 +10,7 @@ from tarnlake.operators import evaluation as E
 from tarnlake.operators.ranks import row_index, shuffled_order
 from tarnlake.plans.registry import query
 from tarnlake.plans.views import PLACE, documents, responses, steps, table, with_views
+from tarnlake.session import durable
 
 
 def rounded(df, *cols, digits=6):
@@ -126,8 +127,9 @@ each AS (SELECT s.data_source, draw, max(reward) AS best, median(reward) AS mid
 SELECT data_source, round(avg(best), 6) AS best_mean, round(stddev_pop(best), 6) AS best_std, round(avg(mid), 6) AS median_mean, round(stddev_pop(mid), 6) AS median_std
 FROM each GROUP BY 1"""))
 def u4(spark, d):
-    r = responses(spark, d)
-    pos = row_index(r.select("data_source", "uid", "resp_idx", "reward"), [F.col("uid"), F.col("resp_idx")], ["data_source"], "pos")
+    # counted, cut into buckets, summed and ranked: four readings
+    r = durable(responses(spark, d).select("data_source", "uid", "resp_idx", "reward"), "responses")
+    pos = row_index(r, [F.col("uid"), F.col("resp_idx")], ["data_source"], "pos")
     out = E.bootstrap_reduce(
         pos, ["data_source"], "pos", "reward", 16, {"best": lambda x: x.max(1), "median": lambda x: np.median(x, axis=1)}, draws=200
     )

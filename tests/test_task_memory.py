@@ -1,5 +1,8 @@
 """What one task reads and holds stays the same when tables grow."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from tarnlake.operators import preference as P
 from tarnlake.operators import ranks as R
 from tarnlake.plans import REGISTRY
@@ -66,3 +69,29 @@ def test_incomplete_pairs_and_rows_without_prompt_are_left_out(spark, tmp_path):
     spark.createDataFrame(rows, ", ".join(["l_orderkey long", *names])).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted((r.uid, r.pair_no, r.side) for r in pairs(spark, str(tmp_path)).collect())
     assert got == [(1, 0, 0), (1, 0, 1), (3, 0, 0), (3, 0, 1)]
+
+
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_buckets_of_a_hot_group_go_to_several_tasks(spark, monkeypatch, sent):
+    """Rows that a join has dealt by their group alone would all be ranked by one task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(R, "MAX_SENT", sent, raising=False)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("k"))
+        got = R.row_index(df, [F.col("k")], ["g"], "pos", 100).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for g in (0, 1):
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.k)
+        assert [r.pos for r in own] == list(range(1500))
+        assert len({r.task for r in own}) > 2
+
+
+def test_bootstrap_rows_are_made_once(spark, sf_dir):
+    """u4 counts, cuts, sums and ranks its rows: they come from a stored table, not from the join made again."""
+    files = REGISTRY["u4_bootstrap_reduce_functions"].run(spark, sf_dir).inputFiles()
+    assert files and not any("lineitem" in f or "orders" in f for f in files)
