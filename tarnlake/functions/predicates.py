@@ -16,9 +16,11 @@ def within_length(tokens: Column, low: int = 0, high: int = 2048, tolerance: int
     return (tokens >= low) & (tokens <= high - tolerance)
 
 
-def prompt_text(rendered: Column, raw: Column) -> Column:
-    """Rendered prompt, else the raw one; both empty is an error."""
+def prompt_text(rendered: Column, raw: Column, required: bool = True) -> Column:
+    """Rendered prompt, else the raw one; both empty is an error, or null where rows need not have a prompt."""
     text = F.coalesce(F.nullif(rendered, F.lit("")), F.nullif(raw, F.lit("")))
+    if not required:
+        return text
     return F.coalesce(text, F.raise_error(F.lit("no prompt found in row")).cast("string"))
 
 

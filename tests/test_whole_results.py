@@ -186,3 +186,20 @@ def test_queries_bound_the_shuffled_bytes_of_a_task(spark, sf_dir):
         assert spark.conf.get(key) == "16m"
     finally:
         spark.conf.set(key, before)
+
+
+def test_documents_without_text_do_not_end_the_length_filter(spark, tmp_path):
+    import duckdb
+
+    from tarnlake.functions import predicates as C
+    from tarnlake.plans import REGISTRY
+
+    texts = [None, "", " ", "a " * 19, "a " * 20, "a " * 1948, "a " * 1949]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    query = REGISTRY["c1_length_filter"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(r.doc_id for r in query.run(spark, str(tmp_path)).collect()) == sorted(r[0] for r in con.execute(query.sql).fetchall()) == [4, 5]
+    # where rows must have a prompt, one without is still an error
+    with pytest.raises(Exception, match="no prompt found in row"):
+        spark.range(1).select(C.prompt_text(F.lit(""), F.lit(None).cast("string"))).collect()
