@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.policy import EPS, clip, masked_mean, masked_var
 from tarnlake.functions.text import let
-from tarnlake.operators.ranks import NO_LIMIT, checked_limit, running_totals, top_rows, with_group_stats, with_table_stats
+from tarnlake.operators.ranks import MAX_BUCKETS, NO_LIMIT, checked_limit, running_totals, top_rows, with_group_stats, with_table_stats
 from tarnlake.session import durable
 
 STD_EPS = 1e-6  # fixed value: added to the group deviation
 RUN = 16  # values that a fold appends before it joins them to the block's
-SPAN_CELLS = 4096  # widest interval of cells that one row is turned into
+PART_ROWS = 200_000  # rows of a part (more above 800 million rows); a task has one part, and twice as many draws at most
+WIDE_TASKS = 16  # copies of a row that the task which reads it makes at most
+LOW_BITS, LOW_MASK = 24, (1 << 24) - 1  # totals of whole weights are kept as two longs
 
 
 def group_advantage(df: DataFrame, group: list[str], score: str, divide_by_std: bool = True) -> DataFrame:
@@ -262,36 +264,70 @@ def resample_weights(score: Column, kind: str, power: float, lo: Column, hi: Col
 def weighted_resample(df: DataFrame, key: list[str], weight: str, uniform: Column) -> DataFrame:
     """As many draws with replacement as rows: inverse of the cumulative weights.
 
-    Draws meet intervals by an equi-join on a cell of the unit range; an interval is copied to the
-    cells it touches.  A row that holds a third of the weight touches a third of the cells: it is first
-    cut into blocks of cells, which are dealt out, and each block then into its cells.  Weights are added
-    as decimals of 16 digits below a power of two above the largest one, so neither the order of adding nor
-    the number of rows moves an interval, and an interval begins where the one before it ends.
+    Rows are dealt to parts by ranges of the key.  A part is also a range of the unit range, so draws go straight
+    to the part they fall in, and there a sort puts them behind the row whose interval holds them.  A part that
+    many draws fall in, as it has a row with a third of the weight, is dealt to several tasks, each with all its
+    rows and a share of its draws.  Weights are added as whole numbers, 10^16 to a power of two above the largest
+    one, so neither the order of adding nor the number of rows moves an interval, and an interval begins where
+    the one before it ends.
     """
-    top = df.agg(F.max(weight).alias("_max")).select(F.pow(F.lit(2.0), F.floor(F.log2("_max")) + 2).alias("_unit"))
-    part = (F.col(weight) / F.col("_unit")).cast("decimal(16,16)")
-    scaled = df.select(*key, weight).crossJoin(F.broadcast(top)).select(*key, part.alias("_w"))
-    cum = running_totals(scaled, [], [F.col(k) for k in key], {"_hi": F.col("_w")})
-    stats = scaled.agg(F.sum("_w").cast("double").alias("_total"), F.count("*").alias("_rows"))
-    end = F.col("_hi").cast("decimal(36,16)")
-    spans = cum.crossJoin(F.broadcast(stats)).select(
-        *key, ((end - F.col("_w")).cast("double") / F.col("_total")).alias("_a"), (end.cast("double") / F.col("_total")).alias("_z"), "_rows"
+    base = durable(df.select(*key, F.col(weight).alias("_weight"), uniform.alias("_u")), "resample")
+    size = base.agg(F.count("*").alias("n"), F.pow(F.lit(2.0), F.floor(F.log2(F.max("_weight"))) + 2).alias("unit")).first()
+    part_rows = max(PART_ROWS, size["n"] // MAX_BUCKETS + 1)
+    parts = size["n"] // part_rows + 1
+    share = (F.col("_weight") / F.lit(size["unit"]).cast("double")).cast("decimal(16,16)")
+    whole = (share * F.lit(10**16).cast("decimal(17,0)")).cast("long")
+    dealt = base.select(*key, "_weight").repartitionByRange(parts, *key).select(*key, whole.alias("_w"), F.spark_partition_id().alias("_part"))
+    dealt = durable(dealt.filter(F.col("_w").isNotNull()), "resample_parts")
+
+    # one row per part: where its range begins and ends, the number of tasks that its draws are dealt to, and the first of them
+    high, low = F.shiftright("_w", LOW_BITS), F.col("_w").bitwiseAND(LOW_MASK)
+    order, every = Window.orderBy("_part"), Window.partitionBy()
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = dealt.groupBy("_part").agg(F.sum(high).alias("_high"), F.sum(low).alias("_low")).select(
+        "_part", "_high", "_low", before("_high").alias("_base_high"), before("_low").alias("_base_low"),
+        _as_double(F.sum("_high").over(every), F.sum("_low").over(every)).alias("_total"),
     )
-    cell = lambda x: F.least(F.floor(x * F.col("_rows")), F.col("_rows") - 1)
-    spans = spans.withColumns({"_first": cell(F.col("_a")), "_last": cell(F.col("_z"))})
-    block = F.explode(F.sequence(F.floor(F.col("_first") / SPAN_CELLS), F.floor(F.col("_last") / SPAN_CELLS)))
-    wide = F.floor(F.col("_first") / SPAN_CELLS) < F.floor(F.col("_last") / SPAN_CELLS)
-    cut = spans.filter(wide).withColumn("_block", block).repartition("_block")
-    cut = cut.withColumns({
-        "_first": F.greatest(F.col("_first"), F.col("_block") * SPAN_CELLS), "_last": F.least(F.col("_last"), F.col("_block") * SPAN_CELLS + SPAN_CELLS - 1),
-    }).drop("_block")
-    spans = spans.filter(~wide).unionByName(cut).withColumn("_cell", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    draws = df.select(*[F.col(k).alias(f"draw_{k}") for k in key], uniform.alias("_u")).crossJoin(
-        F.broadcast(df.agg(F.count("*").alias("_rows")))
-    )
-    draws = draws.withColumn("_cell", cell(F.col("_u"))).drop("_rows")
-    hit = draws.join(spans, "_cell").filter((F.col("_u") >= F.col("_a")) & (F.col("_u") < F.col("_z")))
-    return hit.select(*[f"draw_{k}" for k in key], *key)
+    ends = ends.withColumns({
+        "_a": _as_double(F.col("_base_high"), F.col("_base_low")) / F.col("_total"),
+        "_z": _as_double(F.col("_base_high") + F.col("_high"), F.col("_base_low") + F.col("_low")) / F.col("_total"),
+    })
+    tasks = F.greatest(F.lit(1), F.ceil((F.col("_z") - F.col("_a")) * (size["n"] / (2 * part_rows))))
+    ends = ends.filter(F.col("_a") < F.col("_z")).withColumn("_tasks", tasks).withColumn("_first", before("_tasks")).drop("_high", "_low")
+    ends = durable(ends, "resample_ends")
+    slots = ends.agg(F.sum("_tasks").alias("n")).first()["n"] or 1
+
+    rows = dealt.join(F.broadcast(ends.select("_part", "_tasks", "_first")), "_part")
+    wide = F.col("_tasks") > WIDE_TASKS  # many copies of a row: its part's rows are first dealt out
+    rows = rows.filter(~wide).unionByName(rows.filter(wide).repartition(*key))
+    each = F.explode(F.sequence("_first", F.col("_first") + F.col("_tasks") - 1))
+    rows = rows.select("_part", each.alias("_task"), *key, "_w", F.lit(None).cast("double").alias("_u"))
+
+    # a draw looks its part up by a cell of the unit range; a cell has one or two parts, or few draws for its many
+    cells = 4 * parts
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    lookup = ends.select("_part", "_tasks", "_first", "_a", "_z", F.explode(F.sequence(cell(F.col("_a")), cell(F.col("_z")))).alias("_cell"))
+    draws = base.select(*key, "_u").withColumn("_cell", cell(F.col("_u"))).join(F.broadcast(lookup), "_cell")
+    draws = draws.filter((F.col("_u") >= F.col("_a")) & (F.col("_u") < F.col("_z")))
+    task = F.floor((F.col("_u") - F.col("_a")) / (F.col("_z") - F.col("_a")) * F.col("_tasks"))
+    draws = draws.select("_part", (F.col("_first") + F.least(task, F.col("_tasks") - 1)).alias("_task"), *key, F.lit(None).cast("long").alias("_w"), "_u")
+
+    # rows by key, then draws by place: two sorted runs, which the second sort only has to merge
+    both = rows.unionByName(draws).withColumn("_task", F.col("_task").cast("int")).repartitionById(slots, F.col("_task"))
+    here, drawn = Window.partitionBy("_task"), F.col("_u").isNotNull()
+    upto = here.orderBy(F.col("_u").asc_nulls_first(), *key).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"_high": F.sum(high).over(upto) - high, "_low": F.sum(low).over(upto) - low})
+    both = both.join(F.broadcast(ends.select("_part", "_base_high", "_base_low", "_total")), "_part")
+    begin = _as_double(F.col("_base_high") + F.col("_high"), F.col("_base_low") + F.col("_low")) / F.col("_total")
+    both = both.select("_part", "_task", *key, F.coalesce("_u", begin).alias("_at"), drawn.alias("_drawn"))
+    owner = F.last(F.when(~F.col("_drawn"), F.struct(*key)), ignorenulls=True)
+    hit = both.withColumn("_hit", owner.over(here.orderBy("_at", "_drawn", *key).rowsBetween(Window.unboundedPreceding, 0))).filter("_drawn")
+    return hit.select(*[F.col(k).alias(f"draw_{k}") for k in key], *[F.col(f"_hit.{k}").alias(k) for k in key])
+
+
+def _as_double(high: Column, low: Column) -> Column:
+    """high * 2^24 + low as a double; it never falls while the whole number grows, and depends on that only."""
+    return (high + F.shiftright(low, LOW_BITS)).cast("double") * float(LOW_MASK + 1) + low.bitwiseAND(LOW_MASK)
 
 
 def md5_uniform(key: Column, seed: str) -> Column:

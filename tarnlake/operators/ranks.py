@@ -24,6 +24,7 @@ WHOLE_ROWS = 20_000
 NO_LIMIT = 1 << 62
 MAX_BUCKETS = 4096
 MAX_SENT = 10_000
+HASHES = 1 << 16
 SAMPLES_PER_BUCKET = 16
 
 
@@ -163,6 +164,11 @@ def at_or_before(order: list[Column], key) -> Column:
     return own <= F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(key)])
 
 
+def _may_be_hot(df: DataFrame, by: list[str], limit: int) -> bool:
+    """Some hash of the keys has more rows than the limit; a count per hash and not per group, of which there may be as many as rows."""
+    return df.groupBy(F.pmod(F.xxhash64(*by), F.lit(HASHES)).alias("_hash")).count().filter(F.col("count") > limit).limit(1).count() > 0
+
+
 def running_totals(
     df: DataFrame,
     by: list[str],
@@ -178,6 +184,8 @@ def running_totals(
     limit = hot_rows if hot_rows is not None else int_conf(spark, HOT_KEY, HOT_ROWS)
     if limit >= NO_LIMIT:
         return plain_totals(df, by, order, totals)
+    if by and not _may_be_hot(df, by, limit):
+        return plain_totals(df, by, order, totals)
     if by:
         hot = df.groupBy(*by).count().filter(F.col("count") > limit)
         size = hot.agg(F.max("count").alias("n"), F.count("*").alias("k"), F.sum("count").alias("rows")).first()

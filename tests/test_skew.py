@@ -108,6 +108,61 @@ def test_weighted_resample_small_weights_after_a_large_one(spark):
     assert rows(out, "draw_id") == [(i,) for i in range(200)]
 
 
+@pytest.mark.parametrize("heavy", [1.0, 4000.0])
+@pytest.mark.parametrize("wide", [1, 16])
+def test_weighted_resample_in_parts_is_exact(spark, monkeypatch, heavy, wide):
+    from bisect import bisect_right
+    from fractions import Fraction
+
+    monkeypatch.setattr(A, "PART_ROWS", 60)
+    monkeypatch.setattr(A, "WIDE_TASKS", wide)
+    rnd = random.Random(5)
+    # two key columns, one null key, null weights, weights too small to be drawn
+    data = [(None if i == 0 else i // 3, i % 3, heavy if i == 400 else rnd.choice([None, 1e-30, 0.25, 1.0, 3.5])) for i in range(1200)]
+    df = spark.createDataFrame(rnd.sample(data, len(data)), "a long, b long, w double").repartition(7)
+    u = A.md5_uniform(F.concat_ws("_", "a", "b"), "s")
+    us = {(r.a, r.b): r.u for r in df.select("a", "b", u.alias("u")).collect()}
+    with_weight = [(a, b, Fraction(w)) for a, b, w in data if w is not None]
+    total, upto, ends = sum(w for *_, w in with_weight), Fraction(0), []
+    for *_, w in with_weight:
+        upto += w
+        ends.append(upto / total)
+    want = {k: with_weight[bisect_right(ends, Fraction(x))][:2] for k, x in us.items()}
+    got = A.weighted_resample(df, ["a", "b"], "w", u)
+    assert got.columns == ["draw_a", "draw_b", "a", "b"]
+    rows_ = got.collect()
+    assert len(rows_) == len(data) and {(r.draw_a, r.draw_b): (r.a, r.b) for r in rows_} == want
+
+
+def test_weighted_resample_without_weights(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id long, w double")
+    assert A.weighted_resample(df, ["id"], "w", F.lit(0.5)).count() == 0
+    assert A.weighted_resample(df.limit(0), ["id"], "w", F.lit(0.5)).count() == 0
+
+
+def test_weighted_resample_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(3000).withColumn("w", F.lit(1.0)).mapInArrow(seen, "id long, w double")
+    assert A.weighted_resample(df, ["id"], "w", A.md5_uniform(F.col("id").cast("string"), "s")).count() == 3000
+    assert made.value == 3000
+
+
+def test_running_totals_when_only_a_hash_of_the_keys_is_hot(spark, monkeypatch):
+    from tarnlake.operators import ranks as R
+
+    df = spark.range(600).select((F.col("id") % 30).alias("g"), "id")
+    plain = sorted(map(tuple, running_totals(df, ["g"], [F.col("id")], {"s": F.col("id")}, hot_rows=10**9).collect()))
+    monkeypatch.setattr(R, "HASHES", 2)
+    assert R._may_be_hot(df, ["g"], 50) and not R._may_be_hot(df, ["g"], 600)
+    assert sorted(map(tuple, running_totals(df, ["g"], [F.col("id")], {"s": F.col("id")}, hot_rows=50).collect())) == plain
+
+
 def test_bootstrap_of_large_prompts(spark, monkeypatch):
     from tarnlake.operators import evaluation as E
 
